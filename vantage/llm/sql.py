@@ -15,4 +15,15 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op5_warc": OP5}
+OP3 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS a FROM d),
+     k AS (SELECT doc_id, a, row_number() OVER (PARTITION BY array_to_string(list_slice(w, a, a + 19), ' ') ORDER BY doc_id, a) AS r FROM i),
+     g AS (SELECT DISTINCT doc_id, unnest(range(a, a + 20)) AS p FROM k WHERE r > 1),
+     l AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+     t AS (SELECT l.doc_id, string_agg(x, ' ' ORDER BY l.p) AS kept, count(*) AS n FROM l ANTI JOIN g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op5_warc": OP5}
