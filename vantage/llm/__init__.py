@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from vantage.llm import html, language, media, packing, substrings, toxicity, warc
+    from vantage.llm import html, language, media, packing, substrings, topk, toxicity, warc
 
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op7_language_id": language.op7_language_id,
         "op10_html_extraction": html.op10_html_extraction,
         "op3_substring_dedup": substrings.op3_substring_dedup,
+        "op8_exact_topk": topk.op8_exact_topk,
         "op4_media_columns": media.op4_media_columns,
         "op5_warc": warc.op5_warc,
         "op6_packing": packing.op6_packing,
