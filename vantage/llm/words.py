@@ -14,7 +14,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that one numpy pass takes; a longer document makes a pass of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,13 +36,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each piece holds about ``limit`` bytes of text, and one row at least."""
+    """Cut record batches so that each piece holds about ``limit`` bytes of text and ``SLICE_ROWS`` rows at most, one row at least."""
     for batch in batches:
         _, at = text_bytes(batch.column(batch.schema.get_field_index(column)))
         row = 0
         while row < batch.num_rows:
             stop = int(np.searchsorted(at, at[row] + limit, side="right")) - 1
-            stop = min(max(stop, row + 1), batch.num_rows)
+            stop = min(max(stop, row + 1), row + SLICE_ROWS, batch.num_rows)
             yield batch.slice(row, stop - row)
             row = stop
 
