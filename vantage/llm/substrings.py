@@ -19,7 +19,7 @@ from vantage.llm.words import Words, gather_index, mix, slices, string_array, te
 WINDOW = 20
 MINIMISER = 4
 #: Text per bucket and per map-side pass. Both bound a task's memory, whatever the size of the corpus.
-BUCKET_CHARS, PASS_BYTES = 1 << 20, 8 << 20
+BUCKET_CHARS, PASS_BYTES = 1 << 20, 4 << 20
 LAST = (1 << 63) - 1  # where a null id sorts
 
 

@@ -85,10 +85,17 @@ class Words:
         powers = np.full(int(lengths.max()), BASE)
         powers[0] = 1
         powers = np.cumprod(powers, dtype=np.uint64)
-        flat, _ = gather_index(self.starts, lengths)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        digits = (self.raw[flat].astype(np.uint64) + np.uint64(1)) * powers[place]
-        return mix(np.add.reduceat(digits, np.cumsum(lengths) - lengths))
+        out = np.empty(len(lengths), np.uint64)
+        for a in range(0, len(lengths), 1 << 17):  # bounds what the byte-wise arrays take
+            size = lengths[a : a + (1 << 17)]
+            flat, stop = gather_index(self.starts[a : a + (1 << 17)], size)
+            digits = self.raw[flat].astype(np.uint64)
+            digits += np.uint64(1)
+            flat = np.arange(len(flat))
+            flat -= np.repeat(stop - size, size)
+            digits *= powers[flat]
+            out[a : a + (1 << 17)] = np.add.reduceat(digits, stop - size)
+        return mix(out)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts (word index) and hashes of every window of ``k`` words inside one document."""
