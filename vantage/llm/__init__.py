@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from vantage.llm import dedup, html, language, media, packing, substrings, topk, toxicity, warc
+    from vantage.llm import dedup, html, language, media, mixing, packing, substrings, topk, toxicity, warc
 
     return {
         "op1_toxicity": toxicity.op1_toxicity,
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": substrings.op3_substring_dedup,
         "op8_exact_topk": topk.op8_exact_topk,
         "op2_minhash_dedup": dedup.op2_minhash_dedup,
+        "op9_mixing": mixing.op9_mixing,
         "op4_media_columns": media.op4_media_columns,
         "op5_warc": warc.op5_warc,
         "op6_packing": packing.op6_packing,
