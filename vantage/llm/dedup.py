@@ -24,8 +24,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4
 #: Bits that tell shingles apart; the others number the documents of a pass.
 HASH_BITS = 45
-#: Share of all documents under which a shingle counts as rare: idf is 2 there and falls to 1 at every document.
-RARE_SHARE = 1 / 2000
+#: Share of all documents under which a shingle counts as rare. The idf is 1 + IDF_SPAN there and falls with the logarithm of
+#: the share to 1 for a shingle of every document. The span is small, so that what a large group of copies shares does not
+#: lose its weight against the few edits that tell its members apart.
+RARE_SHARE, IDF_SPAN = 1 / 2000, 0.25
 #: Pairs that one verification block holds for one pivot.
 BLOCK_PAIRS = 256
 
@@ -56,6 +58,7 @@ class Idf:
     share: np.ndarray
     documents: int
     rare: float = RARE_SHARE
+    span: float = IDF_SPAN
 
     def weights(self, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
         short = (shingle >> np.uint64(32)).astype(np.uint32)
@@ -64,7 +67,7 @@ class Idf:
             place = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
             hit = self.keys[place] == short
             share[hit] = self.share[place[hit]]
-        return count * (1 + np.log(np.clip(share, self.rare, 1)) / np.log(self.rare))
+        return count * (1 + self.span * np.log(np.clip(share, self.rare, 1)) / np.log(self.rare))
 
 
 def document_frequency(table: DataFrame, k: int = SHINGLE, rare: float = RARE_SHARE) -> Idf:
