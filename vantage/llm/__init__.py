@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
     from vantage.llm import dedup, html, language, media, mixing, packing, substrings, topk, toxicity, warc
 
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op7_language_id": language.op7_language_id,
         "op10_html_extraction": html.op10_html_extraction,
+        "pipeline": corpus_pipeline.run,
         "op3_substring_dedup": substrings.op3_substring_dedup,
         "op8_exact_topk": topk.op8_exact_topk,
         "op2_minhash_dedup": dedup.op2_minhash_dedup,

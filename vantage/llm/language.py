@@ -207,30 +207,34 @@ def document_probabilities(model: Model, raw: np.ndarray, at: np.ndarray, span:
     return out / np.maximum(size, 1)[:, None]
 
 
-def predict(table: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` for every row.
+def predict(table: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """All columns of ``table`` and ``lang_pred`` and ``score``, for every row.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing could be learned.
-    Ties go to the language first in the alphabet. Repeated rows are judged each for itself; other columns are left out.
+    Ties go to the language first in the alphabet. Repeated rows are judged each for itself; columns of the input that are
+    named like a result are replaced.
     """
+    table = table.drop("lang_pred", "score")
+    place = table.columns.index(text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            known = np.array([bool(t and LETTER.search(t)) for t in part.column(1).to_pylist()], bool)
+        for part in slices(batches, text_col):
+            text = part.column(place)
+            known = np.array([bool(t and LETTER.search(t)) for t in text.to_pylist()], bool)
             if model is None:
                 lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
             else:
-                p = document_probabilities(model, *text_bytes(part.column(1)))
+                p = document_probabilities(model, *text_bytes(text))
                 best = p.argmax(axis=1)
                 lang = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 score = np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
-            yield pa.record_batch([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    kind = table.schema[id_col].dataType.simpleString()
-    return table.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(label, f"doc_id {kind}, lang_pred string, score double")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in table.schema) + "lang_pred string, score double"
+    return table.mapInArrow(label, schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, with the fold it was held out in."""
     table = documents(spark, sf_dir)
-    return predict(table, fit(table)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(table.select("doc_id", "text"), fit(table)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
