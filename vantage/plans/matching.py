@@ -1 +1,271 @@
-"""Matching queries."""
+"""Entity resolution, duplicates and matching."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vantage.operators import grams as gm
+from vantage.operators import horizon as hz
+from vantage.operators import text as tx
+from vantage.plans.catalog import H, query
+from vantage.plans.text import content, tok, word_grams
+
+NAMED = "SELECT e.id, e.node_type, e.first_pos, n.label, n.kind FROM kg_entities e JOIN kg_names n ON n.entity_id = e.id WHERE e.status = 'accepted' AND e.first_pos <= $h AND n.kind = 'true_name' AND n.revealed_pos <= $h"
+
+
+def named(v):
+    names = hz.asof(v.names.where("kind = 'true_name'"), "revealed_pos", H)
+    return hz.asof_entities(v.entities, H).join(names.select(F.col("entity_id").alias("id"), "label", "kind"), "id").select("id", "node_type", "first_pos", "label", "kind")
+
+
+BLOCK = f"""WITH n AS ({NAMED}), g AS (SELECT node_type, label, min(id) AS id, any_value({word_grams('label')}) AS s FROM n WHERE node_type <> 'object' GROUP BY node_type, label),
+    j AS (SELECT a.id AS l, b.id AS r, len(list_intersect(a.s, b.s)) AS shared, len(a.s) + len(b.s) AS total FROM g a JOIN g b ON a.node_type = b.node_type AND a.id <> b.id),
+    k AS (SELECT l, r, round(shared / (total - shared), 6) AS score, row_number() OVER (PARTITION BY l ORDER BY shared / (total - shared) DESC, r) AS place FROM j WHERE shared / (total - shared) >= $t)"""
+
+
+def blocked(v, threshold):
+    one = named(v).where("node_type <> 'object'").groupBy("node_type", "label").agg(F.min("id").alias("id"))
+    sets = one.select("node_type", "id", tx.trigrams_by_word(F.col("label")).alias("set"))
+    return gm.jaccard_join(sets.withColumnRenamed("id", "l"), sets.withColumnRenamed("id", "r"), ["node_type"], threshold).where("l <> r")
+
+
+@query("trgm_block", BLOCK.replace("$t", "0.25") + " SELECT l, r, score FROM k WHERE place <= 8")
+def trgm_block(v):
+    near = blocked(v, 0.25)
+    best = Window.partitionBy("l").orderBy(F.desc("score"), "r")
+    return near.withColumn("k", F.row_number().over(best)).where("k <= 8").select("l", "r", F.round("score", 6).alias("score"))
+
+
+SCORES = f"""WITH n AS ({NAMED}), p AS (SELECT a.id AS a, b.id AS b, a.label AS x, b.label AS y, abs(a.first_pos - b.first_pos) AS gap, {tok('a.label')} AS s, {tok('b.label')} AS t FROM n a JOIN n b ON a.label = b.label AND a.node_type = b.node_type AND a.id < b.id WHERE a.node_type = 'character')"""
+
+
+def same_name_pairs(v):
+    n = named(v).where("node_type = 'character'")
+    b = n.select(F.col("id").alias("b"), "label", F.col("first_pos").alias("q"), F.col("label").alias("y"))
+    return n.select(F.col("id").alias("a"), "label", F.col("first_pos").alias("p"), F.col("label").alias("x")).join(b, "label").where("a < b").withColumn("gap", F.abs(F.col("p") - F.col("q")))
+
+
+@query("score_name", f"WITH p AS (SELECT item_id AS a, substr(text, 1, 30) AS x, substr(text, 11, 30) AS y FROM benchmark), t AS (SELECT a, x, y, {tok('x')} AS s, {tok('y')} AS u FROM p) SELECT a, CASE WHEN x = y THEN 1.0 ELSE round(0.7 * len(list_intersect(s, u)) / len(list_distinct(list_concat(s, u))), 6) END AS score FROM t")
+def score_name(v):
+    p = v.benchmark.select(F.col("item_id").alias("a"), F.substring("text", 1, 30).alias("x"), F.substring("text", 11, 30).alias("y"))
+    return p.select("a", F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.round(0.7 * tx.jaccard(tx.tokens(F.col("x")), tx.tokens(F.col("y"))), 6)).alias("score"))
+
+
+@query("score_position", SCORES + " SELECT a, b, round(1 / (1 + gap / 20), 6) AS score FROM p")
+def score_position(v):
+    return same_name_pairs(v).select("a", "b", F.round(1 / (1 + F.col("gap") / 20), 6).alias("score"))
+
+
+NEIGH = "SELECT id, list(DISTINCT other) AS s FROM (SELECT subject AS id, object AS other FROM kg_assertions WHERE status = 'accepted' AND from_pos <= $h UNION ALL SELECT object, subject FROM kg_assertions WHERE status = 'accepted' AND from_pos <= $h) WHERE id[1] = 'c' GROUP BY id"
+
+
+def neighbour_sets(v):
+    known = v.assertions.where((F.col("status") == "accepted") & (F.col("from_pos") <= H))
+    ends = known.select(F.col("subject").alias("id"), F.col("object").alias("other")).union(known.select("object", "subject"))
+    return ends.where("id LIKE 'c%'").groupBy("id").agg(F.collect_set("other").alias("s"))
+
+
+@query("entity_neighbours", f"SELECT id, len(s) AS n, array_to_string(list_sort(s), ',') AS neighbours FROM ({NEIGH})")
+def entity_neighbours(v):
+    return neighbour_sets(v).select("id", F.size("s").alias("n"), F.array_join(F.array_sort("s"), ",").alias("neighbours"))
+
+
+@query("entity_descriptors", f"SELECT entity_id AS id, array_to_string(list_sort(list_distinct(flatten(list({content('label')})))), ',') AS descriptors FROM kg_names WHERE revealed_pos <= $h GROUP BY entity_id")
+def entity_descriptors(v):
+    known = hz.asof(v.names, "revealed_pos", H).select("entity_id", F.explode_outer(tx.content_tokens(F.col("label"))).alias("w"))
+    return known.groupBy(F.col("entity_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("descriptors"))
+
+
+COOC = SCORES + f", s AS ({NEIGH}) SELECT a, b, round(len(list_intersect(u.s, w.s)) / least(len(u.s), len(w.s)), 6) AS score FROM p JOIN s u ON u.id = p.a JOIN s w ON w.id = p.b"
+
+
+def cooccurrence(v):
+    s = neighbour_sets(v)
+    sided = same_name_pairs(v).join(s.select(F.col("id").alias("a"), F.col("s").alias("u")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("w")), "b")
+    return sided.withColumn("cooc", tx.overlap(F.col("u"), F.col("w")))
+
+
+@query("score_cooccurrence", COOC)
+def score_cooccurrence(v):
+    return cooccurrence(v).select("a", "b", F.round("cooc", 6).alias("score"))
+
+
+@query("score_visual", f"WITH p AS (SELECT item_id AS a, {content('substr(text, 1, 60)')} AS x, {content('substr(text, 31, 60)')} AS y FROM benchmark) SELECT a, CASE WHEN least(len(x), len(y)) = 0 THEN 0 ELSE round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) END AS score FROM p")
+def score_visual(v):
+    x, y = tx.content_tokens(F.substring("text", 1, 60)), tx.content_tokens(F.substring("text", 31, 60))
+    return v.benchmark.select(F.col("item_id").alias("a"), F.round(tx.overlap(x, y), 6).alias("score"))
+
+
+TOTAL = "round(0.4 + 0.2 * len(list_intersect(u.s, w.s)) / least(len(u.s), len(w.s)) + 0.1 / (1 + gap / 20), 3)"
+
+
+def resolved(v):
+    return cooccurrence(v).select("a", "b", F.round(0.4 + 0.2 * F.col("cooc") + 0.1 / (1 + F.col("gap") / 20), 3).alias("score"))
+
+
+@query("resolution_score", COOC.split(" SELECT a, b, round(len")[0] + f" SELECT a, b, {TOTAL} AS score FROM p JOIN s u ON u.id = p.a JOIN s w ON w.id = p.b")
+def resolution_score(v):
+    return resolved(v)
+
+
+@query("resolution_bucket", "SELECT id, CASE WHEN confidence >= 0.72 THEN 'likely same' WHEN confidence >= 0.45 THEN 'worth checking' ELSE 'different' END AS bucket FROM kg_proposals")
+def resolution_bucket(v):
+    return v.proposals.select("id", F.when(F.col("confidence") >= 0.72, "likely same").when(F.col("confidence") >= 0.45, "worth checking").otherwise("different").alias("bucket"))
+
+
+KEY = "CASE category WHEN 'entity' THEN concat('e:', subject) WHEN 'assertion' THEN concat('a:', subject, predicate, object) ELSE concat(category, ':', lower(summary)) END"
+
+
+def keyed(v):
+    key = F.when(F.col("category") == "entity", F.concat(F.lit("e:"), "subject")).when(F.col("category") == "assertion", F.concat(F.lit("a:"), "subject", "predicate", "object")).otherwise(F.concat("category", F.lit(":"), F.lower("summary")))
+    return v.proposals.withColumn("key", key)
+
+
+@query("duplicate_key", f"SELECT id, {KEY} AS key FROM kg_proposals")
+def duplicate_key(v):
+    return keyed(v).select("id", "key")
+
+
+@query("group_duplicates", f"SELECT id, row_number() OVER (PARTITION BY key ORDER BY confidence DESC, seq) AS place, count(*) OVER (PARTITION BY key) AS total, count(*) FILTER (status = 'accepted') OVER (PARTITION BY key) - CAST(status = 'accepted' AS INT) AS accepted_siblings FROM (SELECT *, {KEY} AS key FROM kg_proposals)")
+def group_duplicates(v):
+    k = keyed(v)
+    sizes = k.groupBy("key").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "accepted").alias("acc"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("confidence"), "seq"))
+    return k.withColumn("place", place).join(sizes, "key").select("id", "place", "total", (F.col("acc") - (F.col("status") == "accepted").cast("int")).alias("accepted_siblings"))
+
+
+SC = f"SELECT id, coalesce(told_pos, shown_pos, 0) AS pos, {content('summary')} AS s FROM kg_scenes"
+
+
+def scene_sets(v):
+    return v.scenes.select("id", F.coalesce("told_pos", "shown_pos", F.lit(0)).alias("pos"), tx.content_tokens(F.col("summary")).alias("set"))
+
+
+def same_position(v):
+    s = scene_sets(v)
+    t = s.select(F.col("id").alias("y"), "pos", F.col("set").alias("t"))
+    shared = F.size(F.array_intersect("set", "t"))
+    return s.withColumnRenamed("id", "x").join(t, "pos").where("x < y").withColumn("shared", shared).withColumn("least", F.least(F.size("set"), F.size("t")))
+
+
+@query("beat_overlap", f"WITH s AS ({SC}) SELECT a.id AS x, b.id AS y, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 6) AS ratio FROM s a JOIN s b ON a.pos = b.pos AND a.id < b.id WHERE least(len(a.s), len(b.s)) >= 4 AND len(list_intersect(a.s, b.s)) >= 2")
+def beat_overlap(v):
+    return same_position(v).where("least >= 4 AND shared >= 2").select("x", "y", F.round(F.col("shared") / F.col("least"), 6).alias("ratio"))
+
+
+@query("same_beat", f"WITH s AS ({SC}) SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.pos = b.pos AND a.id < b.id WHERE least(len(a.s), len(b.s)) >= 4 AND len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) >= 0.3")
+def same_beat(v):
+    return same_position(v).where("least >= 4 AND shared / least >= 0.3").select("x", "y")
+
+
+@query("twin_candidates", f"WITH s AS ({SC}), p AS (SELECT a.pos, a.id AS x, b.id AS y, len(list_intersect(a.s, b.s)) AS shared, least(len(a.s), len(b.s)) AS n FROM s a JOIN s b ON a.pos = b.pos AND a.id < b.id) SELECT x, y, shared FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY shared / n DESC, x, y) AS r FROM p WHERE shared >= 3 AND shared / n >= 0.1 AND shared / n < 0.7) WHERE r <= 12")
+def twin_candidates(v):
+    p = same_position(v).withColumn("ratio", F.col("shared") / F.col("least")).where("shared >= 3 AND ratio >= 0.1 AND ratio < 0.7")
+    rank = F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("ratio"), "x", "y"))
+    return p.withColumn("r", rank).where("r <= 12").select("x", "y", "shared")
+
+
+DOCS = f"SELECT doc_id, {content('substr(text, 1, 400)')} AS s FROM documents"
+
+
+@query("find_echo", f"WITH s AS ({DOCS}), p AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON b.doc_id < a.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0) SELECT x, y, round(i / (n - i), 6) AS score, i / (n - i) >= 0.8 AS too_close FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY i / (n - i) DESC, y) AS r FROM p WHERE i / (n - i) >= 0.6) WHERE r = 1")
+def find_echo(v):
+    sets = v.documents.select("doc_id", tx.content_tokens(F.substring("text", 1, 400)).alias("set"))
+    near = gm.jaccard_join(sets.withColumnRenamed("doc_id", "l"), sets.withColumnRenamed("doc_id", "r"), [], 0.6).where("r < l")
+    best = hz.first_by(near, ["l"], [F.desc("score"), F.asc("r")])
+    return best.select(F.col("l").alias("x"), F.col("r").alias("y"), F.round("score", 6).alias("score"), (F.col("score") >= 0.8).alias("too_close"))
+
+
+@query("fold_echoes", f"WITH s AS ({DOCS}), p AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON b.doc_id < a.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0) SELECT x, min(y) AS folded_into FROM p WHERE i / (n - i) >= 0.8 GROUP BY x")
+def fold_echoes(v):
+    sets = v.documents.select("doc_id", tx.content_tokens(F.substring("text", 1, 400)).alias("set"))
+    near = gm.jaccard_join(sets.withColumnRenamed("doc_id", "l"), sets.withColumnRenamed("doc_id", "r"), [], 0.8).where("r < l")
+    return near.groupBy(F.col("l").alias("x")).agg(F.min("r").alias("folded_into"))
+
+
+@query("exact_twin", f"WITH n AS ({NAMED}) SELECT p.id, min(n.id) AS twin FROM kg_proposals p JOIN kg_names l ON l.entity_id = p.subject AND l.kind = 'true_name' JOIN n ON lower(n.label) = lower(l.label) AND n.node_type = 'character' AND n.id <> p.subject WHERE p.category = 'entity' GROUP BY p.id")
+def exact_twin(v):
+    wanted = v.proposals.where("category = 'entity'").select(F.col("id").alias("card"), F.col("subject").alias("entity_id")).join(v.names.where("kind = 'true_name'").select("entity_id", F.lower("label").alias("k")), "entity_id")
+    known = named(v).where("node_type = 'character'").select("id", F.lower("label").alias("k"))
+    return wanted.join(known, "k").where("id <> entity_id").groupBy(F.col("card").alias("id")).agg(F.min("id").alias("twin"))
+
+
+@query("exact_name_groups", f"WITH n AS ({NAMED}) SELECT node_type, label, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM n GROUP BY node_type, label HAVING count(DISTINCT id) > 1")
+def exact_name_groups(v):
+    return named(v).groupBy("node_type", "label").agg(F.count_distinct("id").alias("n"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids")).where("n > 1")
+
+
+@query("catalogue_match", f"""WITH w AS (SELECT DISTINCT label, list_sort({tok('label')}) AS s FROM kg_names WHERE entity_id[1] IN ('n', 'r', 's')),
+    c AS (SELECT n_name AS name, n_nationkey AS first, list_sort({tok('n_name')}) AS s FROM nation UNION ALL SELECT concat(split_part(s_name, '#', 2), ' ', split_part(s_name, '#', 1)), s_suppkey, list_sort({tok('s_name')}) FROM supplier),
+    m AS (SELECT w.label, c.name, c.first, CASE WHEN w.label = c.name THEN 1.0 ELSE 0.95 END AS score FROM w JOIN c ON w.s = c.s)
+    SELECT label, name, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, first, name) AS r FROM m) WHERE r = 1""")
+def catalogue_match(v):
+    wanted = v.names.where("entity_id LIKE 'n%' OR entity_id LIKE 'r%' OR entity_id LIKE 's%'").select("label").distinct().withColumn("k", tx.signature(F.col("label")))
+    turned = F.concat(F.split_part("s_name", F.lit("#"), F.lit(2)), F.lit(" "), F.split_part("s_name", F.lit("#"), F.lit(1)))
+    shelf = v.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("first")).union(v.supplier.select(turned, "s_suppkey")).withColumn("k", tx.signature(F.col("name")))
+    found = wanted.join(shelf, "k").withColumn("score", F.when(F.col("label") == F.col("name"), 1.0).otherwise(0.95))
+    return hz.first_by(found, ["label"], [F.desc("score"), F.asc("first"), F.asc("name")]).select("label", "name", "score")
+
+
+@query("too_late_guard", "SELECT n.entity_id, n.revealed_pos, min(a.revealed_pos) AS first_appearance FROM kg_names n JOIN kg_attachments a ON a.entity_id = n.entity_id WHERE n.kind = 'alias' GROUP BY n.entity_id, n.revealed_pos HAVING min(a.revealed_pos) - n.revealed_pos > 20")
+def too_late_guard(v):
+    first = v.attachments.groupBy("entity_id").agg(F.min("revealed_pos").alias("first_appearance"))
+    return v.names.where("kind = 'alias'").select("entity_id", "revealed_pos").join(first, "entity_id").where("first_appearance - revealed_pos > 20")
+
+
+@query("people_count", "SELECT label, count(DISTINCT entity_id) AS people FROM kg_names WHERE kind = 'true_name' GROUP BY label HAVING count(DISTINCT entity_id) > 1")
+def people_count(v):
+    return v.names.where("kind = 'true_name'").groupBy("label").agg(F.count_distinct("entity_id").alias("people")).where("people > 1")
+
+
+@query("spelling_variants", "WITH w AS (SELECT DISTINCT p_name AS w FROM part UNION SELECT DISTINCT lower(c_mktsegment) || n_name FROM customer JOIN nation ON n_nationkey = c_nationkey UNION SELECT concat('Name ', x) FROM range(120) r(x)) SELECT a.w AS x, b.w AS y FROM w a JOIN w b ON a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 WHERE levenshtein(a.w, b.w) = 1")
+def spelling_variants(v):
+    mixed = v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat(F.lower("c_mktsegment"), "n_name").alias("w"))
+    words = v.part.select(F.col("p_name").alias("w")).union(mixed).union(v.spark.range(120).select(F.concat(F.lit("Name "), F.col("id").cast("string")))).distinct()
+    keyed_ = words.select("w", F.explode(gm.delete_one(F.col("w"))).alias("k"))
+    pairs = keyed_.withColumnRenamed("w", "x").join(keyed_.withColumnRenamed("w", "y"), "k").where("x < y").select("x", "y").distinct()
+    return pairs.where(F.levenshtein("x", "y", 1) == 1)
+
+
+BITS = "list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(embedding[1:64], lambda x: CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS HUGEINT))), lambda a, b: a * 2 + b)"
+
+
+@query("hash_near_dups", f"WITH h AS (SELECT vec_id, {BITS} AS h FROM embeddings) SELECT a.vec_id AS id, b.vec_id AS id2, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 10")
+def hash_near_dups(v):
+    return gm.within_hamming(v.embeddings.select("vec_id", gm.sign_bits(F.col("embedding")).alias("h")), "vec_id", "h", 10)
+
+
+BOX = "SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS k, CAST(l_quantity AS INT) AS x, CAST(l_partkey % 40 AS INT) AS y FROM lineitem WHERE l_orderkey % 10 = 0"
+
+
+def boxes(v):
+    return v.lineitem.where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.col("l_quantity").cast("int").alias("x"), (F.col("l_partkey") % 40).cast("int").alias("y"))
+
+
+@query("box_assign", f"""WITH b AS ({BOX}), t AS (SELECT * FROM b WHERE n > 2), p AS (SELECT * FROM b WHERE n <= 2),
+    o AS (SELECT t.page, t.n, t.k, p.n AS panel, p.k AS pk, greatest(0, least(t.x + 10, p.x + 30) - greatest(t.x, p.x)) * greatest(0, least(t.y + 10, p.y + 30) - greatest(t.y, p.y)) AS area FROM t JOIN p USING (page))
+    SELECT page, n, k, arg_max(panel, (area, -panel, -pk)) AS panel FROM o WHERE area >= 50 GROUP BY page, n, k""")
+def box_assign(v):
+    b = boxes(v)
+    t, p = b.where("n > 2"), b.where("n <= 2").select("page", F.col("n").alias("panel"), F.col("k").alias("pk"), F.col("x").alias("px"), F.col("y").alias("py"))
+    side = lambda a, c: F.greatest(F.lit(0), F.least(F.col(a) + 10, F.col(c) + 30) - F.greatest(F.col(a), F.col(c)))
+    over = t.join(p, "page").withColumn("area", side("x", "px") * side("y", "py")).where("area >= 50")
+    return over.groupBy("page", "n", "k").agg(F.max_by("panel", F.struct("area", -F.col("panel"), -F.col("pk"))).alias("panel"))
+
+
+@query("reading_order", f"""WITH b AS ({BOX}), g AS (SELECT *, CASE WHEN y - lag(y) OVER w > 5 THEN 1 ELSE 0 END AS gap FROM b WINDOW w AS (PARTITION BY page ORDER BY y, x, n, k)),
+    r AS (SELECT *, sum(gap) OVER (PARTITION BY page ORDER BY y, x, n, k ROWS UNBOUNDED PRECEDING) AS line FROM g) SELECT page, n, k, row_number() OVER (PARTITION BY page ORDER BY line, x DESC, y, n, k) AS place FROM r""")
+def reading_order(v):
+    down = Window.partitionBy("page").orderBy("y", "x", "n", "k")
+    gap = boxes(v).withColumn("gap", F.when(F.col("y") - F.lag("y").over(down) > 5, 1).otherwise(0))
+    lines = gap.withColumn("line", F.sum("gap").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    return lines.select("page", "n", "k", F.row_number().over(Window.partitionBy("page").orderBy("line", F.desc("x"), "y", "n", "k")).alias("place"))
+
+
+@query("gallery_match", "SELECT entity_id, image, score FROM (SELECT n.entity_id, a.image, 10 + CASE WHEN a.kind = 'poster' THEN 90 ELSE 0 END + CASE WHEN a.era = 'later' THEN 70 ELSE 0 END AS score, row_number() OVER (PARTITION BY n.entity_id ORDER BY 10 + CASE WHEN a.kind = 'poster' THEN 90 ELSE 0 END + CASE WHEN a.era = 'later' THEN 70 ELSE 0 END DESC, a.created) AS r FROM kg_names n JOIN kg_attachments a USING (entity_id) WHERE n.kind = 'placeholder' AND a.revealed_pos IS NOT NULL) WHERE r = 1")
+def gallery_match(v):
+    named_ = v.names.where("kind = 'placeholder'").select("entity_id")
+    score = F.lit(10) + F.when(F.col("kind") == "poster", 90).otherwise(0) + F.when(F.col("era") == "later", 70).otherwise(0)
+    found = named_.join(v.attachments.where("revealed_pos IS NOT NULL"), "entity_id").withColumn("score", score)
+    return hz.first_by(found, ["entity_id"], [F.desc("score"), F.asc("created")]).select("entity_id", "image", "score")
