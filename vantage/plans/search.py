@@ -1 +1,135 @@
-"""Search queries."""
+"""Search and question context."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vantage.operators import horizon as hz
+from vantage.operators import search as se
+from vantage.operators import text as tx
+from vantage.plans.catalog import H, query
+from vantage.plans.text import content, tok, word_grams
+
+#: Query, tokens that are wanted, tokens that exclude.
+ASKED = [("q1", ["the", "tion"], ["idiot"]), ("q2", ["le", "est"], []), ("q3", ["der", "ist"], ["und"])]
+FUZZY = [("q1", "argentina"), ("q2", "Name 12"), ("q3", "building")]
+QSQL = "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{t}', {w})" for q, yes, no in ASKED for t, w in [(x, "true") for x in yes] + [(x, "false") for x in no]) + ") AS t(query_id, token, wanted)"
+
+
+def tokens_asked(v):
+    return v.spark.createDataFrame([(q, t, w) for q, yes, no in ASKED for t, w in [(x, True) for x in yes] + [(x, False) for x in no]], "query_id string, token string, wanted boolean")
+
+
+INDEX = f"SELECT token, id, count(*) AS n, min(place) AS place FROM (SELECT id, unnest({tok('summary')}) AS token, generate_subscripts({tok('summary')}, 1) - 1 AS place FROM kg_scenes) GROUP BY token, id"
+LEX = f"i AS ({INDEX}), q AS ({QSQL}), h AS (SELECT query_id, id, count(*) AS matched, sum(n) AS n FROM q JOIN i USING (token) WHERE wanted GROUP BY query_id, id), b AS (SELECT DISTINCT query_id, id FROM q JOIN i USING (token) WHERE NOT wanted), lex AS (SELECT * FROM (SELECT query_id, id, matched, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, n DESC, id) AS rank FROM h ANTI JOIN b USING (query_id, id)) WHERE rank <= 20)"
+
+
+def index(v):
+    return se.inverted_index(v.scenes, "id", "summary")
+
+
+def lexical(v):
+    return se.lexical(index(v), tokens_asked(v), 20)
+
+
+@query("fts_index", INDEX)
+def fts_index(v):
+    return index(v)
+
+
+@query("lexical_search", f"WITH {LEX} SELECT query_id, id, matched, rank FROM lex")
+def lexical_search(v):
+    return lexical(v).select("query_id", "id", "matched", "rank")
+
+
+@query("headline", f"WITH t AS (SELECT id, {tok('summary')} AS w FROM kg_scenes), f AS (SELECT id, w, list_position(w, 'tion') AS p FROM t WHERE list_contains(w, 'tion')) SELECT id, array_to_string(w[greatest(1, p - 8):p + 8], ' ') AS headline FROM f")
+def headline(v):
+    w = v.scenes.select("id", tx.tokens(F.col("summary")).alias("w")).where(F.array_contains("w", "tion")).withColumn("p", F.array_position("w", "tion").cast("int"))
+    a = F.greatest(F.lit(1), F.col("p") - 8)
+    return w.select("id", F.array_join(F.slice("w", a, F.col("p") + 9 - a), " ").alias("headline"))
+
+
+FZ = f"fq AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in FUZZY)}) AS t(query_id, query)), fl AS (SELECT entity_id, {word_grams('label')} AS s FROM kg_names WHERE revealed_pos <= $h), fg AS (SELECT query_id, {word_grams('query')} AS s FROM fq), fz AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT fg.query_id, fl.entity_id AS id, max(len(list_intersect(fg.s, fl.s)) / len(list_distinct(list_concat(fg.s, fl.s)))) AS score FROM fg, fl GROUP BY 1, 2) WHERE score >= 0.3) WHERE rank <= 20)"
+
+
+def fuzzy(v):
+    return se.gram_search(hz.asof(v.names, "revealed_pos", H), v.spark.createDataFrame(FUZZY, "query_id string, query string"), 0.3, 20)
+
+
+@query("fuzzy_search", f"WITH {FZ} SELECT query_id, id, round(score, 6) AS score, rank FROM fz")
+def fuzzy_search(v):
+    return fuzzy(v).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("entity_lookup", "SELECT entity_id, label FROM (SELECT n.entity_id, n.label, row_number() OVER (PARTITION BY n.entity_id ORDER BY length(n.label), n.label) AS r FROM kg_names n JOIN kg_entities e ON e.id = n.entity_id AND e.status = 'accepted' WHERE contains(lower(n.label), 'an') AND n.revealed_pos <= $h) WHERE r = 1 ORDER BY length(label), entity_id LIMIT 40")
+def entity_lookup(v):
+    found = hz.asof(v.names, "revealed_pos", H).where(F.contains(F.lower("label"), F.lit("an"))).join(v.entities.where("status = 'accepted'").select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    return hz.first_by(found, ["entity_id"], [F.length("label").asc(), F.asc("label")]).orderBy(F.length("label"), "entity_id").limit(40).select("entity_id", "label")
+
+
+VEC = "vec AS (SELECT * FROM (SELECT q.id AS query_id, c.id, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.id) AS rank FROM kg_vectors q JOIN kg_vectors c ON c.id <> q.id WHERE q.vec_id < 5) WHERE rank <= 10)"
+
+
+def vectors(v):
+    return se.vector_search(v.vectors, v.vectors.where("vec_id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), 10)
+
+
+@query("vector_search", f"WITH {VEC} SELECT query_id, id, round(score, 6) AS score, rank FROM vec")
+def vector_search(v):
+    return vectors(v).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+RRF = f"WITH {LEX}, {FZ}, u AS (SELECT query_id, id, rank, 'lexical' AS mode FROM lex UNION ALL SELECT query_id, id, rank, 'fuzzy' FROM fz) SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes FROM u GROUP BY query_id, id"
+
+
+@query("rrf_fuse", RRF)
+def rrf_fuse(v):
+    return se.fuse({"lexical": lexical(v), "fuzzy": fuzzy(v)})
+
+
+@query("hybrid_search", RRF.replace(" SELECT query_id, id, round(sum", " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM (SELECT query_id, id, round(sum") + ")) WHERE place <= 10")
+def hybrid_search(v):
+    fused = se.fuse({"lexical": lexical(v), "fuzzy": fuzzy(v)})
+    return fused.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("place <= 10")
+
+
+@query("broaden_query", f"SELECT id, array_to_string(list_sort({content('question')}), ' or ') AS query FROM kg_questions")
+def broaden_query(v):
+    return v.questions.select("id", F.array_join(F.array_sort(tx.content_tokens(F.col("question"))), " or ").alias("query"))
+
+
+@query("qa_context", """SELECT a.id, a.subject, a.predicate, a.object, min(e.excerpt) AS excerpt FROM (SELECT * FROM kg_assertions WHERE status = 'accepted' AND from_pos <= $h AND (until_pos IS NULL OR until_pos > $h) AND (subject IN ('c1', 'c8') OR object IN ('c1', 'c8')) ORDER BY from_pos, id LIMIT 40) a
+    LEFT JOIN kg_evidence e ON e.assertion_id = a.id GROUP BY a.id, a.subject, a.predicate, a.object""")
+def qa_context(v):
+    near = hz.asof_assertions(v.assertions, H).where("subject IN ('c1', 'c8') OR object IN ('c1', 'c8')").orderBy("from_pos", "id").limit(40)
+    quotes = v.evidence.groupBy(F.col("assertion_id").alias("id")).agg(F.min("excerpt").alias("excerpt"))
+    return near.join(quotes, "id", "left").select("id", "subject", "predicate", "object", "excerpt")
+
+
+CITES = "SELECT e.id, CASE WHEN a.id IS NULL THEN 'unknown' WHEN a.status <> 'accepted' THEN 'not accepted' WHEN a.from_pos > $h THEN 'beyond the horizon' WHEN row_number() OVER (PARTITION BY e.assertion_id ORDER BY e.id) > 1 THEN 'repeated' ELSE 'kept' END AS verdict FROM kg_evidence e LEFT JOIN kg_assertions a ON a.id = e.assertion_id"
+
+
+def citations(v):
+    a = v.assertions.select(F.col("id").alias("assertion_id"), "status", "from_pos", F.lit(True).alias("found"))
+    nth = F.row_number().over(Window.partitionBy("assertion_id").orderBy("id"))
+    verdict = F.when(F.col("found").isNull(), "unknown").when(F.col("status") != "accepted", "not accepted").when(F.col("from_pos") > H, "beyond the horizon").when(F.col("nth") > 1, "repeated").otherwise("kept")
+    return v.evidence.select("id", "assertion_id").join(a, "assertion_id", "left").withColumn("nth", nth).select("id", verdict.alias("verdict"))
+
+
+@query("verify_citations", CITES)
+def verify_citations(v):
+    return citations(v)
+
+
+@query("eval_answers", f"SELECT verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS rate FROM ({CITES}) GROUP BY verdict")
+def eval_answers(v):
+    counts = citations(v).groupBy("verdict").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("verdict", "n", F.round(F.col("n") / F.col("total"), 6).alias("rate"))  # one row of totals
+
+
+@query("groundedness", f"WITH p AS (SELECT id, {content('summary')} AS s, {content('excerpt')} AS x FROM (SELECT e.id, s.summary, e.excerpt FROM kg_evidence e JOIN kg_scenes s ON s.id = e.passage_id)) SELECT id, CASE WHEN len(x) = 0 THEN 0 ELSE round(len(list_intersect(x, s)) / len(x), 6) END AS grounded FROM p")
+def groundedness(v):
+    pair = v.evidence.join(v.scenes.select(F.col("id").alias("passage_id"), "summary"), "passage_id").select("id", tx.content_tokens(F.col("excerpt")).alias("x"), tx.content_tokens(F.col("summary")).alias("s"))
+    return pair.select("id", F.when(F.size("x") == 0, 0.0).otherwise(F.round(F.size(F.array_intersect("x", "s")) / F.size("x"), 6)).alias("grounded"))

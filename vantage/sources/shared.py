@@ -5,21 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back: iterations keep short plans and survive lost executors.
-
-    A session without that setting (a test on one machine) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a session without it (a test on one machine) gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="vantage-")
         if not held.isDefined():
             spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: iterations keep short plans and survive lost executors."""
+    path = f"{shared_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
