@@ -1 +1,259 @@
-"""Audits queries."""
+"""Validation, conflicts and audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vantage.operators import horizon as hz
+from vantage.operators import text as tx
+from vantage.operators import validate as va
+from vantage.plans.catalog import H, query
+from vantage.plans.text import norm
+
+TYPED = "WITH t AS (SELECT a.*, s.node_type AS st, o.node_type AS ot, n.subject_types, n.object_types FROM kg_assertions a LEFT JOIN kg_entities s ON s.id = a.subject LEFT JOIN kg_entities o ON o.id = a.object LEFT JOIN kg_ontology n USING (predicate)), f AS (SELECT *, coalesce(list_contains(string_split(subject_types, ' '), st) AND list_contains(string_split(object_types, ' '), ot), false) AS fits, coalesce(list_contains(string_split(subject_types, ' '), ot) AND list_contains(string_split(object_types, ' '), st), false) AS reversed_fits FROM t)"
+
+
+@query("check_types", TYPED + " SELECT id, fits, reversed_fits FROM f")
+def check_types(v):
+    return va.check_types(v.assertions, v.entities, v.ontology).select("id", "fits", "reversed_fits")
+
+
+@query("assertion_constraints", "SELECT id, array_to_string(list_filter([CASE WHEN subject = object THEN 'self' END, CASE WHEN until_pos <= from_pos THEN 'window' END, CASE WHEN confidence < 0.92 THEN 'weak' END, CASE WHEN object IS NULL THEN 'no object' END], lambda x: x IS NOT NULL), ',') AS violations FROM kg_assertions WHERE subject = object OR until_pos <= from_pos OR confidence < 0.92 OR object IS NULL")
+def assertion_constraints(v):
+    found = va.all_reasons((F.col("subject") == F.col("object"), "self"), (F.col("until_pos") <= F.col("from_pos"), "window"), (F.col("confidence") < 0.92, "weak"), (F.col("object").isNull(), "no object"))
+    return v.assertions.select("id", found.alias("v")).where(F.size("v") > 0).select("id", F.array_join("v", ",").alias("violations"))
+
+
+ANCHOR = f"SELECT e.id, CASE WHEN e.excerpt = '' THEN 'empty excerpt' WHEN p.id IS NULL THEN 'unknown passage' WHEN e.kind = 'visual' AND e.description IS NULL THEN 'visual without description' WHEN NOT contains({norm('p.summary')}, {norm('e.excerpt')}) THEN 'not in source' END AS reason FROM kg_evidence e LEFT JOIN kg_scenes p ON p.id = e.passage_id AND p.ord < 3"
+
+
+def anchored(v):
+    p = v.scenes.where("ord < 3").select(F.col("id").alias("passage_id"), "summary")
+    held = F.contains(tx.normalise(F.col("summary")), tx.normalise(F.col("excerpt")))
+    reason = va.first_reason((F.col("excerpt") == "", "empty excerpt"), (F.col("summary").isNull(), "unknown passage"), ((F.col("kind") == "visual") & F.col("description").isNull(), "visual without description"), (~held, "not in source"))
+    return v.evidence.join(p, "passage_id", "left").select("id", "assertion_id", reason.alias("reason"))
+
+
+@query("anchor_check", ANCHOR)
+def anchor_check(v):
+    return anchored(v).select("id", "reason")
+
+
+@query("evidence_check", f"SELECT coalesce(reason, 'fine') AS reason, count(*) AS n FROM ({ANCHOR}) GROUP BY 1")
+def evidence_check(v):
+    return anchored(v).groupBy(F.coalesce("reason", F.lit("fine")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+REASON = "CASE WHEN e.id IS NULL THEN 'unknown subject' WHEN p.confidence < 0.4 THEN 'low confidence' WHEN p.category = 'assertion' AND o.id IS NULL THEN 'unknown object' WHEN length(trim(p.summary)) < 40 THEN 'too short' WHEN p.predicate = 'same_as' AND p.category = 'assertion' THEN 'identity needs review' END"
+FILTERED = f"SELECT p.*, {REASON} AS reason FROM kg_proposals p LEFT JOIN kg_entities e ON e.id = p.subject AND e.status = 'accepted' LEFT JOIN kg_entities o ON o.id = p.object AND o.first_pos <= 5"
+
+
+def filtered(v):
+    e = v.entities.where("status = 'accepted'").select(F.col("id").alias("subject"), F.lit(True).alias("has_s"))
+    o = v.entities.where("first_pos <= 5").select(F.col("id").alias("object"), F.lit(True).alias("has_o"))
+    relation = F.col("category") == "assertion"
+    reason = va.first_reason((F.col("has_s").isNull(), "unknown subject"), (F.col("confidence") < 0.4, "low confidence"), (relation & F.col("has_o").isNull(), "unknown object"), (F.length(F.trim("summary")) < 40, "too short"), ((F.col("predicate") == "same_as") & relation, "identity needs review"))
+    return v.proposals.join(e, "subject", "left").join(o, "object", "left").withColumn("reason", reason)
+
+
+@query("filter_proposals", f"SELECT id, reason FROM ({FILTERED})")
+def filter_proposals(v):
+    return filtered(v).select("id", "reason")
+
+
+@query("refile_misfiled", "SELECT id, CASE WHEN category = 'entity' AND lower(summary) LIKE '%tion%' AND local_id NOT IN (SELECT local_id FROM kg_proposals WHERE category = 'assertion') THEN 'event' ELSE category END AS category FROM kg_proposals")
+def refile_misfiled(v):
+    used = v.proposals.where("category = 'assertion'").select("local_id").distinct().withColumn("used", F.lit(True))
+    moved = (F.col("category") == "entity") & F.contains(F.lower("summary"), F.lit("tion")) & F.col("used").isNull()
+    return v.proposals.join(used, "local_id", "left").select("id", F.when(moved, "event").otherwise(F.col("category")).alias("category"))
+
+
+@query("date_anchor", "SELECT id, CASE WHEN time_year IS NOT NULL AND regexp_matches(summary, '[0-9]') THEN time_year END AS year FROM kg_scenes")
+def date_anchor(v):
+    return v.scenes.select("id", F.when(F.col("time_year").isNotNull() & F.col("summary").rlike("[0-9]"), F.col("time_year")).alias("year"))
+
+
+@query("transcription_filter", "SELECT l_orderkey AS page, l_partkey AS k FROM lineitem WHERE l_quantity > 0 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
+def transcription_filter(v):
+    return v.lineitem.where("l_quantity > 0").join(v.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("k"))
+
+
+CLASH = "SELECT n.id, o.id AS old, n.subject, n.object, o.object AS was FROM kg_assertions n JOIN kg_assertions o ON o.subject = n.subject AND o.predicate = n.predicate AND o.object <> n.object WHERE n.predicate = 'owns' AND n.status = 'accepted' AND n.from_pos = $h AND o.status = 'accepted' AND o.from_pos <= $h - 1 AND (o.until_pos IS NULL OR o.until_pos > $h - 1)"
+
+
+@query("detect_conflicts", CLASH)
+def detect_conflicts(v):
+    return va.single_valued_clashes(v.assertions, "owns", H)
+
+
+@query("conflict_window", "SELECT id, subject FROM kg_assertions WHERE status = 'accepted' AND from_pos <= $h - 1 AND (until_pos IS NULL OR until_pos > $h - 1)")
+def conflict_window(v):
+    return hz.asof_assertions(v.assertions, H - 1).select("id", "subject")
+
+
+@query("audit_premature_name", "SELECT n.entity_id, n.label, n.revealed_pos, min(o.pos) AS first_seen FROM kg_names n JOIN kg_occurrences o ON o.entity_id = n.entity_id WHERE n.kind = 'true_name' GROUP BY n.entity_id, n.label, n.revealed_pos HAVING n.revealed_pos < min(o.pos)")
+def audit_premature_name(v):
+    first = v.occurrences.groupBy("entity_id").agg(F.min("pos").alias("first_seen"))
+    return v.names.where("kind = 'true_name'").join(first, "entity_id").where("revealed_pos < first_seen").select("entity_id", "label", "revealed_pos", "first_seen")
+
+
+@query("audit_late_entrance", "SELECT e.id, e.first_pos, min(o.pos) AS written FROM kg_entities e JOIN kg_occurrences o ON o.entity_id = e.id WHERE o.stated GROUP BY e.id, e.first_pos HAVING min(o.pos) > e.first_pos")
+def audit_late_entrance(v):
+    written = v.occurrences.where("stated").groupBy(F.col("entity_id").alias("id")).agg(F.min("pos").alias("written"))
+    return v.entities.join(written, "id").where("written > first_pos").select("id", "first_pos", "written")
+
+
+@query("audit_identity_with_member", "SELECT DISTINCT i.id FROM kg_assertions i JOIN kg_assertions m ON least(m.subject, m.object) = least(i.subject, i.object) AND greatest(m.subject, m.object) = greatest(i.subject, i.object) WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND m.predicate <> 'same_as'")
+def audit_identity_with_member(v):
+    member = v.assertions.where("predicate <> 'same_as'").select(*va.unordered())
+    return va.identities(v.assertions).select("id", *va.unordered()).join(member, ["a", "b"], "left_semi").select("id")
+
+
+@query("audit_impossible_identity", "SELECT i.id, s.node_type AS a, o.node_type AS b FROM kg_assertions i JOIN kg_entities s ON s.id = i.subject JOIN kg_entities o ON o.id = i.object WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND s.node_type <> o.node_type")
+def audit_impossible_identity(v):
+    return va.with_types(va.identities(v.assertions), v.entities).where("subject_type <> object_type").select("id", F.col("subject_type").alias("a"), F.col("object_type").alias("b"))
+
+
+@query("audit_anachronic_identity", "SELECT i.id, i.from_pos, greatest(s.first_pos, o.first_pos) AS known FROM kg_assertions i JOIN kg_entities s ON s.id = i.subject JOIN kg_entities o ON o.id = i.object WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND i.from_pos < greatest(s.first_pos, o.first_pos)")
+def audit_anachronic_identity(v):
+    first = lambda end: v.entities.select(F.col("id").alias(end), F.col("first_pos").alias(f"{end}_first"))
+    both = va.identities(v.assertions).join(first("subject"), "subject").join(first("object"), "object")
+    return both.withColumn("known", F.greatest("subject_first", "object_first")).where("from_pos < known").select("id", "from_pos", "known")
+
+
+@query("audit_reversed_identity", """WITH s AS (SELECT i.id, n.entity_id, n.label, n.kind, n.precedence, n.revealed_pos FROM kg_assertions i JOIN kg_names n ON n.entity_id IN (i.subject, i.object) WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND n.revealed_pos <= i.from_pos)
+    SELECT id, arg_max(label, (revealed_pos, precedence, label)) AS latest, arg_max(label, (precedence, revealed_pos, label)) AS shown FROM s WHERE kind <> 'wording' GROUP BY id HAVING arg_max(label, (revealed_pos, precedence, label)) <> arg_max(label, (precedence, revealed_pos, label))""")
+def audit_reversed_identity(v):
+    ends = va.identities(v.assertions).select("id", "from_pos", F.explode(F.array("subject", "object")).alias("entity_id"))
+    seen = ends.join(v.names.where("kind <> 'wording'"), "entity_id").where("revealed_pos <= from_pos")
+    pair = seen.groupBy("id").agg(F.max_by("label", F.struct("revealed_pos", "precedence", "label")).alias("latest"), F.max_by("label", F.struct("precedence", "revealed_pos", "label")).alias("shown"))
+    return pair.where("latest <> shown")
+
+
+@query("audit_question_records", "SELECT id, opened_pos, resolved_pos, CASE WHEN resolved_pos <= opened_pos THEN 'answered at once' WHEN state = 'resolved' AND resolved_pos IS NULL THEN 'no date' END AS finding FROM kg_questions WHERE resolved_pos <= opened_pos OR (state = 'resolved' AND resolved_pos IS NULL)")
+def audit_question_records(v):
+    finding = va.first_reason((F.col("resolved_pos") <= F.col("opened_pos"), "answered at once"), ((F.col("state") == "resolved") & F.col("resolved_pos").isNull(), "no date"))
+    return v.questions.select("id", "opened_pos", "resolved_pos", finding.alias("finding")).where("finding IS NOT NULL")
+
+
+@query("audit_cover_only", "SELECT assertion_id FROM kg_evidence GROUP BY assertion_id HAVING bool_and(kind = 'visual')")
+def audit_cover_only(v):
+    return v.evidence.groupBy("assertion_id").agg(F.bool_and(F.col("kind") == "visual").alias("only")).where("only").select("assertion_id")
+
+
+@query("audit_double_entrance", "WITH n AS (SELECT e.node_type, l.label, min(e.id) AS a, max(e.id) AS b, count(DISTINCT e.id) AS n FROM kg_entities e JOIN kg_names l ON l.entity_id = e.id AND l.kind = 'true_name' WHERE e.status = 'accepted' AND e.node_type <> 'object' GROUP BY 1, 2 HAVING count(DISTINCT e.id) > 1) SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM kg_assertions i WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND least(i.subject, i.object) = n.a AND greatest(i.subject, i.object) = n.b)")
+def audit_double_entrance(v):
+    named = v.entities.where("status = 'accepted' AND node_type <> 'object'").join(v.names.where("kind = 'true_name'").select(F.col("entity_id").alias("id"), "label"), "id")
+    twice = named.groupBy("node_type", "label").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count_distinct("id").alias("n")).where("n > 1")
+    return twice.join(va.identities(v.assertions).select(*va.unordered()), ["a", "b"], "left_anti").select("node_type", "label", "a", "b", "n")
+
+
+@query("merge_findings", "WITH s AS (SELECT id AS fingerprint, CASE WHEN seq % 3 = 0 THEN 'ignored' ELSE 'open' END AS status FROM kg_proposals WHERE seq < 600), f AS (SELECT id AS fingerprint FROM kg_proposals WHERE seq >= 300) SELECT coalesce(s.fingerprint, f.fingerprint) AS fingerprint, CASE WHEN s.status IS NULL THEN 'insert' WHEN s.status <> 'open' THEN 'leave' WHEN f.fingerprint IS NOT NULL THEN 'keep' ELSE 'resolve' END AS action FROM s FULL JOIN f ON s.fingerprint = f.fingerprint")
+def merge_findings(v):
+    stored = v.proposals.where("seq < 600").select(F.col("id").alias("fingerprint"), F.when(F.col("seq") % 3 == 0, "ignored").otherwise("open").alias("status"))
+    return va.merge_findings(stored, v.proposals.where("seq >= 300").select(F.col("id").alias("fingerprint")))
+
+
+@query("audit_state", "SELECT category AS analysis, count(*) FILTER (status = 'proposed') AS open, count(*) FILTER (status = 'accepted') AS applied, count(*) FILTER (status = 'rejected') AS ignored FROM kg_proposals GROUP BY category")
+def audit_state(v):
+    n = lambda s: F.count_if(F.col("status") == s)
+    return v.proposals.groupBy(F.col("category").alias("analysis")).agg(n("proposed").alias("open"), n("accepted").alias("applied"), n("rejected").alias("ignored"))
+
+
+@query("pass_ledger_due", "SELECT DISTINCT pos, step, input_hash FROM kg_steps s WHERE NOT EXISTS (SELECT 1 FROM kg_steps d WHERE d.event_id < 6000 AND NOT d.failed AND d.pos = s.pos AND d.step = s.step AND d.input_hash = s.input_hash)")
+def pass_ledger_due(v):
+    done = v.steps.where("event_id < 6000 AND NOT failed").select("pos", "step", "input_hash")
+    return v.steps.select("pos", "step", "input_hash").distinct().join(done, ["pos", "step", "input_hash"], "left_anti")
+
+
+@query("sound_resolutions", "SELECT q.id, min(coalesce(s.told_pos, s.shown_pos, 0)) AS sound FROM kg_questions q JOIN kg_scenes s ON s.recorded // 100 = q.recorded // 100 WHERE coalesce(s.told_pos, s.shown_pos, 0) > q.opened_pos GROUP BY q.id")
+def sound_resolutions(v):
+    s = v.scenes.select(F.coalesce("told_pos", "shown_pos", F.lit(0)).alias("at"), F.floor(F.col("recorded") / 100).alias("k"))
+    q = v.questions.withColumn("k", F.floor(F.col("recorded") / 100))
+    return q.join(s, "k").where("at > opened_pos").groupBy("id").agg(F.min("at").alias("sound"))
+
+
+@query("scene_passes", "SELECT id, CASE WHEN r <= 400 THEN (r - 1) // 100 END AS pass FROM (SELECT id, row_number() OVER (ORDER BY coalesce(told_pos, shown_pos, 0), recorded) AS r FROM kg_scenes WHERE coalesce(told_pos, shown_pos, 0) <= $h)")
+def scene_passes(v):
+    at = F.coalesce("told_pos", "shown_pos", F.lit(0))
+    seen = hz.asof_scenes(v.scenes, H).withColumn("at", at)
+    inside = seen.withColumn("k", F.row_number().over(Window.partitionBy("at").orderBy("recorded")))
+    before = seen.groupBy("at").agg(F.count("*").alias("n")).withColumn("b", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = inside.join(before.select("at", "b"), "at").withColumn("r", F.col("b") + F.col("k"))
+    return place.select("id", F.when(F.col("r") <= 400, F.floor((F.col("r") - 1) / 100)).alias("pass"))
+
+
+@query("questions_due", "SELECT id FROM kg_questions WHERE state = 'open' AND coalesce(swept_pos, 0) < (SELECT max(pos) FROM kg_positions WHERE status = 'published')")
+def questions_due(v):
+    latest = v.positions.where("status = 'published'").agg(F.max("pos").alias("latest"))
+    return v.questions.where("state = 'open'").crossJoin(F.broadcast(latest)).where("coalesce(swept_pos, 0) < latest").select("id")  # one row
+
+
+@query("identities_due", "SELECT i.id, i.from_pos FROM kg_assertions i WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND NOT EXISTS (SELECT 1 FROM kg_proposals p WHERE p.predicate = 'same_as' AND p.subject = i.subject AND p.status = 'proposed')")
+def identities_due(v):
+    return va.identities(v.assertions).join(v.proposals.where("predicate = 'same_as' AND status = 'proposed'").select("subject"), "subject", "left_anti").select("id", "from_pos")
+
+
+@query("identity_reveal", "SELECT i.id, min(o.pos) AS seen FROM kg_assertions i JOIN kg_occurrences o ON o.entity_id = i.object AND o.pos > i.from_pos AND o.pos <= i.from_pos + 15 WHERE i.predicate = 'same_as' GROUP BY i.id")
+def identity_reveal(v):
+    o = v.occurrences.select(F.col("entity_id").alias("object"), "pos")
+    near = v.assertions.where("predicate = 'same_as'").join(o, "object").where("pos > from_pos AND pos <= from_pos + 15")
+    return near.groupBy("id").agg(F.min("pos").alias("seen"))
+
+
+@query("context_window", "SELECT q.id, concat('b', row_number() OVER (PARTITION BY q.id ORDER BY coalesce(s.told_pos, s.shown_pos, 0), s.recorded)) AS ref, s.id AS scene FROM kg_questions q JOIN kg_scenes s ON coalesce(s.told_pos, s.shown_pos, 0) BETWEEN q.opened_pos - 2 AND q.opened_pos + 2")
+def context_window(v):
+    s = v.scenes.select(F.col("id").alias("scene"), F.coalesce("told_pos", "shown_pos", F.lit(0)).alias("at"), "recorded")
+    near = v.questions.select("id", F.explode(F.sequence(F.col("opened_pos") - 2, F.col("opened_pos") + 2)).alias("at"))  # a range of five keys, not a range join
+    ref = F.row_number().over(Window.partitionBy("id").orderBy("at", "recorded"))
+    return near.join(s, "at").select("id", F.concat(F.lit("b"), ref.cast("string")).alias("ref"), "scene")
+
+
+ROUTE = "CASE WHEN status <> 'proposed' THEN 'done' WHEN predicate = 'same_as' THEN 'hold: identity' WHEN category = 'entity' AND confidence < 0.5 THEN 'hold: naming' WHEN confidence < 0.75 THEN 'hold: confidence' WHEN NOT EXISTS (SELECT 1 FROM kg_entities e WHERE e.id = p.subject AND e.status = 'accepted') THEN 'defer: subject' ELSE 'accept' END"
+
+
+def routed(v):
+    known = v.entities.where("status = 'accepted'").select(F.col("id").alias("subject"), F.lit(True).alias("known"))
+    route = va.first_reason((F.col("status") != "proposed", "done"), (F.col("predicate") == "same_as", "hold: identity"), ((F.col("category") == "entity") & (F.col("confidence") < 0.5), "hold: naming"), (F.col("confidence") < 0.75, "hold: confidence"), (F.col("known").isNull(), "defer: subject"), (F.lit(True), "accept"))
+    return v.proposals.join(known, "subject", "left").withColumn("route", route)
+
+
+@query("auto_review", f"SELECT id, {ROUTE} AS route FROM kg_proposals p")
+def auto_review(v):
+    return routed(v).select("id", "route")
+
+
+@query("arbitration_settle", f"SELECT {ROUTE} AS route, count(*) AS n, round(avg(confidence), 6) AS confidence FROM kg_proposals p GROUP BY 1")
+def arbitration_settle(v):
+    return routed(v).groupBy("route").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query("append_only_check", "SELECT id, CASE WHEN confidence > 0.97 AND id[1] = 'l' THEN 'deleted' WHEN id[1] = 'o' AND from_pos % 2 = 0 THEN 'from_pos' END AS changed FROM kg_assertions WHERE (confidence > 0.97 AND id[1] = 'l') OR (id[1] = 'o' AND from_pos % 2 = 0)")
+def append_only_check(v):
+    after = v.assertions.where("NOT (confidence > 0.97 AND id LIKE 'l%')").withColumn("from_pos", F.when(F.col("id").startswith("o") & (F.col("from_pos") % 2 == 0), F.col("from_pos") + 1).otherwise(F.col("from_pos")))
+    return va.changed_rows(v.assertions, after, "id", ["subject", "predicate", "object", "from_pos"]).select("id", F.array_join("changed", ",").alias("changed"))
+
+
+@query("retype_conflicts", "SELECT a.id FROM kg_assertions a JOIN kg_ontology n USING (predicate) WHERE a.status = 'accepted' AND a.subject IN ('c1', 'c8', 'c15') AND NOT list_contains(string_split(n.subject_types, ' '), 'place')")
+def retype_conflicts(v):
+    o = F.broadcast(v.ontology.select("predicate", F.split("subject_types", " ").alias("st")))
+    touched = v.assertions.where("status = 'accepted' AND subject IN ('c1', 'c8', 'c15')")
+    return touched.join(o, "predicate").where(~F.array_contains("st", "place")).select("id")
+
+
+@query("orphan_assertions", "SELECT id FROM kg_assertions WHERE status = 'accepted' AND id[1] = 'o' AND id NOT IN (SELECT assertion_id FROM kg_evidence)")
+def orphan_assertions(v):
+    return v.assertions.where("status = 'accepted' AND id LIKE 'o%'").join(v.evidence.select(F.col("assertion_id").alias("id")), "id", "left_anti").select("id")
+
+
+@query("audit_sweep", """SELECT kind, count(*) AS n FROM (SELECT 'impossible identity' AS kind FROM kg_assertions i JOIN kg_entities s ON s.id = i.subject JOIN kg_entities o ON o.id = i.object WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND s.node_type <> o.node_type
+    UNION ALL SELECT 'anachronic identity' FROM kg_assertions i JOIN kg_entities s ON s.id = i.subject JOIN kg_entities o ON o.id = i.object WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND i.from_pos < greatest(s.first_pos, o.first_pos)
+    UNION ALL SELECT 'question record' FROM kg_questions WHERE resolved_pos <= opened_pos UNION ALL SELECT 'orphan' FROM kg_assertions WHERE status = 'accepted' AND id[1] = 'o' AND id NOT IN (SELECT assertion_id FROM kg_evidence)) GROUP BY kind""")
+def audit_sweep(v):
+    parts = {"impossible identity": audit_impossible_identity(v), "anachronic identity": audit_anachronic_identity(v), "question record": audit_question_records(v), "orphan": orphan_assertions(v)}
+    out = None
+    for kind, df in parts.items():
+        one = df.select(F.lit(kind).alias("kind"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("kind").agg(F.count("*").alias("n"))
