@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vantage.plans import audits, graph, health, horizon, identity, matching, search, store, streams, temporal, text  # noqa: F401
+from vantage.plans import audits, graph, health, horizon, identity, matching, reviews, search, store, streams, temporal, text  # noqa: F401
 from vantage.plans.catalog import CATALOG
 from vantage.sources.views import Views
 
