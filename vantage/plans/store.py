@@ -206,6 +206,11 @@ def backfill_scenes(v):
     return bare.join(hz.best_label(v.names, H).select(F.col("entity_id").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", F.lit("?")).alias("summary"), "first_pos")
 
 
+@query("backfill_questions", "SELECT e.id, e.first_pos FROM kg_entities e WHERE e.node_type = 'place' AND NOT EXISTS (SELECT 1 FROM kg_questions q WHERE q.opened_pos = e.first_pos AND q.state = 'resolved')")
+def backfill_questions(v):
+    return v.entities.where("node_type = 'place'").join(v.questions.where("state = 'resolved'").select(F.col("opened_pos").alias("first_pos")), "first_pos", "left_anti").select("id", "first_pos")
+
+
 @query("backfill_presence", "SELECT DISTINCT subject AS entity_id, pos FROM kg_proposals WHERE status = 'accepted' EXCEPT SELECT entity_id, pos FROM kg_occurrences WHERE stated")
 def backfill_presence(v):
     said = v.proposals.where("status = 'accepted'").select(F.col("subject").alias("entity_id"), "pos").distinct()

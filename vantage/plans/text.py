@@ -36,6 +36,11 @@ def name_key(v):
     return v.names.select("entity_id", "label", tx.name_key(F.col("label")).alias("name_key"), tx.signature(F.col("label")).alias("signature"))
 
 
+@query("signature", f"SELECT array_to_string(list_sort({tok('p_name')}), ' ') AS signature, count(DISTINCT p_name) AS names FROM part GROUP BY 1")
+def signature(v):
+    return v.part.groupBy(tx.signature(F.col("p_name")).alias("signature")).agg(F.count_distinct("p_name").alias("names"))
+
+
 @query("word_pad", f"SELECT entity_id, label, concat(' ', array_to_string({tok('label')}, ' '), ' ') AS padded FROM kg_names")
 def word_pad(v):
     return v.names.select("entity_id", "label", tx.word_pad(F.col("label")).alias("padded"))
