@@ -8,7 +8,7 @@ from vantage.functions.fuzzy import least_edits
 from vantage.operators import graph as gr
 from vantage.operators import horizon as hz
 from vantage.operators import identity as idn
-from vantage.operators.components import connected_components
+from vantage.operators.components import components_of_few, connected_components
 from vantage.operators.grams import jaccard_join
 from vantage.plans import streams
 from vantage.sources.passages import cut
@@ -61,6 +61,14 @@ def test_components_on_chains_stars_and_nulls(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(60)) and got[500] == 500
 
 
+def test_both_ways_to_components_agree(spark):
+    import random
+
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(220)], "src string, dst string")
+    assert sorted(map(tuple, components_of_few(edges).collect())) == sorted(map(tuple, connected_components(edges, materialise).collect()))
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long"), materialise).count() == 0
 

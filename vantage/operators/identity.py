@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantage.operators import horizon as hz
-from vantage.operators.components import connected_components
+from vantage.operators.components import components_of_few, connected_components
 from vantage.sources.shared import materialise
 
 IDENTITY = "same_as"
 UNNAMED = "?"
+#: Identity edges up to which one task joins them; more are contracted in distributed rounds.
+FEW_EDGES = 100_000
 
 
 def identity_edges(entities: DataFrame, assertions: DataFrame, h: hz.Horizon) -> DataFrame:
@@ -25,7 +27,9 @@ def identity_components(entities: DataFrame, assertions: DataFrame, h: hz.Horizo
 
     Only entities on an identity edge enter the iteration. Lowering the horizon unfolds what was folded later.
     """
-    folded = connected_components(identity_edges(entities, assertions, h), materialise)
+    edges = identity_edges(entities, assertions, h)
+    few = edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES
+    folded = components_of_few(edges) if few else connected_components(edges, materialise)
     return hz.asof_entities(entities, h).select("id").join(folded, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 

@@ -225,7 +225,7 @@ def reject_bad_resolutions(v):
 @query("propagate_position", "SELECT id, CASE WHEN from_pos >= 30 THEN from_pos + 1 ELSE from_pos END AS from_pos FROM kg_assertions")
 def propagate_position(v):
     moved = v.positions.select(F.col("pos").alias("from_pos"), F.when(F.col("pos") >= 30, F.col("pos") + 1).otherwise(F.col("pos")).alias("to"))
-    return v.assertions.join(F.broadcast(moved), "from_pos", "left").select("id", F.coalesce("to", F.when(F.col("from_pos") >= 30, F.col("from_pos") + 1).otherwise(F.col("from_pos"))).alias("from_pos"))
+    return v.assertions.join(moved, "from_pos", "left").select("id", F.coalesce("to", F.when(F.col("from_pos") >= 30, F.col("from_pos") + 1).otherwise(F.col("from_pos"))).alias("from_pos"))
 
 
 @query("undo_from_log", "SELECT user_id, arg_min(action, (ts, event_id)) AS action FROM kg_actions GROUP BY user_id")
