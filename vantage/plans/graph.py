@@ -119,7 +119,7 @@ def rank_cast(v):
 
 @query("assemble_cast", FOLDED + NAMED + """, f AS (SELECT id, count(*) AS facts FROM (SELECT subject AS id FROM open WHERE predicate <> 'same_as' UNION ALL SELECT object FROM open WHERE predicate <> 'same_as') GROUP BY id),
     top AS (SELECT id, first_pos, facts FROM vis JOIN f USING (id) WHERE node_type IN ('character', 'group') ORDER BY facts DESC, id LIMIT 60)
-    SELECT r.root, sum(facts) AS facts, min(first_pos) AS first_pos, any_value(coalesce(l.label, '?')) AS label FROM top JOIN root r USING (id) LEFT JOIN lab l ON l.root = r.root GROUP BY r.root""")
+    SELECT r.root, CAST(sum(facts) AS BIGINT) AS facts, min(first_pos) AS first_pos, any_value(coalesce(l.label, '?')) AS label FROM top JOIN root r USING (id) LEFT JOIN lab l ON l.root = r.root GROUP BY r.root""")
 def assemble_cast(v):
     comp = materialise(idn.identity_components(v.entities, v.assertions, H))
     top = gr.rank_cast(v.entities, v.assertions, H, ["character", "group"], 60)

@@ -10,7 +10,7 @@ from vantage.plans.catalog import H, query
 
 
 @query("horizon_default", """
-    WITH g AS (SELECT * FROM (VALUES (NULL), (-3.0), (12.7), (40.0), (9999.0)) AS t(given)), m AS (SELECT max(pos) AS latest FROM kg_positions WHERE status = 'published')
+    WITH g AS (SELECT * FROM (VALUES (NULL), (-3.0E0), (12.7E0), (40.0E0), (9999.0E0)) AS t(given)), m AS (SELECT max(pos) AS latest FROM kg_positions WHERE status = 'published')
     SELECT given, CAST(CASE WHEN given IS NULL THEN latest ELSE least(greatest(floor(given), 0), latest) END AS INT) AS horizon FROM g, m""")
 def horizon_default(v):
     latest = v.positions.where("status = 'published'").agg(F.max("pos").alias("latest"))

@@ -46,7 +46,7 @@ def same_name_pairs(v):
     return n.select(F.col("id").alias("a"), "label", F.col("first_pos").alias("p"), F.col("label").alias("x")).join(b, "label").where("a < b").withColumn("gap", F.abs(F.col("p") - F.col("q")))
 
 
-@query("score_name", f"WITH p AS (SELECT item_id AS a, substr(text, 1, 30) AS x, substr(text, 11, 30) AS y FROM benchmark), t AS (SELECT a, x, y, {tok('x')} AS s, {tok('y')} AS u FROM p) SELECT a, CASE WHEN x = y THEN 1.0 ELSE round(0.7 * len(list_intersect(s, u)) / len(list_distinct(list_concat(s, u))), 6) END AS score FROM t")
+@query("score_name", f"WITH p AS (SELECT item_id AS a, substr(text, 1, 30) AS x, substr(text, 11, 30) AS y FROM benchmark), t AS (SELECT a, x, y, {tok('x')} AS s, {tok('y')} AS u FROM p) SELECT a, CASE WHEN x = y THEN 1.0E0 ELSE round(0.7 * len(list_intersect(s, u)) / len(list_distinct(list_concat(s, u))), 6) END AS score FROM t")
 def score_name(v):
     p = v.benchmark.select(F.col("item_id").alias("a"), F.substring("text", 1, 30).alias("x"), F.substring("text", 11, 30).alias("y"))
     return p.select("a", F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.round(0.7 * tx.jaccard(tx.tokens(F.col("x")), tx.tokens(F.col("y"))), 6)).alias("score"))
@@ -198,7 +198,7 @@ def exact_name_groups(v):
 
 @query("catalogue_match", f"""WITH w AS (SELECT DISTINCT label, list_sort({tok('label')}) AS s FROM kg_names WHERE entity_id[1] IN ('n', 'r', 's')),
     c AS (SELECT n_name AS name, n_nationkey AS first, list_sort({tok('n_name')}) AS s FROM nation UNION ALL SELECT concat(split_part(s_name, '#', 2), ' ', split_part(s_name, '#', 1)), s_suppkey, list_sort({tok('s_name')}) FROM supplier),
-    m AS (SELECT w.label, c.name, c.first, CASE WHEN w.label = c.name THEN 1.0 ELSE 0.95 END AS score FROM w JOIN c ON w.s = c.s)
+    m AS (SELECT w.label, c.name, c.first, CASE WHEN w.label = c.name THEN 1.0E0 ELSE 0.95E0 END AS score FROM w JOIN c ON w.s = c.s)
     SELECT label, name, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, first, name) AS r FROM m) WHERE r = 1""")
 def catalogue_match(v):
     wanted = v.names.where("entity_id LIKE 'n%' OR entity_id LIKE 'r%' OR entity_id LIKE 's%'").select("label").distinct().withColumn("k", tx.signature(F.col("label")))

@@ -38,7 +38,7 @@ VIEWS: dict[str, str] = {
                CASE o_orderpriority WHEN '3-MEDIUM' THEN 'belief' ELSE 'fact' END AS epistemic
         FROM {orders} JOIN {customer} ON c_custkey = o_custkey
         UNION ALL
-        SELECT concat('l', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey),
+        SELECT concat('l', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(l_quantity AS INT)),
                CASE WHEN l_linestatus = 'F' THEN concat('s', l_suppkey) ELSE concat('c', o_custkey) END,
                CASE l_returnflag WHEN 'R' THEN 'gives' WHEN 'A' THEN 'owns' ELSE 'seeks' END, concat('p', l_partkey),
                """ + _L + """, CASE WHEN l_returnflag = 'R' THEN """ + _L + """ + 6 END,
