@@ -80,6 +80,27 @@ def test_substrings_null_ids_and_repeated_rows(spark):
     assert sorted(((r[0] is None, r[0], r[1]) for r in got), key=str) == sorted([(True, None, 30), (False, 3, 0), (False, 3, 0)], key=str)
 
 
+@pytest.mark.parametrize("i", [None, 5, (1 << 63) - 1])
+def test_substrings_of_one_id_with_several_texts(spark, i):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    passage, shared = words("p", 30), words("s", 25)
+    rows = [(1, passage), (i, words("a", 40) + " " + passage), (i, words("b", 60)), (i, words("c", 3)), (i, shared + " x"), (i, shared + " y z")]
+    rows += [(i, words("d", 50)), (i, words("d", 50))]
+    got = {(r["doc_id"], r["text"]): r["kept"] for r in substrings.deduplicate(docs(spark, rows).coalesce(1)).collect()}
+    dealt = {(r["doc_id"], r["text"]): r["kept"] for r in substrings.deduplicate(docs(spark, rows).repartition(8)).collect()}
+    assert got == dealt
+    # of two texts that begin alike one keeps the passage, in the order of a hash; copies of one row lose nothing
+    assert sorted([got.pop((i, shared + " x")), got.pop((i, shared + " y z"))], key=len)[0] in ("x", "y z")
+    assert got == {(d, t): words("a", 40) if t.startswith("a0") else t for d, t in rows if not t.startswith("s0")}
+
+
+def test_substrings_null_id_sorts_after_the_greatest(spark):
+    texts = [" ".join(f"{n}{k}" for k in range(30)) for n in "abcdefgh"]
+    rows = [(i, f"{t} {i}") for t in texts for i in (None, (1 << 63) - 1)]
+    got = substrings.deduplicate(docs(spark, rows)).select("doc_id", "n_removed").collect()
+    assert {(r[0] is None, r[1]) for r in got} == {(True, 30), (False, 0)}
+
+
 def test_hash_collisions_change_nothing():
     raw, at = text_bytes(pa.array(["a b c d a b c e a b c d"]))
     w = Words.of(raw, at)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.storage import documents
+from vantage.llm.storage import documents, materialise
 from vantage.llm.words import Words, gather_index, mix, slices, string_array, text_bytes
 
 WINDOW = 20
@@ -21,6 +21,10 @@ MINIMISER = 4
 #: Text per bucket and per map-side pass. Both bound a task's memory, whatever the size of the corpus.
 BUCKET_CHARS, PASS_BYTES = 1 << 20, 4 << 20
 LAST = (1 << 63) - 1  # where a null id sorts
+#: What tells documents apart, in their order: the id and, where the id alone does not tell, two hashes of the text.
+KEY = ["_skid", "_skhigh", "_sklow"]
+#: Ids that come with several texts are known by the slot of their hash, so the table of them has a fixed bound.
+SLOTS = 1 << 16
 
 
 def minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -74,9 +78,37 @@ def _unpacked(raw: bytes, n: int, columns: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, n * columns * 8, "zstd", asbytes=True), np.int64).reshape(columns, n)
 
 
+def numbered(keys: np.ndarray) -> np.ndarray:
+    """A number for each column of the sorted ``keys``, equal for equal columns."""
+    new = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+    return np.append(0, np.cumsum(new)) if keys.shape[1] else np.zeros(0, np.int64)
+
+
+def with_keys(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``table`` and ``KEY``, which is equal in two rows exactly if both id and text are.
+
+    An id with one text needs no hash, and hashes do not compress: only ids with several texts, ids that share a slot with
+    one, and null ids have them. That depends on the id alone, so all rows of an id agree.
+    """
+    text = F.col(text_col).cast("string")
+    high, low = F.shiftrightunsigned(F.xxhash64(text), 1), F.xxhash64(F.lit(7), text)
+    slot = F.pmod(F.xxhash64("_skid"), F.lit(SLOTS))
+    known = table.withColumn("_skid", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
+    hashes = known.where(F.col(id_col).cast("long").isNotNull()).select("_skid", high.alias("a"), low.alias("b"))
+    texts = hashes.groupBy("_skid").agg(F.min("a").alias("a"), F.max("a").alias("a2"), F.min("b").alias("b"), F.max("b").alias("b2"))
+    several = materialise(texts.where("a <> a2 OR b <> b2").select(slot.alias("_skslot")).distinct().withColumn("_skmany", F.lit(True)))
+    marked = known.withColumn("_skslot", slot).join(F.broadcast(several), "_skslot", "left")
+    null, many = F.col(id_col).cast("long").isNull(), F.coalesce("_skmany", F.lit(False))
+    # a null id shares LAST with a real id at most, and sorts after it by the sign
+    marked = marked.withColumn("_skhigh", F.when(null, high).when(many, F.bitwise_not(high)).otherwise(F.lit(-1).cast("long")))
+    return marked.withColumn("_sklow", F.when(null | many, low).otherwise(F.lit(0).cast("long"))).drop("_skslot", "_skmany")
+
+
 def super_kmers(table: DataFrame, buckets: int, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """``(bucket, n, size, meta, strings)``: super-k-mers packed by bucket, and verdicts reached on the way.
 
+    ``table`` has ``KEY`` and ``text``.
+
     Within a pass a window that repeats an earlier one is known to be a repeat, so it does not travel: only the first of
     its kind does. A passage that a third of the documents share thus reaches its bucket once a pass. Such verdicts go
     along with ``strings`` null: runs of (document, first window, windows).
@@ -84,10 +116,11 @@ def super_kmers(table: DataFrame, buckets: int, window: int = WINDOW, m: int = M
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", PASS_BYTES):
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
-            part, ids = part.take(pa.array(order)), ids[order]
-            w = Words.of(*text_bytes(part.column(1)))
+            keys = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(len(KEY))])
+            order = np.lexsort(keys[::-1])
+            part, keys = part.take(pa.array(order)), keys[:, order]
+            same = numbered(keys)
+            w = Words.of(*text_bytes(part.column(len(KEY))))
             h = w.hashes()
             codes = string_array(w.raw, w.starts, w.ends).dictionary_encode().indices.to_numpy()
             starts, first = repeats(w, codes, h, window)
@@ -97,7 +130,7 @@ def super_kmers(table: DataFrame, buckets: int, window: int = WINDOW, m: int = M
             doc = w.doc[starts]
             place = starts - w.first[doc]
             # repeated rows of one id and text share place and id: such a copy is no earlier window
-            repeat = (ids[doc] != ids[doc[first]]) | (place != place[first])
+            repeat = (same[doc] != same[doc[first]]) | (place != place[first])
             repeat &= first != np.arange(len(first))
             out = []
             gone = np.flatnonzero(repeat)
@@ -105,10 +138,10 @@ def super_kmers(table: DataFrame, buckets: int, window: int = WINDOW, m: int = M
                 begin = runs(starts[gone], doc[gone])
                 size = np.diff(np.append(begin, len(gone)))
                 at = gone[begin]
-                cover = mix(ids[doc[at]].astype(np.uint64)) % np.uint64(buckets)
+                cover = mix((keys[0] ^ keys[2])[doc[at]].astype(np.uint64)) % np.uint64(buckets)
                 for bucket in np.unique(cover):
                     own = cover == bucket
-                    out.append((int(bucket), int(own.sum()), 0, _packed(ids[doc[at[own]]], place[at[own]], size[own]), None))
+                    out.append((int(bucket), int(own.sum()), 0, _packed(*keys[:, doc[at[own]]], place[at[own]], size[own]), None))
             short = np.zeros(len(h) - m + 1, np.uint64)
             for j in range(m):
                 short = short * np.uint64(0xD6E8FEB86659FD93) + h[j : len(h) - m + 1 + j]
@@ -130,7 +163,7 @@ def super_kmers(table: DataFrame, buckets: int, window: int = WINDOW, m: int = M
                 text[end - 1] = 32
                 text[end[stop - 1] - 1] = 10
                 at = go[begin[a:b]]
-                out.append((int(bucket[a]), int(b - a), len(text), _packed(ids[doc[at]], place[at]), pa.compress(text.tobytes(), "zstd", asbytes=True)))
+                out.append((int(bucket[a]), int(b - a), len(text), _packed(*keys[:, doc[at]], place[at]), pa.compress(text.tobytes(), "zstd", asbytes=True)))
             if out:
                 cols = zip(*out, strict=True)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["bucket", "n", "size", "meta", "strings"])
@@ -139,50 +172,50 @@ def super_kmers(table: DataFrame, buckets: int, window: int = WINDOW, m: int = M
 
 
 def judge(packed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(id, start, n)``: runs of windows that also start earlier, from the super-k-mers of each bucket."""
+    """``KEY``, ``start`` and ``n``: runs of windows that also start earlier, from the super-k-mers of each bucket."""
 
     def of_bucket(table: pa.Table) -> pa.Table:
         found, metas, texts = [], [], []
         for n, size, meta, strings in zip(*(table.column(c).to_pylist() for c in ("n", "size", "meta", "strings")), strict=True):
             if strings is None:
-                found.append(_unpacked(meta, n, 3))
+                found.append(_unpacked(meta, n, len(KEY) + 2))
             else:
-                metas.append(_unpacked(meta, n, 2))
+                metas.append(_unpacked(meta, n, len(KEY) + 1))
                 texts.append(pa.decompress(strings, size, "zstd", asbytes=True))
         if texts:
             meta, raw = np.concatenate(metas, axis=1), np.frombuffer(b"".join(texts), np.uint8)
             stop = np.flatnonzero(raw == 10) + 1
             at = np.append(0, stop)
-            order = np.lexsort((meta[1], meta[0]))  # by document and start: window order is then the order of "earlier"
+            order = np.lexsort(meta[::-1])  # by document and start: window order is then the order of "earlier"
             index, end = gather_index(at[:-1][order], np.diff(at)[order])
             meta, w = meta[:, order], Words.of(raw[index], np.append(0, end))
             codes = string_array(w.raw, w.starts, w.ends).dictionary_encode().indices.to_numpy()
             starts, first = repeats(w, codes, w.hashes(), window)
             line = w.doc[starts]
-            place, ids = meta[1][line] + starts - w.first[line], meta[0][line]
-            gone = np.flatnonzero((first != np.arange(len(first))) & ((ids != ids[first]) | (place != place[first])))
-            begin = runs(place[gone], ids[gone])
-            found.append(np.stack([ids[gone[begin]], place[gone[begin]], np.diff(np.append(begin, len(gone)))]))
-        whole = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        return pa.table([pa.array(c) for c in whole], ["id", "start", "n"])
+            place, same = meta[-1][line] + starts - w.first[line], numbered(meta[:-1])[line]
+            gone = np.flatnonzero((first != np.arange(len(first))) & ((same != same[first]) | (place != place[first])))
+            begin = runs(place[gone], same[gone])
+            found.append(np.stack([*meta[:-1, line[gone[begin]]], place[gone[begin]], np.diff(np.append(begin, len(gone)))]))
+        whole = np.concatenate(found, axis=1) if found else np.zeros((len(KEY) + 2, 0), np.int64)
+        return pa.table([pa.array(c) for c in whole], [*KEY, "start", "n"])
 
-    return packed.groupBy("bucket").applyInArrow(of_bucket, "id long, start long, n long")
+    return packed.groupBy("bucket").applyInArrow(of_bucket, ", ".join(f"{c} long" for c in [*KEY, "start", "n"]))
 
 
 def deduplicate(table: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``table`` and ``n_words``, ``n_removed``, ``kept``.
 
     ``kept`` has the words that are left, joined by one blank; null and empty texts have none. A null id sorts after all
-    others. Rows that repeat an id count as one document: a window at the same place of a copy is not an earlier one, and
-    each copy loses the same words. Columns of the input that are named like a result, or ``_skid`` and ``_skruns``, are
-    replaced.
+    others. Rows that repeat both id and text count as one document: a window at the same place of a copy is not an earlier
+    one, and each copy loses the same words. Rows of one id, or without an id, that differ in their texts are documents
+    apart, in the order of a hash. Columns of the input that are named like a result or begin with ``_sk`` are replaced.
     """
-    table = table.drop("n_words", "n_removed", "kept", "_skid", "_skruns")
-    own = table.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_skid"), F.col(text_col).cast("string").alias("text"))
-    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    packed = super_kmers(own, max(512, chars // BUCKET_CHARS), window)
-    gone = judge(packed, window).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("_skruns"))
-    joined = table.withColumn("_skid", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).join(gone.withColumnRenamed("id", "_skid"), "_skid", "left").drop("_skid")
+    table = table.drop("n_words", "n_removed", "kept", *(c for c in table.columns if c.startswith("_sk")))
+    keyed = with_keys(table, id_col, text_col)
+    chars = table.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    packed = super_kmers(keyed.select(*KEY, F.col(text_col).cast("string").alias("text")), max(512, chars // BUCKET_CHARS), window)
+    gone = judge(packed, window).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_skruns"))
+    joined = keyed.join(gone, KEY, "left").drop(*KEY)
     rest = [c for c in joined.columns if c != "_skruns"]
     at_text, at_runs = joined.columns.index(text_col), joined.columns.index("_skruns")
 
