@@ -154,6 +154,36 @@ def test_near_copies_against_brute_force(spark):
     assert got[201]["class_id"] == 201 and got[202]["class_id"] == 202
 
 
+@pytest.mark.parametrize("shift", [0, 8], ids=["few samples agree", "low bytes agree in every band"])
+def test_near_copies_that_share_one_band(spark, monkeypatch, shift):
+    def samples(doc, shingle, weight, count, seed=1):
+        own = np.arange(1, len(np.unique(doc)) + 1, dtype=np.uint32)[:, None] << np.uint32(shift)
+        out = np.repeat(own, count, axis=1)
+        out[:, 5:10] = 7  # the second band
+        return out
+
+    monkeypatch.setattr(dedup, "samples", samples)
+    base = [f"w{i}" for i in range(400)]
+    # the head is far from both others, which are near each other
+    rows = [(0, " ".join(base[:200] + [f"h{i}" for i in range(200)])), (1, " ".join(base)), (2, " ".join([*base[:-10], "x"]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in dedup.near_copies(docs(spark, rows).coalesce(1)).collect()}
+    assert got == {0: (0, 0), 1: (1, 1), 2: (1, 1)}
+
+
+def test_profiles_bound_what_is_shared(spark):
+    table = docs(spark, near_rows()).withColumnRenamed("doc_id", "id")
+    idf = dedup.document_frequency(table)
+    known = {r["id"]: r for r in dedup.profiles(table, idf).collect()}
+    pairs = table.select(F.col("id").alias("a")).crossJoin(table.select(F.col("id").alias("b"))).where("a < b AND b < 130")
+    ruled_out = 0
+    for r in dedup.similarities(table, pairs, idf).collect():
+        a, b = known[r["a"]], known[r["b"]]
+        shared = sum(min(x, y) for x, y in zip(a["profile"], b["profile"], strict=True))
+        assert shared / (a["total"] + b["total"] - shared) >= r["similarity"] - 1e-9
+        ruled_out += shared / (a["total"] + b["total"] - shared) < 0.8
+    assert ruled_out > 100
+
+
 def test_near_copies_of_nothing(spark):
     assert dedup.near_copies(docs(spark, [])).count() == 0
     assert [r["class_id"] for r in dedup.near_copies(docs(spark, [(1, None)])).collect()] == [1]

@@ -22,8 +22,8 @@ from vantage.operators.components import connected_components
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with probability 0.998, at 0.85 with 0.9999.
 BANDS, ROWS = 16, 5
-#: Standard deviations below the expected agreement of samples at which a pair is still compared (0.996 of pairs at 0.8, 0.9995 at 0.83).
-SLACK = 2.5
+#: Classes of shingles by hash in a document's profile (a power of two).
+CLASSES = 128
 #: Bits that tell shingles apart; the others number the documents of a pass.
 HASH_BITS = 45
 #: Share of all documents under which a shingle counts as rare. The idf is 1 + IDF_SPAN there and falls with the logarithm of
@@ -159,7 +159,7 @@ def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, count: int
 
 
 def signatures(table: DataFrame, idf: Idf, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(id, words, bands, sketch)`` of each document that has words: a hash of its word sequence, band keys, a byte a sample."""
+    """``(id, words, bands)`` of each document that has words: a hash of its word sequence and its band keys."""
     spread = table.sparkSession.sparkContext.broadcast(idf)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,12 +179,33 @@ def signatures(table: DataFrame, idf: Idf, k: int = SHINGLE, bands: int = BANDS,
             h = w.hashes()
             names = [xxhash.xxh128_digest(h[w.first[d] : w.first[d] + w.counts[d]].tobytes()) for d in own]
             flat = pa.array(folded.view(np.int64).ravel())
-            sketch = pa.array((s & np.uint32(0xFF)).astype(np.uint8).view(np.int8).ravel())
             step = np.arange(len(own) + 1, dtype=np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(step * bands), flat), pa.ListArray.from_arrays(pa.array(step * bands * rows), sketch)]
-            yield pa.record_batch([part.column(0).take(pa.array(own)), pa.array(names, pa.binary()), *lists], ["id", "words", "bands", "sketch"])
+            keys = pa.ListArray.from_arrays(pa.array(step * bands), flat)
+            yield pa.record_batch([part.column(0).take(pa.array(own)), pa.array(names, pa.binary()), keys], ["id", "words", "bands"])
 
-    return table.select("id", "text").mapInArrow(sign, "id long, words binary, bands array<long>, sketch array<tinyint>")
+    return table.select("id", "text").mapInArrow(sign, "id long, words binary, bands array<long>")
+
+
+def profiles(table: DataFrame, idf: Idf, k: int = SHINGLE) -> DataFrame:
+    """``(id, total, profile)``: the weight of each document, and of its shingles in each of ``CLASSES`` classes, rounded up.
+
+    What two documents share is at most the sum over the classes of the lesser weight, which bounds their similarity.
+    """
+    spread = table.sparkSession.sparkContext.broadcast(idf)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            doc, key, count = shingles(*text_bytes(part.column(1)), k)
+            weight, place = spread.value.weights(key, count), (key >> np.uint64(65 - CLASSES.bit_length())).astype(np.int64)
+            for a in range(0, part.num_rows, 8192):  # bounds what the profiles take
+                n = min(8192, part.num_rows - a)
+                own = slice(*np.searchsorted(doc, [a, a + n]))
+                whole = np.bincount(doc[own] - a, weight[own], n)
+                split = np.bincount((doc[own] - a) * CLASSES + place[own], weight[own], n * CLASSES) * (1 + 1e-6)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CLASSES), pa.array(split.astype(np.float32)))
+                yield pa.record_batch([part.column(0).slice(a, n), pa.array(whole), lists], ["id", "total", "profile"])
+
+    return table.select("id", "text").mapInArrow(weigh, "id long, total double, profile array<float>")
 
 
 def similarities(table: DataFrame, pairs: DataFrame, idf: Idf, k: int = SHINGLE) -> DataFrame:
@@ -235,38 +256,42 @@ def _roots(links: DataFrame) -> DataFrame:
     return materialise(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), materialise))
 
 
-def settle(texts: DataFrame, members: DataFrame, idf: Idf, similarity: float, k: int, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def settle(texts: DataFrame, keys: DataFrame, members: DataFrame, idf: Idf, similarity: float, k: int) -> tuple[DataFrame, DataFrame]:
     """Links found among the members of the buckets, and the roots of their components.
 
-    ``members`` has (band, key, id, head, n, sketch): all members of a bucket, its least id and its size. A pair in one
+    ``keys`` has (id, bands), ``members`` (band, key, id, head, n): all members of a bucket, its least id and its size. A pair in one
     component needs no comparison, so comparisons go in rounds. First every member meets the head of its bucket. Then
     members outside the component that has most of the bucket meet about 8 drawn members of other components. What is
     still apart after that meets every member of another component, so no two members of a bucket are passed over but
     those that cannot be close: one minus the similarity is a metric, so two members whose similarities to the head
-    differ by more than one minus the threshold cannot link; and samples that agree ``SLACK`` deviations too seldom rule a
-    pair out. A pair is written in the first band that it shares.
+    differ by more than one minus the threshold cannot link, nor can two whose profiles do not allow it. A pair is written
+    in the first band whose key it shares.
     """
-    size = bands * rows
-    chance = similarity + (1 - similarity) / 256
-    least = int(np.floor(size * chance - SLACK * np.sqrt(size * chance * (1 - chance))))
     star = materialise(similarities(texts, members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), idf, k))
     links = star.where(F.col("similarity") >= similarity).select("a", "b")
     known = star.select("a", "b")
     roots = _roots(links)
     to_head = star.select(F.col("a").alias("head"), F.col("b").alias("id"), "similarity")
     placed = materialise(members.join(to_head, ["head", "id"], "left").withColumn("similarity", F.when(F.col("id") == F.col("head"), 1.0).otherwise(F.col("similarity"))))
+    traits = None
     for draw in (8, None):
         now = materialise(placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
         most = now.groupBy("band", "key", "root").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
         now = now.join(most.select("band", "key", F.col("most.root").alias("major")), ["band", "key"])
-        minor = now.where("root <> major").select("band", "key", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("similarity").alias("xs"), F.col("sketch").alias("xk"))
+        if traits is None:  # later rounds have no bucket that was settled here
+            traits = materialise(profiles(texts.join(now.select("id").distinct(), "id"), idf, k).join(keys, "id"))
+        now = now.join(traits, "id")
+        minor = now.where("root <> major").select("band", "key", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("similarity").alias("xs"), F.col("total").alias("xt"), F.col("profile").alias("xp"), F.col("bands").alias("xb"))
         drawn = now if draw is None else now.where(F.pmod(F.xxhash64("id", F.lit(draw)), F.col("n")) < draw)
-        drawn = drawn.select("band", "key", F.col("id").alias("y"), F.col("root").alias("yr"), F.col("similarity").alias("ys"), F.col("sketch").alias("yk"), (F.col("root") == F.col("major")).alias("ymajor"))
+        drawn = drawn.select("band", "key", F.col("id").alias("y"), F.col("root").alias("yr"), F.col("similarity").alias("ys"), F.col("total").alias("yt"), F.col("profile").alias("yp"), F.col("bands").alias("yb"), (F.col("root") == F.col("major")).alias("ymajor"))
         apart = F.abs(F.col("xs") - F.col("ys")) > 1 - similarity + 1e-9
         earlier = F.sequence(F.lit(0), F.col("band") - 1)
-        met = (F.col("band") > 0) & F.exists(earlier, lambda i: F.slice("xk", i * rows + 1, rows) == F.slice("yk", i * rows + 1, rows))
-        agree = F.aggregate(F.zip_with("xk", "yk", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-        meet = minor.join(drawn, ["band", "key"]).where((F.col("xr") != F.col("yr")) & ~apart & (agree >= least) & ~met & (F.lit(draw is not None) | F.col("ymajor") | (F.col("x") < F.col("y"))))
+        met = (F.col("band") > 0) & F.exists(earlier, lambda i: F.get("xb", i) == F.get("yb", i))
+        most_shared = F.aggregate(F.zip_with("xp", "yp", lambda a, b: F.least(a, b).cast("double")), F.lit(0.0), lambda n, x: n + x)
+        # similar pairs share at least this part of both weights
+        least_shared = (F.col("xt") + F.col("yt")) * (similarity / (1 + similarity) - 1e-9)
+        close = (F.least("xt", "yt") >= least_shared) & ~met & (most_shared >= least_shared)
+        meet = minor.join(drawn, ["band", "key"]).where((F.col("xr") != F.col("yr")) & (F.lit(draw is not None) | F.col("ymajor") | (F.col("x") < F.col("y"))) & ~apart & close)
         pairs = meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
         found = materialise(similarities(texts, materialise(pairs), idf, k))
         known = known.unionByName(found.select("a", "b"))
@@ -287,13 +312,13 @@ def near_copies(table: DataFrame, similarity: float = SIMILARITY, k: int = SHING
     own = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     idf = document_frequency(own, k)
     signed = materialise(signatures(own, idf, k, bands, rows))
-    texts = materialise(signed.groupBy("words").agg(F.min("id").alias("copy_of"), F.min(F.struct("bands", "sketch")).alias("s")).select("words", "copy_of", "s.bands", "s.sketch"))
-    buckets = texts.select(F.posexplode("bands").alias("band", "key"), F.col("copy_of").alias("id"), "sketch")
+    texts = materialise(signed.groupBy("words").agg(F.min("id").alias("copy_of"), F.min("bands").alias("bands")))
+    buckets = texts.select(F.posexplode("bands").alias("band", "key"), F.col("copy_of").alias("id"))
     heads = buckets.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     members = materialise(buckets.join(heads, ["band", "key"]))
     # the join is a shuffle at every size, as it is on a large corpus; all comparisons read from what it keeps
     needed = materialise(own.join(members.select("id").distinct().hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text")))
-    links, roots = settle(needed, members, idf, similarity, k, bands, rows)
+    links, roots = settle(needed, texts.select(F.col("copy_of").alias("id"), "bands"), members, idf, similarity, k)
     degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count("*").alias("n_links"))
     classes = texts.select("words", "copy_of").join(roots.withColumnRenamed("id", "copy_of"), "copy_of", "left").join(degree, "copy_of", "left")
     classes = classes.select("words", "copy_of", F.coalesce("root", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
