@@ -438,3 +438,14 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
     assert all(got[i] == f"Story {i} has its own words {i * i}" for i in range(12)) and got[100] == "" and got[101] == "alone"
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_style_tree_reads_every_element_of_a_path(spark):
+    tags = "b i u em strong span code sub sup small q s".split()
+    pages = [("h", f"<body><div class='x'><{t}>same</{t}></div>" + "<div class='x'><p>same</p></div>" * 64 + "</body>") for t in tags]
+    path = next(p for p, look, text in html.styles(html.parse("<body><div class='x'><p>same</p></div></body>")) if look == html._hash("p"))
+    low = {p for r in html.style_tree(spark.createDataFrame(pages, "host string, html string")).collect() for p in r["low"]}
+    assert path not in low
+    same = [(h, text.replace(f"<{t}>", "<p>").replace(f"</{t}>", "</p>")) for (h, text), t in zip(pages, tags, strict=True)]
+    low = {p for r in html.style_tree(spark.createDataFrame(same, "host string, html string")).collect() for p in r["low"]}
+    assert path in low

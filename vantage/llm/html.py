@@ -223,7 +223,7 @@ def style_tree(table: DataFrame) -> DataFrame:
                     for path, look, text in styles(parse(html or "")):
                         own.setdefault(path, []).append((look, text))
                     for path, found in own.items():  # a page has one feature of each kind for each path
-                        seen[host, path, 0, _hash(*(x for x, _ in found[:64]))] += 1
+                        seen[host, path, 0, _hash(*(x for x, _ in found))] += 1
                         seen[host, path, 1, _hash(*(x for _, x in found))] += 1
                 if seen:
                     cols = list(zip(*(k + (n,) for k, n in seen.items()), strict=True))
