@@ -27,9 +27,10 @@ CLASSES = 128
 #: Bits that tell shingles apart; the others number the documents of a pass.
 HASH_BITS = 45
 #: Share of all documents under which a shingle counts as rare. The idf is 1 + IDF_SPAN there and falls with the logarithm of
-#: the share to 1 for a shingle of every document. The span is small, so that what a large group of copies shares does not
-#: lose its weight against the few edits that tell its members apart.
-RARE_SHARE, IDF_SPAN = 1 / 2000, 0.25
+#: the share to 1 for a shingle of every document.
+RARE_SHARE, IDF_SPAN = 1 / 2000, 1.0
+#: Text that a task counts at once: more makes denser differences to send.
+PASS_BYTES = 4 << 20
 #: Pairs that one verification block holds for one pivot.
 BLOCK_PAIRS = 256
 
@@ -84,7 +85,7 @@ def document_frequency(table: DataFrame, k: int = SHINGLE, rare: float = RARE_SH
     least = max(2, int(np.ceil(rare * n)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", PASS_BYTES):
             doc, key, _ = shingles(*text_bytes(part.column(part.schema.get_field_index("text"))), k)
             short = (key >> np.uint64(32)).astype(np.uint32)
             same = np.zeros(len(doc), bool)  # two shingles of one document with one short hash count once
@@ -252,6 +253,18 @@ def similarities(table: DataFrame, pairs: DataFrame, idf: Idf, k: int = SHINGLE)
     return rows.mapInArrow(compare, "a long, b long, similarity double")
 
 
+def with_heads(buckets: DataFrame) -> DataFrame:
+    """``(band, key, id, head, n)`` of the buckets with several members.
+
+    The head is the member that meets most others over all bands, ties to the least id. A text near the middle of a group
+    keeps more of its band keys than one with many edits, so most members of a large group link to its head directly.
+    """
+    sized = materialise(buckets.join(buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"]))
+    met = sized.groupBy("id").agg(F.sum("n").alias("met"))
+    heads = sized.join(met, "id").groupBy("band", "key").agg(F.max(F.struct("met", F.bitwise_not("id").alias("order"))).alias("best")).select("band", "key", F.bitwise_not("best.order").alias("head"))
+    return sized.join(heads, ["band", "key"]).select("band", "key", "id", "head", "n")
+
+
 def _roots(links: DataFrame) -> DataFrame:
     return materialise(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), materialise))
 
@@ -259,7 +272,7 @@ def _roots(links: DataFrame) -> DataFrame:
 def settle(texts: DataFrame, keys: DataFrame, members: DataFrame, idf: Idf, similarity: float, k: int) -> tuple[DataFrame, DataFrame]:
     """Links found among the members of the buckets, and the roots of their components.
 
-    ``keys`` has (id, bands), ``members`` (band, key, id, head, n): all members of a bucket, its least id and its size. A pair in one
+    ``keys`` has (id, bands), ``members`` (band, key, id, head, n): all members of a bucket, its head and its size. A pair in one
     component needs no comparison, so comparisons go in rounds. First every member meets the head of its bucket. Then
     members outside the component that has most of the bucket meet about 8 drawn members of other components. What is
     still apart after that meets every member of another component, so no two members of a bucket are passed over but
@@ -268,8 +281,8 @@ def settle(texts: DataFrame, keys: DataFrame, members: DataFrame, idf: Idf, simi
     in the first band whose key it shares.
     """
     star = materialise(similarities(texts, members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), idf, k))
-    links = star.where(F.col("similarity") >= similarity).select("a", "b")
-    known = star.select("a", "b")
+    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")  # a pair is in one order only
+    links, known = known.where(F.col("similarity") >= similarity).select("a", "b"), known.select("a", "b")
     roots = _roots(links)
     to_head = star.select(F.col("a").alias("head"), F.col("b").alias("id"), "similarity")
     placed = materialise(members.join(to_head, ["head", "id"], "left").withColumn("similarity", F.when(F.col("id") == F.col("head"), 1.0).otherwise(F.col("similarity"))))
@@ -314,8 +327,7 @@ def near_copies(table: DataFrame, similarity: float = SIMILARITY, k: int = SHING
     signed = materialise(signatures(own, idf, k, bands, rows))
     texts = materialise(signed.groupBy("words").agg(F.min("id").alias("copy_of"), F.min("bands").alias("bands")))
     buckets = texts.select(F.posexplode("bands").alias("band", "key"), F.col("copy_of").alias("id"))
-    heads = buckets.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(buckets.join(heads, ["band", "key"]))
+    members = materialise(with_heads(buckets))
     # the join is a shuffle at every size, as it is on a large corpus; all comparisons read from what it keeps
     needed = materialise(own.join(members.select("id").distinct().hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text")))
     links, roots = settle(needed, texts.select(F.col("copy_of").alias("id"), "bands"), members, idf, similarity, k)
