@@ -14,7 +14,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that one numpy pass takes; a longer document makes a pass of its own.
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 1 << 18
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
