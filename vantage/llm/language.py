@@ -1,12 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time. It labels every byte position of a text; a document's
-probabilities are the mean over all its positions.
+probabilities are the mean over all its positions. A text is read in spans of ``SPAN`` bytes, as in training: both
+directions start anew in each span, so a position knows its span from both sides and nothing beyond it. Gates are
+piecewise linear.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.storage import documents
+from vantage.llm.storage import documents, held_out
 from vantage.llm.words import gather_index, slices, text_bytes
 
 #: Training documents of each language at most; the only bound on what the model is fitted to.
@@ -24,11 +25,6 @@ HIDDEN = 8
 SPAN = 128
 LANES = 4096
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
-
-
-def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
 @dataclass
@@ -220,7 +216,7 @@ def predict(table: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             text = part.column(place)
-            known = np.array([bool(t and LETTER.search(t)) for t in text.to_pylist()], bool)
+            known = np.array([any(map(str.isalpha, t or "")) for t in text.to_pylist()], bool)
             if model is None:
                 lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
             else:
@@ -235,6 +231,10 @@ def predict(table: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, with the fold it was held out in."""
+    """The language of every document, with the fold it was held out in.
+
+    Rows without an id count as held out; rows that repeat are judged each for itself. An empty table gives no rows, and
+    columns of the input are left out.
+    """
     table = documents(spark, sf_dir)
     return predict(table.select("doc_id", "text"), fit(table)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

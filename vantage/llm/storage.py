@@ -6,19 +6,22 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where a session has none (tests on one machine) a
-    local temporary folder takes its place.
+    The setting is read from the session. Only where a local session has none (tests on one machine) a temporary folder
+    takes its place; on a cluster, whose executors would not see such a folder, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             root = tempfile.mkdtemp(prefix="vantage-")
             spark.sparkContext.setCheckpointDir(root)
@@ -37,6 +40,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held_out(id_col: str = "doc_id"):
+    """Whether a row may not be learned from: a fifth of the ids by their checksum, and every row without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
