@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-OP5 = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-     h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s FROM p),
-     l AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS last FROM h),
+OP5 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, trim(coalesce(url, '')) AS u FROM pages),
+     h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s, u, regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://') AS whole,
+                  regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)(\?[^#]*)?', ['host', 'path', 'query']) AS x FROM p),
+     c AS (SELECT *, 1704067200 + page_id % 1000000000 AS capture_ts,
+                  CASE WHEN whole THEN lower(array_to_string(list_reverse(string_split(regexp_replace(lower(x.host), '^www\.', ''), '.')), ',') || ')' || CASE WHEN x.path = '' THEN '/' ELSE x.path END || x.query)
+                       ELSE lower(u) END AS url_key FROM h),
+     l AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS last, row_number() OVER (ORDER BY url_key, capture_ts, page_id) - 1 AS capture_rank FROM c),
      q AS (SELECT *, [CAST('0x' || substr(s, 1 + 10 * i, 10) AS BIGINT) FOR i IN range(4)] AS g FROM l)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
        list_aggregate(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v >> (35 - 5 * j)) & 31 AS INT), 1) FOR j IN range(8)] FOR v IN g]), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> last THEN last END AS refers_to,
-       1704067200 + page_id % 1000000000 AS capture_ts
+       url_key, capture_ts, capture_rank
 FROM q
 """
 

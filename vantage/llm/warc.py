@@ -11,32 +11,36 @@ import base64
 import bisect
 import gzip
 import hashlib
+import pickle
 import re
-import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime
-from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vantage.llm.storage import materialise, pages
 
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z, the capture of page 0; page n follows n (modulo 10**9) seconds later
 
 
+#: Host, path and query of a URL with a scheme; user and port are passed over.
+URL = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)(\?[^#]*)?")
+
+
 def url_key(url: str | None) -> str:
-    """Sort-friendly form of a URL: host labels from the right, then path and query; null gives the empty key."""
-    if not url:
-        return ""
-    try:
-        parts = urlsplit(url.strip())
-        host = (parts.hostname or "").removeprefix("www.")
-    except ValueError:
-        return url.strip().lower()
-    rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return ",".join(reversed(host.split("."))) + ")" + rest.lower()
+    """Sort-friendly form of a URL: host labels from the right, then path and query, in lower case.
+
+    Null gives the empty key, and what is no URL stands for itself without outer blanks.
+    """
+    parts = URL.match((url or "").strip(" "))
+    if not parts:
+        return (url or "").strip(" ").lower()
+    host, path, query = parts.groups("")
+    return (",".join(reversed(host.lower().removeprefix("www.").split("."))) + ")" + (path or "/") + query).lower()
 
 
 def digest32(payload: bytes) -> str:
@@ -106,16 +110,23 @@ class LoserTree:
             self._play(run)
 
 
-def winners(table: DataFrame) -> DataFrame:
+def winners(table: DataFrame, hot_share: int = 1000) -> DataFrame:
     """``refers_to`` by payload: the largest page_id with an equal payload, null for that record itself.
 
-    Repeated rows of one page_id are all the response. A digest shared by a third of the rows is combined before the
-    shuffle, and the join back is an ordinary one that adaptive execution may split.
+    Repeated rows of one page_id are all the response, and of rows without an id none is. Digests of more than one
+    row in ``hot_share`` are fewer than that, so their winners are broadcast and their rows stay where they are; all
+    others meet their winner by a join of evenly small keys.
     """
-    digest = F.sha1(F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8"))
-    keyed = table.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), digest.alias("digest"))
-    last = keyed.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.select("page_id", "url", "html", "digest").join(last, "digest", "left").select("page_id", "url", "html", F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    keyed = table.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
+    last = materialise(keyed.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"))
+    hot = F.col("n") > max(1, table.count() // hot_share)
+    marked = keyed.join(F.broadcast(last.where(hot).select("digest", F.col("last").alias("hot_last"), F.lit(True).alias("hot"))), "digest", "left")
+    # rows that have their winner get keys of their own, which spread
+    marked = marked.withColumn("key", F.when(F.col("hot"), F.concat(F.lit("#"), F.xxhash64("page_id", "url"))).otherwise(F.col("digest")))
+    joined = marked.join(last.where(~hot).select(F.col("digest").alias("key"), "last"), "key", "left")
+    found = F.coalesce("hot_last", "last")
+    return joined.select("page_id", "url", "html", F.when(found.isNotNull() & (F.col("page_id").isNull() | (found != F.col("page_id"))), found).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
@@ -160,53 +171,67 @@ def read_archives(members: DataFrame) -> DataFrame:
     return members.mapInArrow(read, "url_key string, ts long, page_id long, archive string, offset long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-_PLACE = struct.Struct(">qq")
-
+def merged_index(captures: DataFrame, range_rows: int = 100_000, run_rows: int = 100_000) -> DataFrame:
+    """Captures with ``index_range`` and ``capture_rank``, the place from 0 in the global order.
 
-def merged_index(captures: DataFrame, range_rows: int = 20_000) -> DataFrame:
-    """Captures in one global order of (URL key, timestamp, page_id, archive, offset), with ``capture_rank`` inside a range.
-
-    Every task sorts the captures it reads into a run and cuts the run at range bounds; the task of a range receives its
-    piece of each run packed in one row and merges the pieces with a loser tree. Bounds are quantiles of a sample of the
-    whole sort key, so captures of one URL or host that hold a third of the rows spread over many ranges; every capture
-    is in exactly one range. The bounds come to the driver: one for each ``range_rows`` captures and 4096 at most.
+    The order is that of (URL key, timestamp, page_id, archive, offset), null ids first. Every task sorts the captures it
+    reads into runs of ``run_rows`` and cuts each run at range bounds; the task of a range receives its piece of every run
+    packed in one row and merges the pieces with a loser tree. Bounds are quantiles of a sample of the whole sort key, so
+    captures of one URL or host that hold a third of the rows spread over many ranges; every capture is in exactly one
+    range. There is a range for each ``range_rows`` captures, so a range does not grow with the corpus; few captures still
+    make 64 ranges. One bound a range comes to the driver.
     """
     n = captures.count()
-    ranges = max(1, min(4096, n // range_rows))
+    ranges = max(1, min(64, n // 1000), n // range_rows)
     key = F.struct("url_key", "ts", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "archive", "offset")
     bounds: list[tuple] = []
     if ranges > 1:
-        drawn = captures.sample(min(1.0, 100 * ranges / n), seed=7).select(key.alias("key"))
-        tiles = drawn.repartition(1).sortWithinPartitions("key").select("key").toLocalIterator()
-        seen = [tuple(r["key"]) for r in tiles]
-        bounds = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
+        drawn = captures.sample(min(1.0, 32 * ranges / n), seed=7).select(key.alias("key"))
+        placed = drawn.select("key", F.row_number().over(Window.orderBy("key")).alias("place"), F.count("*").over(Window.partitionBy()).alias("of"))
+        step = F.floor(F.col("place") * ranges / F.col("of"))
+        bounds = sorted(tuple(r["key"]) for r in placed.where(step > F.floor((F.col("place") - 1) * ranges / F.col("of"))).where("place < of").select("key").collect())
     names = captures.columns
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        rows = sorted(((r[0], r[1], -1 if r[2] is None else r[2], r[3], r[4]), r[5:]) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        keys = [r[0] for r in rows]
-        cuts = [0, *(bisect.bisect_left(keys, b) for b in bounds), len(keys)]
-        for i in range(len(cuts) - 1):
-            if cuts[i] < cuts[i + 1]:
-                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([pickle.dumps(rows[cuts[i] : cuts[i + 1]])], pa.binary())], ["part", "run"])
+        held: list[tuple] = []
+
+        def cut() -> Iterator[pa.RecordBatch]:
+            held.sort()
+            keys = [r[0] for r in held]
+            edges = [0, *(bisect.bisect_left(keys, b) for b in bounds), len(keys)] if len(bounds) < len(keys) else None
+            part = np.repeat(np.arange(len(edges) - 1), np.diff(edges)) if edges else np.array([bisect.bisect_right(bounds, k) for k in keys])
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for a, b in zip(at, np.append(at[1:], len(keys)), strict=True):
+                yield pa.record_batch([pa.array([part[a]], pa.int32()), pa.array([b - a], pa.int64()), pa.array([pickle.dumps(held[a:b])], pa.binary())], ["part", "n", "run"])
+            held.clear()
+
+        for batch in batches:
+            held += (((r[0], r[1], -1 if r[2] is None else r[2], r[3], r[4]), r[5:]) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            if len(held) >= run_rows:
+                yield from cut()
+        if held:
+            yield from cut()
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        import pickle
-
         pieces = sorted((pickle.loads(r) for r in table.column("run").to_pylist()), key=lambda p: p[0][0])
         rows = [(*k[:2], None if k[2] < 0 else k[2], *k[3:], *v, key[0].as_py(), i) for i, (k, v) in enumerate(LoserTree(pieces))]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*names, "index_range", "capture_rank"])
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*names, "index_range", "place"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in captures.schema) + ", index_range long, capture_rank long"
-    return captures.mapInArrow(runs, "part int, run binary").groupBy("part").applyInArrow(merge, schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in captures.schema)
+    merged = materialise(captures.mapInArrow(runs, "part int, n long, run binary").groupBy("part").applyInArrow(merge, schema + ", index_range long, place long"))
+    # one row a range, whatever the number of captures
+    sizes = merged.groupBy("index_range").agg(F.count("*").alias("size"))
+    before = sizes.select("index_range", (F.sum("size").over(Window.orderBy("index_range")) - F.col("size")).alias("before"))
+    return merged.join(F.broadcast(before), "index_range").select(*names, "index_range", (F.col("before") + F.col("place")).alias("capture_rank"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page archived, read back, and indexed in one global order; one row a page."""
+    """Every page archived, read back, and placed in one global order of captures; one row a page.
+
+    Null html is an empty payload, a null URL the empty key; an empty table gives no rows.
+    """
     table = pages(spark, sf_dir)
     members = materialise(write_archives(winners(table)))
     captures = materialise(read_archives(members))
-    return merged_index(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("ts").alias("capture_ts"))
+    return merged_index(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.col("ts").alias("capture_ts"), "capture_rank")
