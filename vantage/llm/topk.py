@@ -1,12 +1,13 @@
 """Exact top-k inner products: a ball tree for each shard, searched by branch and bound.
 
-Shards are packed trees, queries travel in packed blocks, and each pair of a block and a group of shards meets once: a
-stated query set against all rows, in blocks. A seed pass gives each query the k-th score of one shard; that bound is
-shared with all shards, and it rises as a task goes through its group.
+Shards are packed trees, queries travel in packed blocks, and each batch of blocks meets each group of shards once: a
+stated query set against all rows, in blocks. A seed pass gives each query the k-th score of one shard; that bound goes
+along to all groups, and it rises inside a group from shard to shard. Groups run apart and do not tell each other.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import pickle
 from dataclasses import dataclass
@@ -20,7 +21,9 @@ from pyspark.sql.window import Window
 
 from vantage.llm.storage import materialise
 
-SHARD_ROWS, BLOCK_QUERIES, GROUP_SHARDS, LEAF = 4096, 2048, 8, 64
+SHARD_ROWS, BLOCK_QUERIES, LEAF = 4096, 2048, 64
+#: Shards of a group (the least, and the most on a large corpus) and query blocks of a batch. A task holds one group and one batch.
+GROUP_SHARDS, MOST_SHARDS, BATCH_BLOCKS = 8, 64, 32
 LOWEST = -(1 << 62)
 
 
@@ -91,7 +94,7 @@ class Block:
         self.bound[row[full]] = np.maximum(self.bound[row[full]], score[full])
 
     def search(self, tree: BallTree) -> None:
-        """Best-first by upper bound: of two children the one with the larger bound over the block goes first."""
+        """Best-first: of all nodes waiting, the one with the largest upper bound, summed over the queries that it may serve, goes next."""
         top = max(1, int(np.abs(self.points).max(initial=0)), int(np.abs(tree.points).max(initial=0)))
         exact = float if tree.points.shape[1] * top * top < 1 << 53 else object
         points, queries = tree.points.astype(exact), self.points.astype(exact)
@@ -101,9 +104,9 @@ class Block:
             u = real[rows] @ tree.centre[node] + self.norm[rows] * tree.radius[node]
             return u + 1e-9 * (1 + np.abs(u) + self.norm[rows] * (np.abs(tree.centre[node]).max() + tree.radius[node]))
 
-        stack = [(0, np.arange(len(self.ids)), None)]
-        while stack:
-            node, rows, u = stack.pop()
+        waiting = [(0.0, 0, np.arange(len(self.ids)), None)]  # nodes differ, so the heap never compares arrays
+        while waiting:
+            _, node, rows, u = heapq.heappop(waiting)
             if u is not None:
                 rows = rows[u >= self.bound[rows]]
             if not len(rows):
@@ -115,15 +118,17 @@ class Block:
                 r, c = np.nonzero(hit)
                 self.offer(rows[r], s[r, c].astype(np.int64), tree.ids[a:b][c])
                 continue
-            pair = [(child, upper(child, rows)) for child in (int(tree.left[node]), int(tree.left[node]) + 1)]
-            pair.sort(key=lambda x: x[1].sum())  # the last pushed is the first searched
-            stack += [(child, rows, u) for child, u in pair]
+            for child in (int(tree.left[node]), int(tree.left[node]) + 1):
+                u = upper(child, rows)
+                may = u >= self.bound[rows]
+                if may.any():
+                    heapq.heappush(waiting, (-float(u[may].sum()), child, rows[may], u[may]))
 
 
 def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``(vec_id, v, dim)``: components as floor(scale * x). Null ids, null vectors and vectors with null or non-finite components go.
 
-    Rows that repeat both id and vector count once.
+    So do empty vectors, which have no product with any. Rows that repeat both id and vector count once.
     """
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
@@ -178,7 +183,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     vectors = materialise(whole_vectors(table, id_col, vec_col, scale))
     n = vectors.count()
     shards, count = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n / every / block_queries))
-    groups = max(1, math.ceil(shards / GROUP_SHARDS))
+    groups = max(1, math.ceil(shards / min(MOST_SHARDS, max(GROUP_SHARDS, shards // 256))))
+    batches = math.ceil(count / BATCH_BLOCKS)
     forest = materialise(trees(vectors, shards, k))
     packed = blocks(vectors.where(F.col("vec_id") % every == 0), count, k)
 
@@ -206,9 +212,9 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
-    left = forest.withColumn("part", F.pmod("shard", F.lit(groups))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    right = seeded.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    found = left.groupBy("part", "block", "dim").cogroup(right.groupBy("part", "block", "dim")).applyInArrow(search, "query_id long, vec_id long, score long")
+    left = forest.withColumn("part", F.pmod("shard", F.lit(groups))).withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
+    right = seeded.withColumn("batch", F.floor(F.col("block") / BATCH_BLOCKS)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    found = left.groupBy("part", "batch", "dim").cogroup(right.groupBy("part", "batch", "dim")).applyInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(best).cast(T.IntegerType()))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
