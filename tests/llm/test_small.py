@@ -170,6 +170,45 @@ def test_near_copies_that_share_one_band(spark, monkeypatch, shift):
     assert got == {0: (0, 0), 1: (1, 1), 2: (1, 1)}
 
 
+def test_recall_of_the_bands(spark):
+    """Shares of pairs that meet in a band, by weighted similarity from the threshold on, over 1 500 pairs of a mixed corpus."""
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(50_000)]
+    line = " ".join(rng.choice(common) for _ in range(60))
+    rows = []
+    for i in range(1500):
+        base = [*line.split(), *(rng.choice(rare) for _ in range(rng.randrange(60, 300)))]
+        other = list(base)
+        for _ in range(rng.randrange(0, max(2, len(base) // 40))):
+            other[rng.randrange(len(other))] = rng.choice(rare)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    table = docs(spark, rows).withColumnRenamed("doc_id", "id")
+    idf = dedup.document_frequency(table)
+    pairs = spark.range(1500).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"))
+    likeness = {r["a"]: r["similarity"] for r in dedup.similarities(table, pairs, idf).collect()}
+    bands = {r["id"]: r["bands"] for r in dedup.signatures(table, idf).collect()}
+    met = {a: any(x == y for x, y in zip(bands[a], bands[a + 1], strict=True)) for a in likeness}
+    for low, high, least in ((0.8, 0.86, 0.985), (0.86, 0.9, 0.995), (0.9, 1.01, 1.0)):
+        some = [met[a] for a, s in likeness.items() if low <= s < high]
+        assert len(some) > 100 and np.mean(some) >= least, (low, len(some), np.mean(some))
+
+
+def test_a_large_group_links_through_its_middle(spark):
+    """Members of a third of the corpus that are edited apart from one text, which is not the least id."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(400)]
+    rows = [(900, " ".join(base))]
+    for i in range(150):
+        w = list(base)
+        at = rng.randrange(380)
+        w[at : at + 8] = [f"e{i}x{j}" for j in range(8)]
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"z{rng.randrange(9000)}" for _ in range(200))) for i in range(300)]
+    rows += [(900, " ".join(base)), (900, "another text of this id"), (2000, "word " * 30_000)]
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_copies(docs(spark, rows, extra=True)).collect()}
+    assert {got[i] for i in range(150)} == {0} and got[2000] == 2000 and all(got[1000 + i] == 1000 + i for i in range(300))
+
+
 def test_profiles_bound_what_is_shared(spark):
     table = docs(spark, near_rows()).withColumnRenamed("doc_id", "id")
     idf = dedup.document_frequency(table)
@@ -232,9 +271,11 @@ def test_warc_round_trip_and_order(spark):
     rows = [(1, "http://a.example/x", "same"), (2, None, None), (3, "http://b.example/", "same"), (4, "not a url [", ""), (5, "http://a.example/x", "ünï\r\n\r\nbody"), (5, "http://a.example/x", "ünï\r\n\r\nbody")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     captures = warc.read_archives(warc.write_archives(warc.winners(pages)))
-    merged = warc.merged_index(captures, range_rows=2).orderBy("index_range", "capture_rank").collect()
+    merged = warc.merged_index(captures, range_rows=2, run_rows=2).orderBy("capture_rank").collect()
     keys = [(r["url_key"], r["ts"], r["page_id"]) for r in merged]
-    assert keys == sorted(keys) and len(keys) == len(rows)
+    assert keys == sorted(keys) and [r["capture_rank"] for r in merged] == list(range(len(rows)))
+    ranges = [r["index_range"] for r in merged]
+    assert ranges == sorted(ranges) and len(set(ranges)) > 1
     for r in merged:
         body = next(h or "" for i, _, h in rows if i == r["page_id"]).encode()
         last = max(i for i, _, h in rows if (h or "").encode() == body)
@@ -244,6 +285,20 @@ def test_warc_round_trip_and_order(spark):
     assert none.count() == 0
 
 
+def test_url_keys():
+    assert warc.url_key("https://www.B.Example.com:80/A/b?Q=1#f") == "com,example,b)/a/b?q=1" and warc.url_key("http://u@h.x") == "x,h)/"
+    assert warc.url_key(None) == "" and warc.url_key(" Not a url ") == "not a url"
+
+
+@pytest.mark.parametrize("share", [1, 1000], ids=["by join", "by broadcast"])
+def test_warc_winners_of_hot_payloads(spark, share):
+    rows = [(i, None, "same" if i % 3 else str(i % 5)) for i in range(60)] + [(None, None, "same"), (59, None, "same"), (70, None, "x" * 3_000_000)]
+    got = {(r["page_id"], r["html"]): r["refers_to"] for r in warc.winners(spark.createDataFrame(rows, "page_id long, url string, html string"), share).collect()}
+    for i, _, h in rows:
+        last = max(j for j, _, g in rows if g == h and j is not None)
+        assert got[i, h] == (None if i == last else last)
+
+
 # --- packing
 
 
@@ -272,6 +327,13 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack(packing.pieces(docs(spark, []))).count() == 0
 
 
+def test_units_go_alone_if_the_vocabulary_splits_them():
+    model = packing.WordTokenizer(packing.tokenizer_path())
+    model.ends_word[:] = True  # as if a word could end inside
+    ids, n = model.encode(*text_bytes(pa.array(["extraordinarily unsplittable words", "x"])))
+    assert ids[: n[0]].tolist() == model.tokenizer.encode("extraordinarily unsplittable words", add_special_tokens=False).ids
+
+
 def test_window_fill_is_the_best_subset():
     rng = random.Random(4)
     for _ in range(200):
@@ -332,14 +394,40 @@ def test_gradients_are_those_of_the_loss():
 
 
 def test_language_edge_cases(spark):
-    rows = [(1, None), (2, ""), (3, "123 ###"), (4, "word")]
+    rows = [(1, None), (2, ""), (3, "123 ### ½ ² ①"), (4, "word")]
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs(spark, rows, extra=True), None).collect()}
     assert set(got.values()) == {("und", 0.0)}
     m = language.train([b"aaaa aaab", b"zzzz zzzy"], ["a", "z"], steps=30, batch=16, span=16)
+    assert language.predict(docs(spark, []), m).count() == 0
     got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs(spark, [*rows, (5, "aaaa " * 400), (6, "zzzz zzzz")]), m).collect()}
     assert got[1] == got[2] == got[3] == "und" and got[5] == "a" and got[6] == "z"
 
 
+def test_language_pools_every_position():
+    """Document probabilities against a network run byte by byte over each span."""
+    m = language.train([b"aaaa aaab", b"zzzz zzzy"], ["a", "z"], steps=5, batch=8, span=8)
+    texts = ["", "az", "aazz" * 9 + "q"]
+    got = language.document_probabilities(m, *text_bytes(pa.array(texts)), span=16, lanes=2)
+    for text, p in zip(texts, got, strict=True):
+        total = np.zeros(2)
+        raw = text.encode()
+        for a in range(0, len(raw), 16):
+            span = np.frombuffer(raw[a : a + 16], np.uint8).astype(int)
+            n = m.left.inner.shape[1]
+            h, left, right = np.zeros((n, 1), np.float32), [], []
+            for b in span:
+                h = m.left.step(np.array([b]), h)
+                left.append(h)
+            h = np.zeros((n, 1), np.float32)
+            for b in span[::-1]:
+                h = m.right.step(np.array([b]), h)
+                right.append(h)
+            for x, y in zip(left, right[::-1], strict=True):
+                z = m.out @ np.concatenate([x, y, np.ones((1, 1))])
+                total += (np.exp(z - z.max()) / np.exp(z - z.max()).sum())[:, 0]
+        assert p == pytest.approx(total / max(1, len(raw)), abs=1e-4)
+
+
 def test_language_held_out_accuracy(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.predict(table.select("doc_id", "text", "lang"), language.fit(table, per_lang=100)).where(language.held_out()).collect()
@@ -368,6 +456,49 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert got[1000]["score"] == got[1001]["score"] < 0.5
 
 
+def test_label_model_corrects_wrong_labels_and_counts_copies_once():
+    rng = np.random.default_rng(2)
+    truth = rng.random(2000) < 0.3
+    rates = [(0.8, 0.05)] * 4
+    fires = np.stack([np.where(truth, rng.random(2000) < a, rng.random(2000) < b) for a, b in rates], axis=1)
+    clean = np.stack([np.where(truth, rng.random(2000) < 0.1, rng.random(2000) < 0.7) for _ in range(2)], axis=1)
+    noisy = rng.random(2000) < np.where(truth, 0.5, 0.3)  # a poor voter, copied five times
+    votes = np.concatenate([fires, clean, np.repeat(noisy[:, None], 5, axis=1)], axis=1).astype(float)
+    post, found = toxicity.label_model(votes, np.array([1] * 4 + [-1] * 2 + [1] * 5), 0.3)
+    assert np.mean((post > 0.5) == truth) > 0.95
+    assert abs(found["rate"][1][:4] - 0.8).max() < 0.06 and abs(found["rate"][0][4:6] - 0.7).max() < 0.06
+    parent = found["parent"]
+    assert all(parent[j] >= 6 or any(parent[i] == j for i in range(6, 11)) for j in range(6, 11))  # the copies hang together
+    assert all(parent[j] < 6 for j in range(6))
+
+
+def test_label_model_posterior_against_brute_force():
+    """The last step over all voters of a row, from the rates that the model returns."""
+    rng = np.random.default_rng(4)
+    votes = (rng.random((300, 5)) < 0.4).astype(float)
+    polarity = np.array([1, 1, 1, -1, -1])
+    post, m = toxicity.label_model(votes, polarity, 0.4, rounds=1)
+    start = np.where(votes @ polarity > 0, 0.9, np.where(votes @ polarity < 0, 0.1, 0.4))
+    for row in range(0, 300, 17):
+        odds = start.mean() / (1 - start.mean())
+        for j in range(5):
+            above = int(votes[row, m["parent"][j]]) if m["parent"][j] >= 0 else 0
+            p = [m["given"][c, above, j] if votes[row, j] else 1 - m["given"][c, above, j] for c in (0, 1)]
+            odds *= p[1] / p[0]
+        assert post[row] == pytest.approx(odds / (1 + odds), abs=1e-9)
+
+
+def test_toxicity_edges(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (1, 0), (2, None), (3, 7)], "doc_id long, toxic int")
+    empty = toxicity.fit(*toxicity.training_features(docs(spark, []), labels))
+    rows = [(None, "x"), (1, "you idiot"), (1, "you idiot"), (5, "idiot " * 20_000), (6, None)]
+    got = [(r["doc_id"], r["predicted"]) for r in toxicity.score(docs(spark, rows, extra=True), empty).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0), (1, 1), (1, 1), (5, 1), (6, 0)], key=str)
+    few = docs(spark, [(i, "bad vrakk" if i % 2 else "all is well") for i in range(40)], extra=True)
+    model = toxicity.fit(*toxicity.training_features(few, labels))
+    assert {r["doc_id"] % 2: r["predicted"] for r in toxicity.score(few, model).collect()} == {0: 0, 1: 1}
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(*toxicity.training_features(docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int")))
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs(spark, [(1, "you idiot"), (2, "fine")]), model).collect()}
@@ -393,6 +524,19 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_topk_over_several_batches_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_SHARDS", 2)
+    monkeypatch.setattr(topk, "BATCH_BLOCKS", 2)
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(0, 1, (200, 3)) * 4) / 4  # many ties
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(3, v[3].tolist()), (500, [])], "vec_id long, embedding array<double>")
+    table = table.withColumns({c: F.lit("clash") for c in ("v", "dim", "shard", "block", "batch", "part")})
+    got = topk.top_k(table, every=2, shard_rows=16, block_queries=8).collect()
+    q = np.floor(256 * v).astype(int)
+    want = {(i, n + 1, j, -s) for i in range(0, 200, 2) for n, (s, j) in enumerate(sorted((-int(q[i] @ q[j]), j) for j in range(200) if j != i)[:5])}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 # --- mixing
 
 
@@ -423,12 +567,77 @@ def test_mixing_small_cases(spark):
 # --- HTML
 
 
-def test_html_cases():
+def extracted(spark, pages, **kw):
+    return {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), **kw).collect()}
+
+
+def test_html_cases(spark):
     page = "<html><body><header>Site</header><nav><a>m</a></nav><div class='sidebar'>s</div><main><h1>T &amp; x</h1><p>a<br>b <i>c</i>d<p>e<!-- n --><div class=\"cookie-notice\">no</div><ul><li>1<li>2</ul><section id=comments>c</section><form>f</form><script>var x='<p>'</script></main><footer>z"
-    text = lambda h: html.main_text(html.parse(h), frozenset())
-    assert text(page) == "T & x\n\na b cd\n\ne\n\n1\n\n2"
-    assert text("") == "" and text("plain  text") == "plain text" and text("<p>cut <b") == "cut" and text("a < b") == "a < b"
-    assert text("<div>" * 3000 + "deep") == "deep"
+    cases = {
+        page: "T & x\n\na b cd\n\ne\n\n1\n\n2",
+        "": "",
+        "plain  text": "plain text",
+        "<p>cut <b": "cut",
+        "a < b": "a < b",
+        "<div>" * 3000 + "deep": "deep",
+        # names that only hint at furniture lose nothing
+        '<div class="content-sidebar-wrap"><main><p>Article text</p></main></div>': "Article text",
+        '<article><p>One</p><div class="social-history">Of the guilds</div></article>': "One\n\nOf the guilds",
+        '<div class="lead">Before it</div><article><p>One</p></article>': "Before it\n\nOne",
+        '<div class="share-buttons">x</div><article>a<div class="ad">buy</div></article><article class="comment">me too</article><div class="related"><article>more</article></div>': "a",
+        '<form><article>in a form</article></form><form><input>mail</form><div role="navigation">n</div><p hidden>h</p>': "in a form",
+    }
+    got = extracted(spark, [(i, f"http://h{i}.example/", h) for i, h in enumerate(cases)])
+    assert got == dict(enumerate(cases.values()))
+
+
+def brute_importance(pages):
+    """Importance of each path by the definition: every entropy from its list of features."""
+    import math
+
+    seen = {}
+    for host, page in pages:
+        own = {}
+        for path, base, kind, look, text in html.styles(html.parse(page)):
+            own.setdefault(path, (base, kind, [], []))[2].append(look)
+            own[path][3].append(text)
+        for path, (base, kind, looks, texts) in own.items():
+            seen.setdefault((host, path), (base, kind, [], []))[2].append(tuple(looks))
+            seen[host, path][3].append(tuple(texts))
+
+    def entropy(values):
+        m = len(values)
+        return 1.0 if m == 1 else -sum(values.count(v) / m * math.log(values.count(v) / m, m) for v in set(values))
+
+    own = {k: (len(x) * (0.2 * entropy(x) + 0.8 * entropy(y)) + 0.5) / (len(x) + 0.5) for k, (_, _, x, y) in seen.items()}
+    prior = {0: (0.5, 0.5), 1: (0, 1), 2: (0, 0.5), 3: (0, 0.1)}
+    return {k: prior[kind][0] + prior[kind][1] * min(1, own[k] / own[k[0], base]) for k, (base, kind, _, _) in seen.items()}
+
+
+def test_importance_against_brute_force(spark):
+    rng = random.Random(3)
+    pages = []
+    for i in range(60):
+        blocks = "".join(f"<{t} class='{c}'>{rng.choice(['same', 'other', str(i)])}</{t}>" for t, c in zip("ppbbi", rng.choices(["x", "y", "ad", "share-x"], k=5), strict=True))
+        pages.append((rng.choice("ab"), f"<body><nav>{rng.random()}</nav>{rng.choice(['<article>', '<div>'])}{blocks}<p>{rng.choice('uvw')}</p></body>"))
+    got = {(r["host"], r["path"]): r["importance"] for r in html.style_tree(spark.createDataFrame(pages, "host string, html string")).collect()}
+    assert got == pytest.approx(brute_importance(pages), abs=1e-9) and len({round(v, 3) for v in got.values()}) > 10
+
+
+def test_the_tree_decides_inside_and_outside_articles(spark):
+    rows = []
+    for i in range(20):
+        own = f"<p>Story {i} of {i * i}</p>"
+        rows.append((i, "http://a.example/", f"<div class='q'>Read us daily</div><article>{own}<div class='z'>Same in all</div></article>"))
+        # a site that repeats whole articles: sameness tells nothing
+        rows.append((100 + i, "http://b.example/", "<nav>go</nav><article><p>One story</p><p>again</p></article>"))
+    rows += [(300, "http://c.example/", rows[0][2]), (None, None, "<p>alone"), (0, "http://a.example/", rows[0][2])]
+    for limit in (1_000_000, 0):
+        got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_paths=limit).collect()
+        assert len(got) == len(rows) and [r["text"] for r in got if r["page_id"] == 0] == ["Story 0 of 0"] * 2
+        got = {r["page_id"]: r["text"] for r in got}
+        assert all(got[i] == f"Story {i} of {i * i}" and got[100 + i] == "One story\n\nagain" for i in range(20))
+        assert got[300] == "Read us daily\n\nStory 0 of 0\n\nSame in all" and got[None] == "alone"
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
@@ -443,9 +652,9 @@ def test_style_tree_removes_what_a_site_repeats(spark):
 def test_style_tree_reads_every_element_of_a_path(spark):
     tags = "b i u em strong span code sub sup small q s".split()
     pages = [("h", f"<body><div class='x'><{t}>same</{t}></div>" + "<div class='x'><p>same</p></div>" * 64 + "</body>") for t in tags]
-    path = next(p for p, look, text in html.styles(html.parse("<body><div class='x'><p>same</p></div></body>")) if look == html._hash("p"))
-    low = {p for r in html.style_tree(spark.createDataFrame(pages, "host string, html string")).collect() for p in r["low"]}
-    assert path not in low
+    path = next(p for p, _, _, look, text in html.styles(html.parse("<body><div class='x'><p>same</p></div></body>")) if look == html._hash("p"))
+    tree = lambda p: {r["path"]: r["importance"] for r in html.style_tree(spark.createDataFrame(p, "host string, html string")).collect()}
+    assert tree(pages)[path] > 0.9
     same = [(h, text.replace(f"<{t}>", "<p>").replace(f"</{t}>", "</p>")) for (h, text), t in zip(pages, tags, strict=True)]
-    low = {p for r in html.style_tree(spark.createDataFrame(same, "host string, html string")).collect() for p in r["low"]}
-    assert path in low
+    beside = [(h, f"<p>{i}</p>{text}") for i, (h, text) in enumerate(same)]
+    assert tree(beside)[path] < html.LEAST_IMPORTANCE
