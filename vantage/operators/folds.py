@@ -10,28 +10,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.operators.components import connected_components
+from vantage.operators.grams import overlap_join
 from vantage.sources.shared import materialise
 
 
-def keep_first(scenes: DataFrame, least_words: int = 4, least_shared: int = 2, ratio: float = 0.7) -> DataFrame:
-    """``(id, pos, kept, twin_of)``: scenes of a position in order; one that retells an earlier kept scene is folded into it.
+def same_beats(scenes: DataFrame, least_words: int = 4, least_shared: int = 2, ratio: float = 0.7) -> DataFrame:
+    """``(pos, x, y)``: scenes of one position that recount one thing, ``x < y``.
 
-    ``scenes`` has (id, pos, place, words). Likeness is no equivalence relation, so the fold runs in a fixed order; a group
-    is the scenes of one position.
+    ``scenes`` has (id, pos, words, names). They share enough words, and at most one of them names someone whom the other does
+    not: a fuller telling names more, but two different people make two scenes.
     """
+    near = overlap_join(scenes.select("pos", "id", F.col("words").alias("set")), ["pos"], ratio, least_shared, least_words)
+    named = near.join(scenes.select("pos", F.col("id").alias("x"), F.col("names").alias("nx")), ["pos", "x"]).join(scenes.select("pos", F.col("id").alias("y"), F.col("names").alias("ny")), ["pos", "y"])
+    return named.where((F.size(F.array_except("nx", "ny")) == 0) | (F.size(F.array_except("ny", "nx")) == 0)).select("pos", "x", "y")
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, set]] = []
-        rows = []
-        for r in pdf.sort_values(["place", "id"]).itertuples():
-            words = set(r.words)
-            twin = next((i for i, w in kept if min(len(w), len(words)) >= least_words and len(w & words) >= least_shared and len(w & words) / min(len(w), len(words)) >= ratio), None)
-            if twin is None:
-                kept.append((r.id, words))
-            rows.append((r.id, r.pos, twin is None, twin))
-        return pd.DataFrame(rows, columns=["id", "pos", "kept", "twin_of"])
-
-    return scenes.groupBy("pos").applyInPandas(fold, "id string, pos int, kept boolean, twin_of string")
+def keep_first(scenes: DataFrame, least_words: int = 4, least_shared: int = 2, ratio: float = 0.7) -> DataFrame:
+    """``(id, pos, kept, twin_of)``: scenes of a position in order; one that retells an earlier kept scene is folded into the first such.
+
+    ``scenes`` has (id, pos, place, words, names). Likeness is no equivalence relation, so the order decides: a scene is
+    kept once all earlier scenes like it are folded, and folded once one of them is kept. Rounds of joins over the like
+    pairs alone settle all; no position is gathered in one task.
+    """
+    order = scenes.select(F.col("id"), F.struct("place", "id").alias("at"))
+    beats = same_beats(scenes, least_words, least_shared, ratio)
+    both = beats.join(order.select(F.col("id").alias("x"), F.col("at").alias("ax")), "x").join(order.select(F.col("id").alias("y"), F.col("at").alias("ay")), "y")
+    early = F.col("ax") < F.col("ay")
+    pairs = materialise(both.select(F.when(early, F.col("y")).otherwise(F.col("x")).alias("id"), F.when(early, F.col("x")).otherwise(F.col("y")).alias("before"), F.least("ax", "ay").alias("at")))
+    open_ = materialise(pairs.select("id").union(pairs.select("before")).distinct())
+    kept = folded = None
+    while open_.head(1):
+        waits = pairs.join(open_.withColumnRenamed("id", "before"), "before", "left_semi")
+        fresh = materialise(open_.join(waits.select("id").distinct(), "id", "left_anti"))  # nothing earlier is undecided
+        kept = fresh if kept is None else materialise(kept.unionByName(fresh))
+        gone = materialise(pairs.join(open_, "id", "left_semi").join(fresh.withColumnRenamed("id", "before"), "before", "left_semi").select("id").distinct())
+        folded = gone if folded is None else materialise(folded.unionByName(gone))
+        open_ = materialise(open_.join(fresh, "id", "left_anti").join(gone, "id", "left_anti"))
+    if kept is None:
+        return scenes.select("id", "pos", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("twin_of"))
+    twin = pairs.join(folded, "id", "left_semi").join(kept.withColumnRenamed("id", "before"), "before", "left_semi").groupBy("id").agg(F.min_by("before", "at").alias("twin_of"))
+    return scenes.select("id", "pos").join(twin, "id", "left").select("id", "pos", F.col("twin_of").isNull().alias("kept"), "twin_of")
 
 
 def name_spans(text: Column, names: list[str]) -> Column:

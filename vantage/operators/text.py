@@ -57,6 +57,13 @@ def content_tokens(c: Column) -> Column:
     return F.array_except(F.filter(tokens(c), lambda w: F.length(w) > 1), F.array(*map(F.lit, STOPWORDS)))
 
 
+def capitalised(c: Column) -> Column:
+    """Distinct words that begin with a capital, normalised, of more than one character: the names of a sentence, near enough."""
+    first = lambda w: F.substring(w, 1, 1)
+    big = F.filter(F.split(c, WORDS), lambda w: first(w) != F.lower(first(w)))
+    return F.array_distinct(F.filter(F.transform(big, normalise), lambda w: F.length(w) > 1))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all, of two sets; 0 for two empty ones."""
     union = F.size(F.array_union(a, b))
@@ -102,8 +109,7 @@ def whole_word(c: Column, word: str) -> Column:
 
 
 def marker_count(c: Column, lang: str) -> Column:
-    words = "|".join(MARKERS[lang].split())
-    return F.regexp_count(F.lower(c), F.lit(rf"\b(?:{words})\b"))
+    return F.size(F.filter(F.split(F.lower(c), WORDS), lambda w: w.isin(MARKERS[lang].split())))
 
 
 def detect_language(c: Column, sure: int = 8, ratio: float = 1.5) -> Column:

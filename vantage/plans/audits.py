@@ -174,14 +174,14 @@ def sound_resolutions(v):
     return q.join(s, "k").where("at > opened_pos").groupBy("id").agg(F.min("at").alias("sound"))
 
 
-@query("scene_passes", "SELECT id, CASE WHEN r <= 400 THEN (r - 1) // 100 END AS pass FROM (SELECT id, row_number() OVER (ORDER BY coalesce(told_pos, shown_pos, 0), recorded) AS r FROM kg_scenes WHERE coalesce(told_pos, shown_pos, 0) <= $h)")
+@query("scene_passes", "SELECT id, CASE WHEN r <= 1600 THEN (r - 1) // 400 END AS pass FROM (SELECT id, row_number() OVER (ORDER BY coalesce(told_pos, shown_pos, 0), recorded) AS r FROM kg_scenes WHERE coalesce(told_pos, shown_pos, 0) <= $h)")
 def scene_passes(v):
     at = F.coalesce("told_pos", "shown_pos", F.lit(0))
     seen = hz.asof_scenes(v.scenes, H).withColumn("at", at)
     inside = seen.withColumn("k", F.row_number().over(Window.partitionBy("at").orderBy("recorded")))
     before = seen.groupBy("at").agg(F.count("*").alias("n")).withColumn("b", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = inside.join(before.select("at", "b"), "at").withColumn("r", F.col("b") + F.col("k"))
-    return place.select("id", F.when(F.col("r") <= 400, F.floor((F.col("r") - 1) / 100)).alias("pass"))
+    return place.select("id", F.when(F.col("r") <= 1600, F.floor((F.col("r") - 1) / 400)).alias("pass"))
 
 
 @query("questions_due", "SELECT id FROM kg_questions WHERE state = 'open' AND coalesce(swept_pos, 0) < (SELECT max(pos) FROM kg_positions WHERE status = 'published')")
@@ -235,21 +235,24 @@ def append_only_check(v):
     return va.changed_rows(v.assertions, after, "id", ["subject", "predicate", "object", "from_pos"]).select("id", F.array_join("changed", ",").alias("changed"))
 
 
-@query("retype_conflicts", "SELECT a.id FROM kg_assertions a JOIN kg_ontology n USING (predicate) WHERE a.status = 'accepted' AND a.subject IN ('c1', 'c8', 'c15') AND NOT list_contains(string_split(n.subject_types, ' '), 'place')")
+@query("retype_conflicts", "WITH r AS (SELECT DISTINCT subject AS id FROM kg_proposals WHERE category = 'entity' AND status = 'proposed') SELECT a.id FROM kg_assertions a JOIN kg_ontology n USING (predicate) WHERE a.status = 'accepted' AND (a.subject IN (SELECT id FROM r) AND NOT list_contains(string_split(n.subject_types, ' '), 'place') OR a.object IN (SELECT id FROM r) AND NOT list_contains(string_split(n.object_types, ' '), 'place'))")
 def retype_conflicts(v):
-    o = F.broadcast(v.ontology.select("predicate", F.split("subject_types", " ").alias("st")))
-    touched = v.assertions.where("status = 'accepted' AND subject IN ('c1', 'c8', 'c15')")
-    return touched.join(o, "predicate").where(~F.array_contains("st", "place")).select("id")
+    """Accepted facts that would be invalid if every entity with an open card were a place, by the end that it stands at."""
+    o = F.broadcast(v.ontology.select("predicate", *(F.split(f"{x}_types", " ").alias(x + "_may") for x in ("subject", "object"))))
+    retyped = v.proposals.where("category = 'entity' AND status = 'proposed'").select("subject").distinct()
+    facts = v.assertions.where("status = 'accepted'").join(o, "predicate")
+    ends = [facts.where(~F.array_contains(f"{x}_may", "place")).join(retyped.select(F.col("subject").alias(x)), x, "left_semi").select("id") for x in ("subject", "object")]
+    return ends[0].union(ends[1]).distinct()
 
 
-@query("orphan_assertions", "SELECT id FROM kg_assertions WHERE status = 'accepted' AND id[1] = 'o' AND id NOT IN (SELECT assertion_id FROM kg_evidence)")
+@query("orphan_assertions", "SELECT id FROM kg_assertions WHERE status = 'accepted' AND id NOT IN (SELECT assertion_id FROM kg_evidence)")
 def orphan_assertions(v):
-    return v.assertions.where("status = 'accepted' AND id LIKE 'o%'").join(v.evidence.select(F.col("assertion_id").alias("id")), "id", "left_anti").select("id")
+    return v.assertions.where("status = 'accepted'").join(v.evidence.select(F.col("assertion_id").alias("id")), "id", "left_anti").select("id")
 
 
 @query("audit_sweep", """SELECT kind, count(*) AS n FROM (SELECT 'impossible identity' AS kind FROM kg_assertions i JOIN kg_entities s ON s.id = i.subject JOIN kg_entities o ON o.id = i.object WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND s.node_type <> o.node_type
     UNION ALL SELECT 'anachronic identity' FROM kg_assertions i JOIN kg_entities s ON s.id = i.subject JOIN kg_entities o ON o.id = i.object WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND i.from_pos < greatest(s.first_pos, o.first_pos)
-    UNION ALL SELECT 'question record' FROM kg_questions WHERE resolved_pos <= opened_pos UNION ALL SELECT 'orphan' FROM kg_assertions WHERE status = 'accepted' AND id[1] = 'o' AND id NOT IN (SELECT assertion_id FROM kg_evidence)) GROUP BY kind""")
+    UNION ALL SELECT 'question record' FROM kg_questions WHERE resolved_pos <= opened_pos UNION ALL SELECT 'orphan' FROM kg_assertions WHERE status = 'accepted' AND id NOT IN (SELECT assertion_id FROM kg_evidence)) GROUP BY kind""")
 def audit_sweep(v):
     parts = {"impossible identity": audit_impossible_identity(v), "anachronic identity": audit_anachronic_identity(v), "question record": audit_question_records(v), "orphan": orphan_assertions(v)}
     out = None

@@ -52,9 +52,9 @@ CAPPED = """WITH d AS (SELECT id, count(*) AS degree FROM (SELECT subject AS id
     e AS (SELECT id, first_pos, coalesce(degree, 0) AS degree FROM kg_entities LEFT JOIN d USING (id) WHERE status = 'accepted' AND first_pos <= $h)"""
 
 
-@query("cap_nodes", CAPPED + " SELECT id, degree, (SELECT count(*) FROM e) AS total, (SELECT count(*) > 500 FROM e) AS truncated FROM e ORDER BY degree DESC, first_pos, id LIMIT 500")
+@query("cap_nodes", CAPPED + " SELECT id, degree, (SELECT count(*) FROM e) AS total, (SELECT count(*) > 25000 FROM e) AS truncated FROM e ORDER BY degree DESC, first_pos, id LIMIT 25000")
 def cap_nodes(v):
-    kept, meta = gr.cap_nodes(v.entities, v.assertions, H, 500)
+    kept, meta = gr.cap_nodes(v.entities, v.assertions, H, 25_000)
     return kept.select("id", "degree").crossJoin(F.broadcast(meta))  # one row of totals
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vantage.operators import folds as fo
 from vantage.operators import grams as gm
 from vantage.operators import horizon as hz
 from vantage.operators import text as tx
 from vantage.plans.catalog import H, query
-from vantage.plans.text import content, tok, word_grams
+from vantage.plans.text import content, norm, tok, word_grams
 
 NAMED = "SELECT e.id, e.node_type, e.first_pos, n.label, n.kind FROM kg_entities e JOIN kg_names n ON n.entity_id = e.id WHERE e.status = 'accepted' AND e.first_pos <= $h AND n.kind = 'true_name' AND n.revealed_pos <= $h"
 
@@ -19,13 +20,13 @@ def named(v):
     return hz.asof_entities(v.entities, H).join(names.select(F.col("entity_id").alias("id"), "label", "kind"), "id").select("id", "node_type", "first_pos", "label", "kind")
 
 
-BLOCK = f"""WITH n AS ({NAMED}), g AS (SELECT node_type, label, min(id) AS id, any_value({word_grams('label')}) AS s FROM n WHERE node_type <> 'object' GROUP BY node_type, label),
+BLOCK = f"""WITH n AS ({NAMED}), g AS (SELECT node_type, label, min(id) AS id, any_value({word_grams('label')}) AS s FROM n GROUP BY node_type, label),
     j AS (SELECT a.id AS l, b.id AS r, len(list_intersect(a.s, b.s)) AS shared, len(a.s) + len(b.s) AS total FROM g a JOIN g b ON a.node_type = b.node_type AND a.id <> b.id),
     k AS (SELECT l, r, round(shared / (total - shared), 6) AS score, row_number() OVER (PARTITION BY l ORDER BY shared / (total - shared) DESC, r) AS place FROM j WHERE shared / (total - shared) >= $t)"""
 
 
 def blocked(v, threshold):
-    one = named(v).where("node_type <> 'object'").groupBy("node_type", "label").agg(F.min("id").alias("id"))
+    one = named(v).groupBy("node_type", "label").agg(F.min("id").alias("id"))
     sets = one.select("node_type", "id", tx.trigrams_by_word(F.col("label")).alias("set"))
     return gm.jaccard_join(sets.withColumnRenamed("id", "l"), sets.withColumnRenamed("id", "r"), ["node_type"], threshold).where("l <> r")
 
@@ -37,24 +38,41 @@ def trgm_block(v):
     return near.withColumn("k", F.row_number().over(best)).where("k <= 8").select("l", "r", F.round("score", 6).alias("score"))
 
 
-SCORES = f"""WITH n AS ({NAMED}), p AS (SELECT a.id AS a, b.id AS b, a.label AS x, b.label AS y, abs(a.first_pos - b.first_pos) AS gap, {tok('a.label')} AS s, {tok('b.label')} AS t FROM n a JOIN n b ON a.label = b.label AND a.node_type = b.node_type AND a.id < b.id WHERE a.node_type = 'character')"""
+SCORES = f"""WITH n AS ({NAMED}), p AS (SELECT i.id, i.subject AS a, i.object AS b, a.label AS x, b.label AS y, abs(a.first_pos - b.first_pos) AS gap, {tok('a.label')} AS s, {tok('b.label')} AS t
+    FROM kg_assertions i JOIN n a ON a.id = i.subject JOIN n b ON b.id = i.object WHERE i.predicate = 'same_as' AND i.status = 'accepted')"""
 
 
-def same_name_pairs(v):
-    n = named(v).where("node_type = 'character'")
-    b = n.select(F.col("id").alias("b"), "label", F.col("first_pos").alias("q"), F.col("label").alias("y"))
-    return n.select(F.col("id").alias("a"), "label", F.col("first_pos").alias("p"), F.col("label").alias("x")).join(b, "label").where("a < b").withColumn("gap", F.abs(F.col("p") - F.col("q")))
+def said_to_be_one(v):
+    """Pairs of entities that an identity links, with the true names known by the horizon."""
+    n = named(v)
+    left = n.select(F.col("id").alias("a"), F.col("label").alias("x"), F.col("first_pos").alias("p"))
+    right = n.select(F.col("id").alias("b"), F.col("label").alias("y"), F.col("first_pos").alias("q"))
+    links = v.assertions.where("predicate = 'same_as' AND status = 'accepted'").select(F.col("subject").alias("a"), F.col("object").alias("b"))
+    return links.join(left, "a").join(right, "b").withColumn("gap", F.abs(F.col("p") - F.col("q")))
 
 
-@query("score_name", f"WITH p AS (SELECT item_id AS a, substr(text, 1, 30) AS x, substr(text, 11, 30) AS y FROM benchmark), t AS (SELECT a, x, y, {tok('x')} AS s, {tok('y')} AS u FROM p) SELECT a, CASE WHEN x = y THEN 1.0E0 ELSE round(0.7 * len(list_intersect(s, u)) / len(list_distinct(list_concat(s, u))), 6) END AS score FROM t")
+def name_score(x, y, placeholder=None):
+    """1 for equal names, else 0.7 of their word overlap; 0.45 and 0.3 where one is a placeholder."""
+    placeholder = F.lit(False) if placeholder is None else placeholder
+    equal = tx.normalise(x) == tx.normalise(y)
+    return F.when(equal, F.when(placeholder, 0.45).otherwise(1.0)).otherwise(F.when(placeholder, 0.3).otherwise(0.7) * tx.jaccard(tx.tokens(x), tx.tokens(y)))
+
+
+LABELLED = "SELECT i.subject AS a, i.object AS b, m.label AS x, n.label AS y, m.kind = 'placeholder' OR n.kind = 'placeholder' AS ph FROM kg_assertions i JOIN kg_names m ON m.entity_id = i.subject JOIN kg_names n ON n.entity_id = i.object WHERE i.predicate = 'same_as' AND i.status = 'accepted' AND m.revealed_pos <= $h AND n.revealed_pos <= $h"
+
+
+@query("score_name", f"WITH p AS ({LABELLED}), t AS (SELECT *, {tok('x')} AS s, {tok('y')} AS u FROM p) SELECT a, b, x, y, round(CASE WHEN {norm('x')} = {norm('y')} THEN CASE WHEN ph THEN 0.45E0 ELSE 1 END ELSE CASE WHEN ph THEN 0.3E0 ELSE 0.7E0 END * len(list_intersect(s, u)) / len(list_distinct(list_concat(s, u))) END, 6) AS score FROM t")
 def score_name(v):
-    p = v.benchmark.select(F.col("item_id").alias("a"), F.substring("text", 1, 30).alias("x"), F.substring("text", 11, 30).alias("y"))
-    return p.select("a", F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.round(0.7 * tx.jaccard(tx.tokens(F.col("x")), tx.tokens(F.col("y"))), 6)).alias("score"))
+    known = hz.asof(v.names, "revealed_pos", H).select("entity_id", "label", "kind")
+    links = v.assertions.where("predicate = 'same_as' AND status = 'accepted'").select(F.col("subject").alias("a"), F.col("object").alias("b"))
+    p = links.join(known.select(F.col("entity_id").alias("a"), F.col("label").alias("x"), F.col("kind").alias("kx")), "a").join(known.select(F.col("entity_id").alias("b"), F.col("label").alias("y"), F.col("kind").alias("ky")), "b")
+    placeholder = (F.col("kx") == "placeholder") | (F.col("ky") == "placeholder")
+    return p.select("a", "b", "x", "y", F.round(name_score(F.col("x"), F.col("y"), placeholder), 6).alias("score"))
 
 
 @query("score_position", SCORES + " SELECT a, b, round(1 / (1 + gap / 20), 6) AS score FROM p")
 def score_position(v):
-    return same_name_pairs(v).select("a", "b", F.round(1 / (1 + F.col("gap") / 20), 6).alias("score"))
+    return said_to_be_one(v).select("a", "b", F.round(1 / (1 + F.col("gap") / 20), 6).alias("score"))
 
 
 NEIGH = "SELECT id, list(DISTINCT other) AS s FROM (SELECT subject AS id, object AS other FROM kg_assertions WHERE status = 'accepted' AND from_pos <= $h UNION ALL SELECT object, subject FROM kg_assertions WHERE status = 'accepted' AND from_pos <= $h) WHERE id[1] = 'c' GROUP BY id"
@@ -77,36 +95,41 @@ def entity_descriptors(v):
     return known.groupBy(F.col("entity_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("descriptors"))
 
 
-COOC = SCORES + f", s AS ({NEIGH}) SELECT a, b, round(len(list_intersect(u.s, w.s)) / least(len(u.s), len(w.s)), 6) AS score FROM p JOIN s u ON u.id = p.a JOIN s w ON w.id = p.b"
-
-
-def cooccurrence(v):
-    s = neighbour_sets(v)
-    sided = same_name_pairs(v).join(s.select(F.col("id").alias("a"), F.col("s").alias("u")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("w")), "b")
-    return sided.withColumn("cooc", tx.overlap(F.col("u"), F.col("w")))
+DESCRIBED = f"SELECT entity_id AS id, list_distinct(flatten(list({content('label')}))) AS w FROM kg_names WHERE revealed_pos <= $h GROUP BY entity_id"
+ALL_FOUR = SCORES + f""", s AS ({NEIGH}), w AS ({DESCRIBED}),
+    f AS (SELECT p.*, CASE WHEN {norm('x')} = {norm('y')} THEN 1 ELSE 0.7E0 * len(list_intersect(p.s, p.t)) / len(list_distinct(list_concat(p.s, p.t))) END AS name,
+                 coalesce(len(list_intersect(c.w, d.w)) / nullif(least(len(c.w), len(d.w)), 0), 0) AS visual, coalesce(len(list_intersect(k.s, l.s)) / nullif(least(len(k.s), len(l.s)), 0), 0) AS cooc
+          FROM p LEFT JOIN w c ON c.id = p.a LEFT JOIN w d ON d.id = p.b LEFT JOIN s k ON k.id = p.a LEFT JOIN s l ON l.id = p.b)"""
 
 
-@query("score_cooccurrence", COOC)
-def score_cooccurrence(v):
-    return cooccurrence(v).select("a", "b", F.round("cooc", 6).alias("score"))
+def descriptors(v):
+    known = hz.asof(v.names, "revealed_pos", H).select(F.col("entity_id").alias("id"), F.explode(tx.content_tokens(F.col("label"))).alias("w"))
+    return known.groupBy("id").agg(F.collect_set("w").alias("w"))
 
 
-@query("score_visual", f"WITH p AS (SELECT item_id AS a, {content('substr(text, 1, 60)')} AS x, {content('substr(text, 31, 60)')} AS y FROM benchmark) SELECT a, CASE WHEN least(len(x), len(y)) = 0 THEN 0 ELSE round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) END AS score FROM p")
-def score_visual(v):
-    x, y = tx.content_tokens(F.substring("text", 1, 60)), tx.content_tokens(F.substring("text", 31, 60))
-    return v.benchmark.select(F.col("item_id").alias("a"), F.round(tx.overlap(x, y), 6).alias("score"))
+def all_four(v):
+    out = said_to_be_one(v)
+    for col, sets in (("w", descriptors(v)), ("s", neighbour_sets(v))):
+        for side in "ab":
+            out = out.join(sets.select(F.col("id").alias(side), F.col(col).alias(f"{col}_{side}")), side, "left")
+    score = lambda c: F.coalesce(tx.overlap(F.col(f"{c}_a"), F.col(f"{c}_b")), F.lit(0.0))
+    return out.select("a", "b", "gap", name_score(F.col("x"), F.col("y")).alias("name"), score("w").alias("visual"), score("s").alias("cooc"))
 
 
-TOTAL = "round(0.4 + 0.2 * len(list_intersect(u.s, w.s)) / least(len(u.s), len(w.s)) + 0.1 / (1 + gap / 20), 3)"
+@query("score_cooccurrence", ALL_FOUR + " SELECT a, b, round(cooc, 6) AS score FROM f")
+def score_cooccurrence(v):
+    return all_four(v).select("a", "b", F.round("cooc", 6).alias("score"))
 
 
-def resolved(v):
-    return cooccurrence(v).select("a", "b", F.round(0.4 + 0.2 * F.col("cooc") + 0.1 / (1 + F.col("gap") / 20), 3).alias("score"))
+@query("score_visual", ALL_FOUR + " SELECT a, b, round(visual, 6) AS score FROM f")
+def score_visual(v):
+    return all_four(v).select("a", "b", F.round("visual", 6).alias("score"))
 
 
-@query("resolution_score", COOC.split(" SELECT a, b, round(len")[0] + f" SELECT a, b, {TOTAL} AS score FROM p JOIN s u ON u.id = p.a JOIN s w ON w.id = p.b")
+@query("resolution_score", ALL_FOUR + " SELECT a, b, round(0.4 * name + 0.3 * visual + 0.2 * cooc + 0.1 / (1 + gap / 20) + 1e-9, 3) AS score FROM f")
 def resolution_score(v):
-    return resolved(v)
+    total = 0.4 * F.col("name") + 0.3 * F.col("visual") + 0.2 * F.col("cooc") + 0.1 / (1 + F.col("gap") / 20)
+    return all_four(v).select("a", "b", F.round(total + 1e-9, 3).alias("score"))
 
 
 @query("resolution_bucket", "SELECT id, CASE WHEN confidence >= 0.72 THEN 'likely same' WHEN confidence >= 0.45 THEN 'worth checking' ELSE 'different' END AS bucket FROM kg_proposals")
@@ -135,43 +158,48 @@ def group_duplicates(v):
     return k.withColumn("place", place).join(sizes, "key").select("id", "place", "total", (F.col("acc") - (F.col("status") == "accepted").cast("int")).alias("accepted_siblings"))
 
 
-SC = f"SELECT id, coalesce(told_pos, shown_pos, 0) AS pos, {content('summary')} AS s FROM kg_scenes"
+CAPS = "list_distinct(list_filter(list_transform(list_filter(regexp_split_to_array(summary, '[^\\p{L}\\p{N}]+'), lambda x: x[1] <> lower(x[1])), lambda x: " + norm("x") + "), lambda x: length(x) > 1))"
+PAIRS = f"""WITH s AS (SELECT id, coalesce(told_pos, shown_pos, 0) AS pos, {content('summary')} AS s, {CAPS} AS n FROM kg_scenes),
+    p AS (SELECT a.pos, a.id AS x, b.id AS y, len(list_intersect(a.s, b.s)) AS shared, least(len(a.s), len(b.s)) AS least, len(list_filter(a.n, lambda z: NOT list_contains(b.n, z))) AS only_x, len(list_filter(b.n, lambda z: NOT list_contains(a.n, z))) AS only_y
+          FROM s a JOIN s b ON a.pos = b.pos AND a.id < b.id),
+    same AS (SELECT pos, x, y FROM p WHERE least >= 4 AND shared >= 2 AND shared / least >= 0.7 AND (only_x = 0 OR only_y = 0)),
+    near AS (SELECT * FROM p WHERE shared >= 3 AND shared / least >= 0.34)"""
 
 
 def scene_sets(v):
-    return v.scenes.select("id", F.coalesce("told_pos", "shown_pos", F.lit(0)).alias("pos"), tx.content_tokens(F.col("summary")).alias("set"))
+    return v.scenes.select("id", F.coalesce("told_pos", "shown_pos", F.lit(0)).alias("pos"), tx.content_tokens(F.col("summary")).alias("words"), tx.capitalised(F.col("summary")).alias("names"))
 
 
-def same_position(v):
-    s = scene_sets(v)
-    t = s.select(F.col("id").alias("y"), "pos", F.col("set").alias("t"))
-    shared = F.size(F.array_intersect("set", "t"))
-    return s.withColumnRenamed("id", "x").join(t, "pos").where("x < y").withColumn("shared", shared).withColumn("least", F.least(F.size("set"), F.size("t")))
+def near_scenes(v):
+    """Pairs of a position that share a third of the words of the shorter, which is what is worth measuring."""
+    return gm.overlap_join(scene_sets(v).select("id", "pos", F.col("words").alias("set")), ["pos"], 0.34, 3)
 
 
-@query("beat_overlap", f"WITH s AS ({SC}) SELECT a.id AS x, b.id AS y, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 6) AS ratio FROM s a JOIN s b ON a.pos = b.pos AND a.id < b.id WHERE least(len(a.s), len(b.s)) >= 4 AND len(list_intersect(a.s, b.s)) >= 2")
+@query("beat_overlap", PAIRS + " SELECT x, y, shared, round(shared / least, 6) AS ratio, only_x, only_y FROM near")
 def beat_overlap(v):
-    return same_position(v).where("least >= 4 AND shared >= 2").select("x", "y", F.round(F.col("shared") / F.col("least"), 6).alias("ratio"))
+    s = scene_sets(v)
+    named = near_scenes(v).join(s.select(F.col("id").alias("x"), F.col("names").alias("nx")), "x").join(s.select(F.col("id").alias("y"), F.col("names").alias("ny")), "y")
+    return named.select("x", "y", "shared", F.round("ratio", 6).alias("ratio"), F.size(F.array_except("nx", "ny")).alias("only_x"), F.size(F.array_except("ny", "nx")).alias("only_y"))
 
 
-@query("same_beat", f"WITH s AS ({SC}) SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.pos = b.pos AND a.id < b.id WHERE least(len(a.s), len(b.s)) >= 4 AND len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) >= 0.3")
+@query("same_beat", PAIRS + " SELECT x, y FROM same")
 def same_beat(v):
-    return same_position(v).where("least >= 4 AND shared / least >= 0.3").select("x", "y")
+    return fo.same_beats(scene_sets(v)).select("x", "y")
 
 
-@query("twin_candidates", f"WITH s AS ({SC}), p AS (SELECT a.pos, a.id AS x, b.id AS y, len(list_intersect(a.s, b.s)) AS shared, least(len(a.s), len(b.s)) AS n FROM s a JOIN s b ON a.pos = b.pos AND a.id < b.id) SELECT x, y, shared FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY shared / n DESC, x, y) AS r FROM p WHERE shared >= 3 AND shared / n >= 0.1 AND shared / n < 0.7) WHERE r <= 12")
+@query("twin_candidates", PAIRS + " SELECT x, y, shared FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY shared / least DESC, x, y) AS r FROM near ANTI JOIN same USING (pos, x, y)) WHERE r <= 12")
 def twin_candidates(v):
-    p = same_position(v).withColumn("ratio", F.col("shared") / F.col("least")).where("shared >= 3 AND ratio >= 0.1 AND ratio < 0.7")
+    p = near_scenes(v).join(fo.same_beats(scene_sets(v)), ["pos", "x", "y"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("ratio"), "x", "y"))
     return p.withColumn("r", rank).where("r <= 12").select("x", "y", "shared")
 
 
-DOCS = f"SELECT doc_id, {content('substr(text, 1, 400)')} AS s FROM documents"
+DOCS = f"SELECT doc_id, {content('text')} AS s FROM documents"
 
 
 @query("find_echo", f"WITH s AS ({DOCS}), p AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON b.doc_id < a.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0) SELECT x, y, round(i / (n - i), 6) AS score, i / (n - i) >= 0.8 AS too_close FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY i / (n - i) DESC, y) AS r FROM p WHERE i / (n - i) >= 0.6) WHERE r = 1")
 def find_echo(v):
-    sets = v.documents.select("doc_id", tx.content_tokens(F.substring("text", 1, 400)).alias("set"))
+    sets = v.documents.select("doc_id", tx.content_tokens(F.col("text")).alias("set"))
     near = gm.jaccard_join(sets.withColumnRenamed("doc_id", "l"), sets.withColumnRenamed("doc_id", "r"), [], 0.6).where("r < l")
     best = hz.first_by(near, ["l"], [F.desc("score"), F.asc("r")])
     return best.select(F.col("l").alias("x"), F.col("r").alias("y"), F.round("score", 6).alias("score"), (F.col("score") >= 0.8).alias("too_close"))
@@ -179,7 +207,7 @@ def find_echo(v):
 
 @query("fold_echoes", f"WITH s AS ({DOCS}), p AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON b.doc_id < a.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0) SELECT x, min(y) AS folded_into FROM p WHERE i / (n - i) >= 0.8 GROUP BY x")
 def fold_echoes(v):
-    sets = v.documents.select("doc_id", tx.content_tokens(F.substring("text", 1, 400)).alias("set"))
+    sets = v.documents.select("doc_id", tx.content_tokens(F.col("text")).alias("set"))
     near = gm.jaccard_join(sets.withColumnRenamed("doc_id", "l"), sets.withColumnRenamed("doc_id", "r"), [], 0.8).where("r < l")
     return near.groupBy(F.col("l").alias("x")).agg(F.min("r").alias("folded_into"))
 
@@ -219,10 +247,10 @@ def people_count(v):
     return v.names.where("kind = 'true_name'").groupBy("label").agg(F.count_distinct("entity_id").alias("people")).where("people > 1")
 
 
-@query("spelling_variants", "WITH w AS (SELECT DISTINCT p_name AS w FROM part UNION SELECT DISTINCT lower(c_mktsegment) || n_name FROM customer JOIN nation ON n_nationkey = c_nationkey UNION SELECT concat('Name ', x) FROM range(120) r(x)) SELECT a.w AS x, b.w AS y FROM w a JOIN w b ON a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 WHERE levenshtein(a.w, b.w) = 1")
+@query("spelling_variants", "WITH w AS (SELECT DISTINCT p_name AS w FROM part UNION SELECT DISTINCT lower(c_mktsegment) || n_name FROM customer JOIN nation ON n_nationkey = c_nationkey UNION SELECT DISTINCT label FROM kg_names WHERE kind = 'true_name' AND entity_id[1] = 'c') SELECT a.w AS x, b.w AS y FROM w a JOIN w b ON a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 WHERE levenshtein(a.w, b.w) = 1")
 def spelling_variants(v):
     mixed = v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat(F.lower("c_mktsegment"), "n_name").alias("w"))
-    words = v.part.select(F.col("p_name").alias("w")).union(mixed).union(v.spark.range(120).select(F.concat(F.lit("Name "), F.col("id").cast("string")))).distinct()
+    words = v.part.select(F.col("p_name").alias("w")).union(mixed).union(v.names.where("kind = 'true_name' AND entity_id LIKE 'c%'").select("label")).distinct()
     keyed_ = words.select("w", F.explode(gm.delete_one(F.col("w"))).alias("k"))
     pairs = keyed_.withColumnRenamed("w", "x").join(keyed_.withColumnRenamed("w", "y"), "k").where("x < y").select("x", "y").distinct()
     return pairs.where(F.levenshtein("x", "y", 1) == 1)
@@ -236,11 +264,11 @@ def hash_near_dups(v):
     return gm.within_hamming(v.embeddings.select("vec_id", gm.sign_bits(F.col("embedding")).alias("h")), "vec_id", "h", 10)
 
 
-BOX = "SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS k, CAST(l_quantity AS INT) AS x, CAST(l_partkey % 40 AS INT) AS y FROM lineitem WHERE l_orderkey % 10 = 0"
+BOX = "SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS k, CAST(l_quantity AS INT) AS x, CAST(l_partkey % 40 AS INT) AS y FROM lineitem"
 
 
 def boxes(v):
-    return v.lineitem.where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.col("l_quantity").cast("int").alias("x"), (F.col("l_partkey") % 40).cast("int").alias("y"))
+    return v.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.col("l_quantity").cast("int").alias("x"), (F.col("l_partkey") % 40).cast("int").alias("y"))
 
 
 @query("box_assign", f"""WITH b AS ({BOX}), t AS (SELECT * FROM b WHERE n > 2), p AS (SELECT * FROM b WHERE n <= 2),

@@ -13,22 +13,22 @@ from vantage.plans.text import norm
 
 
 def placed(v):
-    return v.scenes.select("id", F.coalesce("told_pos", "shown_pos", F.lit(0)).alias("pos"), F.col("recorded").alias("place"), tx.content_tokens(F.col("summary")).alias("words"))
+    return v.scenes.select("id", F.coalesce("told_pos", "shown_pos", F.lit(0)).alias("pos"), F.col("recorded").alias("place"), tx.content_tokens(F.col("summary")).alias("words"), tx.capitalised(F.col("summary")).alias("names"))
 
 
 @query("one_entry_per_scene")
 def one_entry_per_scene(v):
-    return fo.keep_first(placed(v), ratio=0.3).where("kept").select("id", "pos")
+    return fo.keep_first(placed(v)).where("kept").select("id", "pos")
 
 
 @query("dedupe_beats")
 def dedupe_beats(v):
-    return fo.keep_first(placed(v), ratio=0.3).select("id", "pos", "kept")
+    return fo.keep_first(placed(v)).select("id", "pos", "kept")
 
 
 @query("audit_duplicate_scenes")
 def audit_duplicate_scenes(v):
-    return fo.keep_first(placed(v), ratio=0.3).where("NOT kept").select("id", "pos", "twin_of")
+    return fo.keep_first(placed(v)).where("NOT kept").select("id", "pos", "twin_of")
 
 
 @query("split_on_names")

@@ -50,9 +50,9 @@ def upsert_documents(v):
     return st.upsert(stored, fresh, ["doc_id"])
 
 
-@query("import_guards", "SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) < 120 THEN 'too short' WHEN length(text) > 20000 THEN 'too long' WHEN lang NOT IN ('fr', 'en') THEN 'other language' ELSE 'accepted' END AS reason FROM documents")
+@query("import_guards", "SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) < 120 THEN 'too short' WHEN length(text) > 120000 THEN 'too long' WHEN lang NOT IN ('fr', 'en') THEN 'other language' ELSE 'accepted' END AS reason FROM documents")
 def import_guards(v):
-    reason = va.first_reason((F.col("text").isNull() | (F.length(F.trim("text")) < 120), "too short"), (F.length("text") > 20000, "too long"), (~F.col("lang").isin("fr", "en"), "other language"), (F.lit(True), "accepted"))
+    reason = va.first_reason((F.col("text").isNull() | (F.length(F.trim("text")) < 120), "too short"), (F.length("text") > 120000, "too long"), (~F.col("lang").isin("fr", "en"), "other language"), (F.lit(True), "accepted"))
     return v.documents.select("doc_id", reason.alias("reason"))
 
 
@@ -168,9 +168,9 @@ def rename_label(v):
     return st.rename(v.names, renames)
 
 
-@query("rewrite_prose", r"SELECT id, regexp_replace(summary, '\b(tion)\b', 'TION', 'g') AS summary FROM kg_scenes WHERE regexp_matches(summary, '^[\x00-\x7F]*$')")
+@query("rewrite_prose", r"SELECT id, regexp_replace(regexp_replace(summary, '(^|[^\p{L}\p{N}])tion([^\p{L}\p{N}]|$)', '\1TION\2', 'g'), '(^|[^\p{L}\p{N}])tion([^\p{L}\p{N}]|$)', '\1TION\2', 'g') AS summary FROM kg_scenes")
 def rewrite_prose(v):
-    return v.scenes.where(F.col("summary").rlike(r"^[\x00-\x7F]*$")).select("id", F.regexp_replace("summary", r"\b(tion)\b", "TION").alias("summary"))
+    return v.scenes.select("id", F.regexp_replace("summary", r"(?<![\p{L}\p{N}])tion(?![\p{L}\p{N}])", "TION").alias("summary"))
 
 
 @query("upsert_glossary", "SELECT source_term, arg_max(target_term, (decided_pos, seq)) AS target_term FROM kg_glossary GROUP BY source_term")

@@ -115,14 +115,14 @@ def anchor_fuzzy(v):
     return e.join(p, "passage_id").select("id", within_edits("excerpt", "passage").alias("edits")).where("edits >= 0")
 
 
-MARK = {k: r"\b(?:" + "|".join(w.split()) + r")\b" for k, w in tx.MARKERS.items()}
+def marks(lang: str) -> str:
+    return f"len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x IN ({', '.join(repr(w) for w in tx.MARKERS[lang].split())})))"
 
 
-@query("detect_language", f"""WITH m AS (SELECT doc_id, len(regexp_extract_all(lower(substr(text, 1, 8000)), '{MARK['fr']}')) AS fr, len(regexp_extract_all(lower(substr(text, 1, 8000)), '{MARK['en']}')) AS en FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))
+@query("detect_language", f"""WITH m AS (SELECT doc_id, {marks('fr')} AS fr, {marks('en')} AS en FROM documents)
     SELECT doc_id, CASE WHEN fr >= 8 AND fr >= 1.5 * en THEN 'fr' WHEN en >= 8 AND en >= 1.5 * fr THEN 'en' END AS detected FROM m""")
 def detect_language(v):
-    plain = v.documents.where(F.col("text").rlike(r"^[\x00-\x7F]*$"))  # word bounds next to marked letters differ between engines
-    return plain.select("doc_id", tx.detect_language(F.substring("text", 1, 8000)).alias("detected"))
+    return v.documents.select("doc_id", tx.detect_language(F.col("text")).alias("detected"))
 
 
 @query("classify_scene", f"SELECT id, CASE WHEN regexp_matches({norm('summary')}, '{'|'.join(tx.BATTLE)}') THEN 'battle' ELSE 'event' END AS scene FROM kg_scenes")
@@ -178,16 +178,16 @@ def input_hash(v):
     return v.actions.select("event_id", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "action", cents), 256).alias("input_hash"))
 
 
-@query("literal_of", "SELECT event_id, CAST(props->>'$.k' AS VARCHAR) AS literal FROM events")
+@query("literal_of", "SELECT event_id, coalesce(CAST(props->>'$.k' AS VARCHAR), props) AS literal FROM events")
 def literal_of(v):
     return v.events.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.col("props")).alias("literal"))
 
 
-LINES = "WITH l AS (SELECT item_id, concat('- c', item_id, ' | ', CASE WHEN item_id % 2 = 0 THEN 'same' ELSE 'other' END, ' | why | ', substr(text, 1, 20)) AS line FROM benchmark)"
+LINES = "WITH l AS (SELECT item_id, concat('- c', item_id, ' | ', CASE WHEN item_id % 2 = 0 THEN 'same' ELSE 'other' END, ' | why | ', text) AS line FROM benchmark)"
 
 
 @query("verdict_lines", LINES + " SELECT item_id, trim(string_split(regexp_replace(line, '^[-* ]+', ''), '|')[1]) AS subject, trim(string_split(line, '|')[2]) AS verdict, trim(array_to_string(string_split(line, '|')[3:], '|')) AS reason FROM l")
 def verdict_lines(v):
-    line = F.concat(F.lit("- c"), F.col("item_id").cast("string"), F.lit(" | "), F.when(F.col("item_id") % 2 == 0, "same").otherwise("other"), F.lit(" | why | "), F.substring("text", 1, 20))
+    line = F.concat(F.lit("- c"), F.col("item_id").cast("string"), F.lit(" | "), F.when(F.col("item_id") % 2 == 0, "same").otherwise("other"), F.lit(" | why | "), F.col("text"))
     parts = F.split(F.regexp_replace(line, "^[-* ]+", ""), r"\|", 3)
     return v.benchmark.select("item_id", F.trim(parts[0]).alias("subject"), F.trim(parts[1]).alias("verdict"), F.trim(parts[2]).alias("reason"))

@@ -106,7 +106,7 @@ VIEWS: dict[str, str] = {
                CASE CAST(d.doc_id % 4 AS INT) WHEN 0 THEN 'entity' WHEN 1 THEN 'assertion' WHEN 2 THEN 'event' ELSE 'mystery' END AS category,
                concat('c', 1 + d.doc_id % 1500) AS subject, CASE CAST(d.doc_id % 3 AS INT) WHEN 0 THEN 'owns' WHEN 1 THEN 'gives' ELSE 'same_as' END AS predicate, concat('p', 1 + d.doc_id % 2000) AS object,
                round(0.3E0 + (d.doc_id % 70) / 100E0, 2) AS confidence, CASE CAST(d.doc_id % 5 AS INT) WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'proposed' END AS status,
-               d.lang, d.source, substring(d.text, 1, 120) AS summary, CAST(d.doc_id AS BIGINT) AS seq
+               d.lang, d.source, d.text AS summary, CAST(d.doc_id AS BIGINT) AS seq
         FROM {documents} d""",
     "kg_decisions": """
         SELECT concat('k', doc_id) AS id, CASE WHEN quality = 1 THEN 'accept' ELSE 'reject' END AS action, toxic = 1 AS flagged FROM {labels}""",
