@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from conftest import SF
+from pyspark.sql import functions as F
 
 from vantage.functions.fuzzy import least_edits
+from vantage.operators import folds
 from vantage.operators import graph as gr
 from vantage.operators import horizon as hz
 from vantage.operators import identity as idn
+from vantage.operators import text as tx
 from vantage.operators.components import components_of_few, connected_components
-from vantage.operators.grams import jaccard_join
+from vantage.operators.grams import jaccard_join, overlap_join, within_hamming
 from vantage.plans import streams
 from vantage.sources.passages import cut
 from vantage.sources.shared import materialise
 from vantage.sources.views import Views
+from vantage.streaming import feeds
 
 
 def world(spark):
@@ -50,9 +54,13 @@ def test_refuted_belief_goes_but_stays_stored(spark):
 
 def test_projection_counts_every_visible_entity_once(spark):
     entities, assertions, names = world(spark)
-    nodes = gr.project_nodes(entities, assertions, names, 40).collect()
+    graph = gr.project(entities, assertions, names, 40)
+    nodes = graph.nodes.collect()
     assert sum(r["members"] for r in nodes) == hz.asof_entities(entities, 40).count()
     assert {r["root"]: r["degree"] for r in nodes} == {"a": 2, "c": 1, "late": 1}
+    assert not graph.meta.first()["truncated"] and graph.meta.first()["merged_away"] == sum(r["members"] - 1 for r in nodes)
+    cut = gr.project(entities, assertions, names, 40, limit=1)
+    assert [r["root"] for r in cut.nodes.collect()] == ["a"] and cut.meta.first()["truncated"] and cut.edges.count() == 0
 
 
 def test_components_on_chains_stars_and_nulls(spark):
@@ -73,10 +81,88 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long"), materialise).count() == 0
 
 
-def test_shortest_path_none_and_self(spark):
-    links = spark.createDataFrame([("a", "b"), ("b", "a")], "node string, other string")
-    assert gr.shortest_path(links, "a", "z").count() == 0
-    assert [tuple(r) for r in gr.shortest_path(links, "a", "a").collect()] == [(0, "a")]
+def test_shortest_path_tells_the_way(spark):
+    edges = spark.createDataFrame([("a", "owns", "b", 5), ("b", "gives", "a", 3), ("c", "seeks", "b", 9), ("x", "owns", "y", 1)], "source string, predicate string, target string, first_pos int")
+    path = lambda a, b, most=6: sorted(tuple(r) for r in gr.shortest_path(edges, a, b, most).collect())
+    assert path("a", "x") == [] and path("a", "a") == [(0, "a", None, None)] and path("a", "c", 1) == []
+    assert path("a", "c") == [(0, "a", None, None), (1, "b", "gives", 3), (2, "c", "seeks", 9)]
+
+
+def test_overlap_join_loses_no_pair(spark):
+    import random
+
+    rng = random.Random(4)
+    sets = {i: {rng.randrange(16) for _ in range(rng.randrange(0, 10))} for i in range(90)}
+    df = spark.createDataFrame([(i % 2, i, sorted(s)) for i, s in sets.items()], "pos int, id int, set array<int>")
+    for ratio, shared in ((0.34, 3), (0.7, 2), (1.0, 1)):
+        got = {(r["x"], r["y"]): r["shared"] for r in overlap_join(df, ["pos"], ratio, shared).collect()}
+        want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and a % 2 == b % 2 and len(sets[a] & sets[b]) >= max(shared, ratio * min(len(sets[a]), len(sets[b])))}
+        assert got == {k: n for k, n in want.items() if n}
+
+
+def test_keep_first_against_the_loop(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):
+        words = rng.sample("abcdefghij", rng.randrange(2, 8))
+        rows.append((f"s{i}", i % 3, rng.randrange(100), words, rng.sample(["Ann", "Bo"], rng.randrange(0, 3))))
+    scenes = spark.createDataFrame(rows, "id string, pos int, place int, words array<string>, names array<string>")
+    got = {r["id"]: (r["kept"], r["twin_of"]) for r in folds.keep_first(scenes).collect()}
+    want, kept = {}, []
+    for i, pos, _, words, names in sorted(rows, key=lambda r: (r[2], r[0])):
+        w, n = set(words), set(names)
+        like = lambda k: k[1] == pos and min(len(w), len(k[2])) >= 4 and len(w & k[2]) >= max(2, 0.7 * min(len(w), len(k[2]))) and (not n - k[3] or not k[3] - n)  # noqa: B023, E731
+        twin = next((k[0] for k in kept if like(k)), None)
+        want[i] = (twin is None, twin)
+        if twin is None:
+            kept.append((i, pos, w, n))
+    assert got == want and 10 < sum(k for k, _ in got.values()) < 140
+    assert folds.keep_first(scenes.limit(0)).count() == 0
+
+
+def test_two_people_make_two_scenes(spark):
+    texts = ["Zed cuts Kuro in the hall of the old inn", "Zed cuts Hachi in the hall of the old inn", "Zed cuts Kuro and leaves in the hall of the old inn with Koby", "He cuts"]
+    df = spark.createDataFrame([(f"e{i}", 1, t) for i, t in enumerate(texts)], "id string, pos int, summary string")
+    scenes = df.select("id", "pos", tx.content_tokens(F.col("summary")).alias("words"), tx.capitalised(F.col("summary")).alias("names"))
+    assert {(r["x"], r["y"]) for r in folds.same_beats(scenes).collect()} == {("e0", "e2")}
+
+
+def test_hamming_pairs_are_complete(spark):
+    import random
+
+    rng = random.Random(1)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    hashes = [h ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(0, 13))) for h in base for _ in range(8)]
+    df = spark.createDataFrame(list(enumerate(hashes)), "id int, h long")
+    got = {(r["id"], r["id2"]) for r in within_hamming(df, "id", "h", 10).collect()}
+    assert got == {(a, b) for a in range(96) for b in range(a + 1, 96) if (hashes[a] ^ hashes[b]).bit_count() <= 10} and got
+
+
+def test_language_marks_count_next_to_accents(spark):
+    texts = ["élan le la les des est dans pour une que", "the of and to in is that for été", "the la " * 20, "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.detect_language(F.col("t"))).collect()]
+    assert got == ["fr", "en", None, None, None]
+
+
+def test_ingest_replaces_changed_documents(spark, tmp_path):
+    for day, rows in enumerate(([(1, "a"), (2, "b"), (None, "x")], [(1, "a2"), (2, "b"), (3, None)])):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    got = [r["doc_id"] for r in feeds.ingest(spark, str(tmp_path / "in"), schema).collect()]
+    assert sorted(got) == [1, 2, 3]
+
+
+def test_sliding_hours_over_the_cap(spark, tmp_path):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1, 8)
+    rows = [(7, "view", at + dt.timedelta(minutes=5 * i)) for i in range(4)] + [(7, "view", at + dt.timedelta(hours=9)), (8, "view", at)]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = feeds.refused(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 3).collect()
+    starts = sorted(r["start"] for r in got)
+    assert {(r["user_id"], r["used"]) for r in got} == {(7, 4)} and starts == [at - dt.timedelta(minutes=40) + dt.timedelta(minutes=10 * i) for i in range(5)]
 
 
 def test_jaccard_join_loses_no_pair(spark):

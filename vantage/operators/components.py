@@ -55,7 +55,8 @@ def components_of_few(edges: DataFrame) -> DataFrame:
                 if a != b:
                     root[max(a, b)] = min(a, b)
         ids = list(root)
-        yield pd.DataFrame({"id": ids, "root": [find(x) for x in ids]})
+        if ids:
+            yield pd.DataFrame({"id": ids, "root": [find(x) for x in ids]})
 
     kind = edges.schema["src"].dataType.simpleString()
     return edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").coalesce(1).mapInPandas(join, f"id {kind}, root {kind}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +23,33 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("root")).groupBy("root").agg(F.count("*").alias("degree"))
 
 
-def project_nodes(entities: DataFrame, assertions: DataFrame, names: DataFrame, h: hz.Horizon, components: DataFrame | None = None) -> DataFrame:
-    """One row a component: type of its root, members, first position, label and degree."""
-    components = idn.identity_components(entities, assertions, h) if components is None else components
-    degree = node_degree(fold_edges(assertions, components, h))
-    members = hz.asof_entities(entities, h).join(components, "id")
+@dataclass
+class Projection:
+    """``nodes``: (root, node_type, members, merged_away, first_pos, label, degree), one row a component; ``edges``: both ends among
+    the nodes; ``meta``: one row (total, merged_away, truncated) over the whole graph, before the cut."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    meta: DataFrame
+
+
+def project(entities: DataFrame, assertions: DataFrame, names: DataFrame, h: hz.Horizon, node_types: list[str] | None = None, limit: int = 25_000) -> Projection:
+    """The graph as of a horizon: components of some types (of all by default), the ``limit`` of highest degree, and their edges.
+
+    Components and folded edges are written once, and the visible entities are read once.
+    """
+    seen = materialise(hz.asof_entities(entities, h))
+    components = idn.identity_components(seen, assertions, h, written=True)
+    folded = materialise(fold_edges(assertions, components, h))
+    members = seen.join(components, "id")
     nodes = members.groupBy("root").agg(F.max(F.when(F.col("id") == F.col("root"), F.col("node_type"))).alias("node_type"), F.count("*").alias("members"), F.min("first_pos").alias("first_pos"))
-    label = idn.component_label(components, names, h)
-    return nodes.join(label, "root").join(degree, "root", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    nodes = nodes if node_types is None else nodes.where(F.col("node_type").isin(node_types))
+    ranked = materialise(nodes.join(node_degree(folded), "root", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("merged_away", F.col("members") - 1))
+    meta = ranked.agg(F.count("*").alias("total"), F.coalesce(F.sum("merged_away"), F.lit(0)).alias("merged_away")).withColumn("truncated", F.col("total") > limit)
+    kept = materialise(ranked.orderBy(F.desc("degree"), "first_pos", "root").limit(limit))
+    # only components that stay need a name
+    shown = idn.component_label(components.join(kept.select("root"), "root", "left_semi"), names, h)
+    return Projection(kept.join(shown, "root"), induced_edges(folded, kept), meta)
 
 
 def raw_degree(assertions: DataFrame, h: hz.Horizon) -> DataFrame:
@@ -65,11 +86,13 @@ def neighbourhood(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def shortest_path(links: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
-    """``(step, node)`` of a shortest undirected path of at most ``most`` hops; of several the one least from the end on.
+def shortest_path(edges: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
+    """``(step, node, predicate, first_pos)`` of a shortest undirected path of at most ``most`` hops; of several the one least from the end on.
 
-    No rows if there is none; the one node if start and end are the same. Frontiers stop at the end node.
+    A step tells by which relation, the first known, it was reached from the step before. No rows if there is no path; the
+    one node if start and end are the same. Frontiers stop at the end node.
     """
+    links = materialise(both_ways(edges))
     spark = links.sparkSession
     at = spark.createDataFrame([(start,)], "node string")
     levels, found = [at], start == end
@@ -82,12 +105,16 @@ def shortest_path(links: DataFrame, start: str, end: str, most: int = 6) -> Data
         if not found and not levels[-1].head(1):
             break
     if not found:
-        return spark.createDataFrame([], "step int, node string")
+        return spark.createDataFrame([], "step int, node string, predicate string, first_pos int")
     path = [end]
     for level in reversed(levels[:-1]):  # one row a step
         here = links.where(F.col("node") == path[-1]).select(F.col("other").alias("node")).join(level, "node")
         path.append(here.agg(F.min("node")).first()[0])
-    return spark.createDataFrame([(i, n) for i, n in enumerate(reversed(path))], "step int, node string")
+    path.reverse()
+    steps = spark.createDataFrame([(i, n, path[i - 1] if i else None) for i, n in enumerate(path)], "step int, node string, back string")
+    ways = [edges.select(F.col(a).alias("node"), F.col(b).alias("back"), F.struct("first_pos", "predicate").alias("way")) for a, b in (("source", "target"), ("target", "source"))]
+    taken = ways[0].unionByName(ways[1]).join(F.broadcast(steps.select("node", "back")), ["node", "back"], "left_semi").groupBy("node", "back").agg(F.min("way").alias("way"))
+    return steps.join(taken, ["node", "back"], "left").select("step", "node", "way.predicate", "way.first_pos")
 
 
 def expand(links: DataFrame, degree: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:

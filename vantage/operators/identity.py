@@ -22,15 +22,18 @@ def identity_edges(entities: DataFrame, assertions: DataFrame, h: hz.Horizon) ->
     return edges.join(seen.withColumnRenamed("id", "src"), "src", "left_semi").join(seen.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def identity_components(entities: DataFrame, assertions: DataFrame, h: hz.Horizon) -> DataFrame:
+def identity_components(entities: DataFrame, assertions: DataFrame, h: hz.Horizon, written: bool = False) -> DataFrame:
     """``(id, root)`` of every visible entity; the root is the smallest id of its component.
 
-    Only entities on an identity edge enter the iteration. Lowering the horizon unfolds what was folded later.
+    Only entities on an identity edge enter the iteration. Lowering the horizon unfolds what was folded later. The result
+    is written once: all that is asked of one horizon shares it. So are the visible entities, unless ``entities`` is a
+    ``written`` table itself.
     """
-    edges = identity_edges(entities, assertions, h)
+    entities = entities if written else materialise(hz.asof_entities(entities, h).select("id", "status", "first_pos"))
+    edges = materialise(identity_edges(entities, assertions, h))
     few = edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES
     folded = components_of_few(edges) if few else connected_components(edges, materialise)
-    return hz.asof_entities(entities, h).select("id").join(folded, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return materialise(hz.asof_entities(entities, h).select("id").join(folded, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
 
 
 def component_label(components: DataFrame, names: DataFrame, h: hz.Horizon) -> DataFrame:

@@ -30,11 +30,22 @@ def links(v):
 
 
 @query("project_graph", FOLDED + NAMED + """
-    SELECT r.root, max(CASE WHEN e.id = r.root THEN e.node_type END) AS node_type, count(*) AS members, min(e.first_pos) AS first_pos,
-           coalesce(any_value(l.label), '?') AS label, coalesce(any_value(d.degree), 0) AS degree
-    FROM vis e JOIN root r USING (id) LEFT JOIN lab l ON l.root = r.root LEFT JOIN deg d ON d.root = r.root GROUP BY r.root""")
+    SELECT r.root, max(CASE WHEN e.id = r.root THEN e.node_type END) AS node_type, count(*) AS members, count(*) - 1 AS merged_away, min(e.first_pos) AS first_pos,
+           coalesce(any_value(l.label), '?') AS label, coalesce(any_value(d.degree), 0) AS degree, count(*) OVER () > 25000 AS truncated
+    FROM vis e JOIN root r USING (id) LEFT JOIN lab l ON l.root = r.root LEFT JOIN deg d ON d.root = r.root GROUP BY r.root ORDER BY degree DESC, first_pos, root LIMIT 25000""")
 def project_graph(v):
-    return gr.project_nodes(v.entities, v.assertions, v.names, H).select("root", "node_type", "members", "first_pos", "label", "degree")
+    graph = gr.project(v.entities, v.assertions, v.names, H)
+    nodes = graph.nodes.select("root", "node_type", "members", "merged_away", "first_pos", "label", "degree")
+    return nodes.crossJoin(F.broadcast(graph.meta.select("truncated")))  # one row
+
+
+@query("project_edges", FOLDED + """, n AS (SELECT r.root, max(CASE WHEN e.id = r.root THEN e.node_type END) AS node_type, min(e.first_pos) AS first_pos, coalesce(any_value(d.degree), 0) AS degree
+    FROM vis e JOIN root r USING (id) LEFT JOIN deg d ON d.root = r.root GROUP BY r.root),
+    k AS (SELECT root FROM n WHERE node_type IN ('character', 'group', 'place') ORDER BY degree DESC, first_pos, root LIMIT 25000)
+    SELECT f.* FROM fold f WHERE f.source IN (SELECT root FROM k) AND f.target IN (SELECT root FROM k)""")
+def project_edges(v):
+    """The edges that a projection of some node types shows."""
+    return gr.project(v.entities, v.assertions, v.names, H, ["character", "group", "place"]).edges
 
 
 @query("fold_edges", FOLDED + " SELECT * FROM fold")
@@ -78,16 +89,18 @@ def neighbourhood(v):
 
 
 PATH = FOLDED + """,
-    hop AS (SELECT 'c1' AS node, 0 AS d UNION SELECT link.other, d + 1 FROM hop JOIN link ON link.node = hop.node WHERE d < 4),
+    hop AS (SELECT 'c1' AS node, 0 AS d UNION SELECT link.other, d + 1 FROM hop JOIN link ON link.node = hop.node WHERE d < 6),
     dist AS (SELECT node, min(d) AS d FROM hop GROUP BY node),
-    back AS (SELECT node, d FROM dist WHERE node = 'r_none' OR node = 'c500'
+    back AS (SELECT node, d FROM dist WHERE node = 'c500'
              UNION ALL SELECT p.node, p.d FROM (SELECT b.d AS bd, min(q.node) AS node, b.d - 1 AS d FROM back b JOIN link l ON l.node = b.node JOIN dist q ON q.node = l.other AND q.d = b.d - 1 GROUP BY b.d) p)
-    SELECT d AS step, node FROM back"""
+    SELECT CAST(b.d AS INT) AS step, b.node, arg_min(w.predicate, (w.first_pos, w.predicate)) AS predicate, min(w.first_pos) AS first_pos
+    FROM back b LEFT JOIN back a ON a.d = b.d - 1 LEFT JOIN (SELECT source AS u, target AS w, predicate, first_pos FROM fold UNION ALL SELECT target, source, predicate, first_pos FROM fold) w ON w.u = b.node AND w.w = a.node
+    GROUP BY b.d, b.node"""
 
 
 @query("shortest_path", PATH)
 def shortest_path(v):
-    return gr.shortest_path(links(v), "c1", "c500", most=4)
+    return gr.shortest_path(materialise(folded(v)), "c1", "c500")
 
 
 @query("expand_neighbours", FOLDED + """ SELECT node, round(1 / (1 + ln(1 + degree)), 6) AS score FROM (SELECT DISTINCT other AS node FROM link WHERE node IN ('c1', 'c5')) n JOIN deg ON deg.root = n.node

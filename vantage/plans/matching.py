@@ -11,6 +11,7 @@ from vantage.operators import horizon as hz
 from vantage.operators import text as tx
 from vantage.plans.catalog import H, query
 from vantage.plans.text import content, norm, tok, word_grams
+from vantage.sources.shared import materialise
 
 NAMED = "SELECT e.id, e.node_type, e.first_pos, n.label, n.kind FROM kg_entities e JOIN kg_names n ON n.entity_id = e.id WHERE e.status = 'accepted' AND e.first_pos <= $h AND n.kind = 'true_name' AND n.revealed_pos <= $h"
 
@@ -27,13 +28,14 @@ BLOCK = f"""WITH n AS ({NAMED}), g AS (SELECT node_type, label, min(id) AS id, a
 
 def blocked(v, threshold):
     one = named(v).groupBy("node_type", "label").agg(F.min("id").alias("id"))
-    sets = one.select("node_type", "id", tx.trigrams_by_word(F.col("label")).alias("set"))
-    return gm.jaccard_join(sets.withColumnRenamed("id", "l"), sets.withColumnRenamed("id", "r"), ["node_type"], threshold).where("l <> r")
+    sets = materialise(one.select("node_type", "id", tx.trigrams_by_word(F.col("label")).alias("set")))
+    return gm.jaccard_join(sets.withColumnRenamed("id", "l"), sets.withColumnRenamed("id", "r"), ["node_type"], threshold, "r < l")
 
 
 @query("trgm_block", BLOCK.replace("$t", "0.25") + " SELECT l, r, score FROM k WHERE place <= 8")
 def trgm_block(v):
-    near = blocked(v, 0.25)
+    half = materialise(blocked(v, 0.25))
+    near = half.union(half.select("node_type", F.col("r").alias("l"), F.col("l").alias("r"), "shared", "score"))
     best = Window.partitionBy("l").orderBy(F.desc("score"), "r")
     return near.withColumn("k", F.row_number().over(best)).where("k <= 8").select("l", "r", F.round("score", 6).alias("score"))
 
@@ -199,16 +201,16 @@ DOCS = f"SELECT doc_id, {content('text')} AS s FROM documents"
 
 @query("find_echo", f"WITH s AS ({DOCS}), p AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON b.doc_id < a.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0) SELECT x, y, round(i / (n - i), 6) AS score, i / (n - i) >= 0.8 AS too_close FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY i / (n - i) DESC, y) AS r FROM p WHERE i / (n - i) >= 0.6) WHERE r = 1")
 def find_echo(v):
-    sets = v.documents.select("doc_id", tx.content_tokens(F.col("text")).alias("set"))
-    near = gm.jaccard_join(sets.withColumnRenamed("doc_id", "l"), sets.withColumnRenamed("doc_id", "r"), [], 0.6).where("r < l")
+    sets = materialise(v.documents.select("doc_id", tx.content_tokens(F.col("text")).alias("set")))
+    near = gm.jaccard_join(sets.withColumnRenamed("doc_id", "l"), sets.withColumnRenamed("doc_id", "r"), [], 0.6, "r < l")
     best = hz.first_by(near, ["l"], [F.desc("score"), F.asc("r")])
     return best.select(F.col("l").alias("x"), F.col("r").alias("y"), F.round("score", 6).alias("score"), (F.col("score") >= 0.8).alias("too_close"))
 
 
 @query("fold_echoes", f"WITH s AS ({DOCS}), p AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON b.doc_id < a.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0) SELECT x, min(y) AS folded_into FROM p WHERE i / (n - i) >= 0.8 GROUP BY x")
 def fold_echoes(v):
-    sets = v.documents.select("doc_id", tx.content_tokens(F.col("text")).alias("set"))
-    near = gm.jaccard_join(sets.withColumnRenamed("doc_id", "l"), sets.withColumnRenamed("doc_id", "r"), [], 0.8).where("r < l")
+    sets = materialise(v.documents.select("doc_id", tx.content_tokens(F.col("text")).alias("set")))
+    near = gm.jaccard_join(sets.withColumnRenamed("doc_id", "l"), sets.withColumnRenamed("doc_id", "r"), [], 0.8, "r < l")
     return near.groupBy(F.col("l").alias("x")).agg(F.min("r").alias("folded_into"))
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a session without it (a test on one machine) gets a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; a local session without it (a test) gets a temporary folder, a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = spark.sparkContext.master
+        if not held.isDefined() and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="vantage-")
         if not held.isDefined():
             spark.sparkContext.setCheckpointDir(root)

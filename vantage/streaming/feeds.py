@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vantage.sources.shared import materialise, shared_root
+from vantage.sources.shared import shared_root
 
 
 def source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -36,17 +36,32 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Documents by fingerprint, each batch against what is stored: a replayed or unchanged document is not written again."""
+    """``(doc_id, fingerprint)``: each document as it was last read, by an append log that is folded on reading.
+
+    State is the fingerprint of each document, so a replayed or unchanged document is not written again, a changed one
+    replaces what was stored under its id, and no batch reads the store. Of two texts of an id in one batch the one of
+    the greater fingerprint stays. Rows without an id are left out.
+    """
     base = f"{shared_root(spark)}/{uuid.uuid4().hex}"
-    rows = source(spark, path, schema).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"))
-    spark.createDataFrame([], rows.schema).write.parquet(f"{base}/store")
+    rows = source(spark, path, schema).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"))
+
+    def changed(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        now = max(pdf["fingerprint"].max() for pdf in batches)
+        if now != last:
+            state.update((now,))
+            yield pd.DataFrame({"doc_id": [key[0]], "fingerprint": [now]})
+
+    fresh = rows.groupBy("doc_id").applyInPandasWithState(changed, "doc_id long, fingerprint string", "fingerprint string", "update", "NoTimeout")
+    log_schema = "doc_id long, fingerprint string, batch long"
 
     def add(batch: DataFrame, number: int) -> None:
-        stored = batch.sparkSession.read.schema(rows.schema).parquet(f"{base}/store")
-        materialise(batch.dropDuplicates().join(stored, ["doc_id", "fingerprint"], "left_anti")).write.mode("append").parquet(f"{base}/store")
+        # a batch that is run again overwrites its own folder
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{base}/log/run={number}")
 
-    rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{base}/store")
+    fresh.writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    log = spark.read.schema(log_schema).option("recursiveFileLookup", "true").parquet(f"{base}/log")
+    return log.groupBy("doc_id").agg(F.max_by("fingerprint", "batch").alias("fingerprint"))
 
 
 def refused(spark: SparkSession, path: str, schema: StructType, cap: int) -> DataFrame:
