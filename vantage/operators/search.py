@@ -56,6 +56,15 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored, ["query_id"], [F.desc_nulls_last("score"), F.asc("id")], k)
 
 
+def expand_best(lists: dict[str, DataFrame], links: DataFrame, degree: DataFrame, seeds: int, k: int) -> DataFrame:
+    """``(query_id, id, rank)``: neighbours of the ``seeds`` best nodes of the fused lists that are no seeds themselves, those of low degree first."""
+    nodes = degree.select(F.col("root").alias("id"))
+    best = top(fuse(lists).join(nodes, "id", "left_semi"), ["query_id"], [F.desc("score"), F.asc("id")], seeds).select("query_id", "id")
+    near = best.select("query_id", F.col("id").alias("node")).join(links, "node").select("query_id", F.col("other").alias("id")).distinct().join(best, ["query_id", "id"], "left_anti")
+    scored = near.join(degree.withColumnRenamed("root", "id"), "id").withColumn("score", 1 / (1 + F.log1p("degree")))
+    return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], k).select("query_id", "id", "rank")
+
+
 def fuse(lists: dict[str, DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ``(query_id, id, rank)`` lists: score, and the modes that found each."""
     both = None

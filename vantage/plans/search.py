@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vantage.operators import graph as gr
 from vantage.operators import horizon as hz
+from vantage.operators import identity as idn
 from vantage.operators import search as se
 from vantage.operators import text as tx
 from vantage.plans.catalog import H, query
+from vantage.plans.graph import FOLDED
 from vantage.plans.text import content, tok, word_grams
+from vantage.sources.shared import materialise
 
 #: Query, tokens that are wanted, tokens that exclude.
 ASKED = [("q1", ["the", "tion"], ["idiot"]), ("q2", ["le", "est"], []), ("q3", ["der", "ist"], ["und"])]
@@ -88,12 +92,44 @@ def rrf_fuse(v):
     return se.fuse({"lexical": lexical(v), "fuzzy": fuzzy(v)})
 
 
-@query("hybrid_search", RRF.replace(" SELECT query_id, id, round(sum", " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM (SELECT query_id, id, round(sum") + ")) WHERE place <= 10")
+#: The vector of each query stands for its text.
+QUERY_VECTOR = {"q1": 1, "q2": 2, "q3": 3}
+SEMANTIC = "sem AS (SELECT * FROM (SELECT t.query_id, c.id, row_number() OVER (PARTITION BY t.query_id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.id) AS rank FROM (VALUES " + ", ".join(f"('{q}', {i})" for q, i in QUERY_VECTOR.items()) + ") AS t(query_id, vec_id) JOIN kg_vectors q ON q.vec_id = t.vec_id JOIN kg_vectors c ON c.kind = 'entity') WHERE rank <= 20)"
+ALL_MODES = FOLDED + f""", {LEX}, {FZ}, {SEMANTIC},
+    three AS (SELECT query_id, id, rank, 'lexical' AS mode FROM lex UNION ALL SELECT query_id, id, rank, 'fuzzy' FROM fz UNION ALL SELECT query_id, id, rank, 'semantic' FROM sem),
+    seeds AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sum(1 / (60 + rank)) DESC, id) AS k FROM three WHERE id IN (SELECT root FROM deg) GROUP BY query_id, id) WHERE k <= 5),
+    near AS (SELECT DISTINCT s.query_id, l.other AS id FROM seeds s JOIN link l ON l.node = s.id ANTI JOIN seeds t ON t.query_id = s.query_id AND t.id = l.other),
+    gra AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + ln(1 + degree)) DESC, id) AS rank FROM near JOIN deg ON deg.root = near.id) WHERE rank <= 25),
+    four AS (SELECT * FROM three UNION ALL SELECT query_id, id, rank, 'graph' FROM gra)"""
+
+
+def modes(v):
+    """Ranked lists of every mode: lexical, fuzzy and semantic, then the neighbours in the graph of the five best entities of these."""
+    asked = F.broadcast(v.spark.createDataFrame(list(QUERY_VECTOR.items()), "query_id string, vec_id long"))  # one row a query
+    wanted = v.vectors.join(asked, "vec_id").select("query_id", F.col("embedding").alias("q"))
+    lists = {"lexical": lexical(v), "fuzzy": fuzzy(v), "semantic": se.vector_search(v.vectors.where("kind = 'entity'"), wanted, 20)}
+    lists = {mode: materialise(df.select("query_id", "id", "rank")) for mode, df in lists.items()}
+    edges = materialise(gr.fold_edges(v.assertions, idn.identity_components(v.entities, v.assertions, H), H))
+    return lists | {"graph": se.expand_best(lists, gr.both_ways(edges), gr.node_degree(edges), 5, 25)}
+
+
+@query("hybrid_search", ALL_MODES + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM (SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes FROM four GROUP BY query_id, id)) WHERE place <= 10")
 def hybrid_search(v):
-    fused = se.fuse({"lexical": lexical(v), "fuzzy": fuzzy(v)})
+    fused = se.fuse(modes(v))
     return fused.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("place <= 10")
 
 
+@query("search_modes", ALL_MODES + " SELECT q.query_id, m.mode, count(four.id) > 0 AS ran, count(four.id) AS found FROM (SELECT DISTINCT query_id FROM q) q CROSS JOIN (VALUES ('lexical'), ('fuzzy'), ('semantic'), ('graph')) AS m(mode) LEFT JOIN four ON four.query_id = q.query_id AND four.mode = m.mode GROUP BY q.query_id, m.mode")
+def search_modes(v):
+    """What each mode of the hybrid search did for each query, also if it found nothing."""
+    asked = tokens_asked(v).select("query_id").distinct()
+    out = None
+    for mode, df in modes(v).items():
+        one = asked.join(df.groupBy("query_id").agg(F.count("*").alias("found")), "query_id", "left").select("query_id", F.lit(mode).alias("mode"), (F.coalesce("found", F.lit(0)) > 0).alias("ran"), F.coalesce("found", F.lit(0)).alias("found"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("broaden_query", f"SELECT id, array_to_string(list_sort({content('question')}), ' or ') AS query FROM kg_questions")
 def broaden_query(v):
     return v.questions.select("id", F.array_join(F.array_sort(tx.content_tokens(F.col("question"))), " or ").alias("query"))
