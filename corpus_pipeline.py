@@ -16,7 +16,11 @@ LEAST_CONFIDENCE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without letters or of no clear language go."""
+    """Documents in a language that was learned; those without letters or of no clear language go.
+
+    Null and empty texts have no letter. Rows without an id are judged but never learned from, repeated rows each for
+    itself; if no row has a language, all go.
+    """
     labelled = language.predict(docs, language.fit(docs))
     return labelled.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)).select(*docs.columns)
 
@@ -38,12 +42,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents once for each pass that the mixture makes over them; every document at least once."""
+    """Documents once for each pass that the mixture makes over them; every document at least once.
+
+    Null sources are one source, null and empty texts have no tokens, and rows that repeat are mixed each for itself.
+    """
     return mixing.mix_sources(docs, mixing.plan_mixture(docs)).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4096 tokens."""
+    """Pieces of the documents in sequences of at most 4096 tokens; null and empty texts are the end id, repeated rows are packed each."""
     pieces = storage.materialise(packing.pieces(docs))
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
