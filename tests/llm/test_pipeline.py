@@ -43,6 +43,30 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_stages_on_nothing_nulls_and_repeats(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL AND length(text) > 300").limit(30)
+    first = table.orderBy("doc_id").limit(1)
+    no_id = first.withColumn("doc_id", F.lit(None).cast(table.schema["doc_id"].dataType))
+    other = first.withColumn("text", F.reverse("text"))  # another text under the same id
+    blank = [first.withColumn("doc_id", F.lit(10**6 + i).cast(table.schema["doc_id"].dataType)).withColumn("text", F.lit(t).cast("string")).withColumn("source", F.lit(None).cast("string")) for i, t in enumerate([None, "", " "])]
+    odd = table
+    for more in (first, no_id, no_id, other, *blank):
+        odd = odd.unionByName(more.select(*table.columns))
+    odd = odd.coalesce(2).cache()
+    for docs in (table.limit(0), odd):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, SF)
+            rows = got.collect()
+            assert (len(rows) > 0) == (n > 0), name
+            if name == "near_copies" and n:
+                assert sum(r["doc_id"] is None for r in rows) == 2  # rows without an id stay
+            if name == "repeated_passages" and n:
+                assert len(rows) == n
+            if name in ("mixture", "packing") and n:
+                assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+
+
 def test_entry_module_registers_all_eleven():
     import __spark_entry__ as entry
 
