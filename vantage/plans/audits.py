@@ -25,11 +25,11 @@ def assertion_constraints(v):
     return v.assertions.select("id", found.alias("v")).where(F.size("v") > 0).select("id", F.array_join("v", ",").alias("violations"))
 
 
-ANCHOR = f"SELECT e.id, CASE WHEN e.excerpt = '' THEN 'empty excerpt' WHEN p.id IS NULL THEN 'unknown passage' WHEN e.kind = 'visual' AND e.description IS NULL THEN 'visual without description' WHEN NOT contains({norm('p.summary')}, {norm('e.excerpt')}) THEN 'not in source' END AS reason FROM kg_evidence e LEFT JOIN kg_scenes p ON p.id = e.passage_id AND p.ord < 3"
+ANCHOR = f"SELECT e.id, CASE WHEN e.excerpt = '' THEN 'empty excerpt' WHEN p.id IS NULL THEN 'unknown passage' WHEN e.kind = 'visual' AND e.description IS NULL THEN 'visual without description' WHEN NOT contains({norm('p.summary')}, {norm('e.excerpt')}) THEN 'not in source' END AS reason FROM kg_evidence e LEFT JOIN kg_scenes p ON p.id = e.passage_id"
 
 
 def anchored(v):
-    p = v.scenes.where("ord < 3").select(F.col("id").alias("passage_id"), "summary")
+    p = v.scenes.select(F.col("id").alias("passage_id"), "summary")
     held = F.contains(tx.normalise(F.col("summary")), tx.normalise(F.col("excerpt")))
     reason = va.first_reason((F.col("excerpt") == "", "empty excerpt"), (F.col("summary").isNull(), "unknown passage"), ((F.col("kind") == "visual") & F.col("description").isNull(), "visual without description"), (~held, "not in source"))
     return v.evidence.join(p, "passage_id", "left").select("id", "assertion_id", reason.alias("reason"))

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vantage.operators import horizon as hz
+from vantage.operators import identity as idn
 from vantage.operators import temporal as tm
 from vantage.operators import text as tx
 from vantage.plans.catalog import H, query
-from vantage.plans.identity import BEST
+from vantage.plans.graph import NAMED
+from vantage.plans.identity import BEST, COMPONENTS
+from vantage.sources.shared import materialise
 
 BEST_CTE = f"WITH best AS ({BEST})"
 OPEN = "(status = 'accepted' AND from_pos <= $h AND (until_pos IS NULL OR until_pos > $h))"
@@ -215,9 +218,16 @@ def era_of(v):
 SHEET = f"SELECT subject AS entity_id, predicate, object AS other, 'out' AS direction, from_pos, confidence, id FROM kg_assertions WHERE {OPEN} UNION ALL SELECT object, predicate, subject, 'in', from_pos, confidence, id FROM kg_assertions WHERE {OPEN}"
 
 
-@query("entity_sheet", f"SELECT * FROM ({SHEET}) WHERE entity_id IN ('c1', 'c8', 'n3')")
+@query("entity_sheet", COMPONENTS + NAMED + """,
+    f AS (SELECT a.*, s.root AS here, t.root AS there FROM open a JOIN root s ON s.id = a.subject JOIN root t ON t.id = a.object WHERE a.predicate <> 'same_as'),
+    u AS (SELECT here AS root, 'out' AS direction, predicate, there AS other, from_pos, confidence, id FROM f UNION ALL SELECT there, 'in', predicate, here, from_pos, confidence, id FROM f),
+    quoted AS (SELECT assertion_id, min(excerpt) AS quote, count(*) AS quotes FROM kg_evidence WHERE excerpt <> '' GROUP BY assertion_id)
+    SELECT u.root, coalesce(l.label, '?') AS label, direction, predicate, other, coalesce(o.label, '?') AS other_label, from_pos, confidence, u.id, quote, coalesce(quotes, 0) AS quotes
+    FROM u LEFT JOIN lab l ON l.root = u.root LEFT JOIN lab o ON o.root = u.other LEFT JOIN quoted ON quoted.assertion_id = u.id""")
 def entity_sheet(v):
-    return tm.entity_sheet(v.assertions.where("subject IN ('c1', 'c8', 'n3') OR object IN ('c1', 'c8', 'n3')"), H).where("entity_id IN ('c1', 'c8', 'n3')")
+    """The sheets of all components: each visible fact from both ends, the name of the other end, and its first quote."""
+    comp = idn.identity_components(v.entities, v.assertions, H)
+    return tm.component_sheet(v.assertions, comp, materialise(idn.component_label(comp, v.names, H)), v.evidence, H)
 
 
 @query("entity_profile", f"""SELECT entity_id, CASE WHEN predicate = 'located_at' THEN 'places' WHEN predicate IN ('owns', 'gives') THEN 'possessions' WHEN predicate = 'same_as' THEN 'identity' ELSE 'aims' END AS section, other,
