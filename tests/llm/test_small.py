@@ -101,6 +101,30 @@ def test_substrings_null_id_sorts_after_the_greatest(spark):
     assert {(r[0] is None, r[1]) for r in got} == {(True, 30), (False, 0)}
 
 
+@pytest.mark.parametrize("split", [0, 3, 60])
+def test_split_minimisers_change_no_result(spark, split):
+    rows = sample_texts(seed=4, n=80)
+    rows += [(100 + i, f"{' '.join(f'u{i}x{k}' for k in range(14))} one line that all of them share here {' '.join(f'v{i}x{k}' for k in range(14 + i % 2))}") for i in range(60)]
+    rows += [(200, rows[-1][1]), (201, "lead " + rows[-2][1]), (202, None)]
+    got = {r["doc_id"]: r["kept"] for r in substrings.deduplicate(docs(spark, rows), split=split, sample=1).collect()}
+    assert got == brute_substrings(rows)
+
+
+def test_a_shared_line_is_split_by_what_lies_around_it(spark):
+    line = " ".join(f"l{k}" for k in range(12))
+    rows = [(i, f"{' '.join(f'u{i}x{k}' for k in range(20))} {line} {' '.join(f'v{i}x{k}' for k in range(20))}") for i in range(300)]
+    table = docs(spark, rows).select(F.col("doc_id").alias("_skid"), F.lit(-1).cast("long").alias("_skhigh"), F.lit(0).cast("long").alias("_sklow"), "text")
+    hot = substrings.frequent_keys(table, least=400, sample=1)
+    w = Words.of(*text_bytes(pa.array([t for _, t in rows])))
+    h = w.hashes()
+    starts, window = w.windows(h, 20)
+    most = lambda keys: np.unique(keys, return_counts=True)[1].max()
+    plain, dealt = (substrings.route(h, starts, 20, 4, x) for x in (np.zeros(0, np.uint64), hot))
+    assert 0 < len(hot) < 30 and most(plain) > 600 and most(dealt) <= 400
+    by_window = {}
+    assert all(by_window.setdefault(a, b) == b for a, b in zip(window.tolist(), dealt.tolist(), strict=True))
+
+
 def test_hash_collisions_change_nothing():
     raw, at = text_bytes(pa.array(["a b c d a b c e a b c d"]))
     w = Words.of(raw, at)

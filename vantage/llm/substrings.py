@@ -2,6 +2,7 @@
 
 Consecutive windows of a document that share a minimiser travel as one packed string (a super-k-mer) to the bucket of that
 minimiser, where sorting groups equal windows. Equal windows have equal minimisers, so each window is judged in one bucket.
+A minimiser that too many windows share is split by what lies around it, down to the window itself (``route``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,13 @@ from vantage.llm.words import Words, gather_index, mix, slices, string_array, te
 
 WINDOW = 20
 MINIMISER = 4
+#: Words of the second minimiser, which splits a first one that is too frequent.
+LONG_MINIMISER = 8
+#: A minimiser is split above so many windows, or above this share of all: a bucket stays small, and the list of the split
+#: ones has at most twice as many entries as ``LEAST_SHARE`` says, at any size of the corpus.
+SPLIT_WINDOWS, LEAST_SHARE = 1 << 17, 1 << 20
+#: One document in so many is counted to find them. The list only deals the work: windows are judged alike whatever it holds.
+SAMPLE = 256
 #: Text per bucket and per map-side pass. Both bound a task's memory, whatever the size of the corpus.
 BUCKET_CHARS, PASS_BYTES = 1 << 20, 4 << 20
 LAST = (1 << 63) - 1  # where a null id sorts
@@ -104,16 +112,71 @@ def with_keys(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return marked.withColumn("_sklow", F.when(null | many, low).otherwise(F.lit(0).cast("long"))).drop("_skslot", "_skmany")
 
 
-def super_kmers(table: DataFrame, buckets: int, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
+def least_gram(h: np.ndarray, m: int, window: int, salt: int = 0) -> np.ndarray:
+    """For each window of the word hashes ``h`` the least mixed hash of its ``m``-word grams."""
+    short = np.full(len(h) - m + 1, salt, np.uint64)
+    for j in range(m):
+        short = short * np.uint64(0xD6E8FEB86659FD93) + h[j : len(h) - m + 1 + j]
+    return minima(mix(short), window - m + 1)
+
+
+def among(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which ``keys`` the sorted ``hot`` holds."""
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys if len(hot) else np.zeros(len(keys), bool)
+
+
+def route(h: np.ndarray, starts: np.ndarray, window: int, m: int, hot: np.ndarray) -> np.ndarray:
+    """The key by which each window travels: equal for equal windows, as it depends on their words and on ``hot`` alone.
+
+    It is the minimiser; if ``hot`` holds that, both the minimiser and that of longer grams, which reach beyond a line that
+    many documents share; if ``hot`` holds these two, the hash of the window.
+    """
+    key = least_gram(h, m, window)[starts]
+    split = np.flatnonzero(among(key, hot))
+    if len(split):
+        key[split] = mix(key[split] ^ least_gram(h, min(LONG_MINIMISER, window), window, 1)[starts[split]])
+        split = split[among(key[split], hot)]
+        whole = np.zeros(len(split), np.uint64)
+        for j in range(window):
+            whole = whole * np.uint64(0xD6E8FEB86659FD93) + h[starts[split] + j]
+        key[split] = mix(whole)
+    return key
+
+
+def frequent_keys(table: DataFrame, window: int = WINDOW, m: int = MINIMISER, least: int = SPLIT_WINDOWS, sample: int = SAMPLE) -> np.ndarray:
+    """The sorted keys of ``route`` that hold more than ``least`` windows and ``1 / LEAST_SHARE`` of all, estimated on one document in ``sample``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", PASS_BYTES):
+            w = Words.of(*text_bytes(part.column(part.schema.get_field_index("text"))))
+            h = w.hashes()
+            starts, _ = w.windows(h, window)
+            if len(starts):
+                first = least_gram(h, m, window)[starts]
+                second = mix(first ^ least_gram(h, min(LONG_MINIMISER, window), window, 1)[starts])
+                for level, keys in enumerate((first, second)):
+                    key, n = np.unique(keys, return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(key), level, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["level", "key", "n"])
+
+    seen = table.where(F.pmod(F.xxhash64(*KEY, "text"), F.lit(sample)) == 0).select("text").mapInArrow(count, "level int, key long, n long")
+    counts = materialise(seen.groupBy("level", "key").agg(F.sum("n").alias("n")))
+    every = counts.where("level = 0").agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") > max(least / sample, every / LEAST_SHARE)).select("key").distinct().collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def super_kmers(table: DataFrame, buckets: int, window: int = WINDOW, m: int = MINIMISER, hot: np.ndarray | None = None) -> DataFrame:
     """``(bucket, n, size, meta, strings)``: super-k-mers packed by bucket, and verdicts reached on the way.
 
-    ``table`` has ``KEY`` and ``text``.
+    ``table`` has ``KEY`` and ``text``; ``hot`` are the keys of ``frequent_keys``.
 
     Within a pass a window that repeats an earlier one is known to be a repeat, so it does not travel: only the first of
     its kind does. A passage that a third of the documents share thus reaches its bucket once a pass. Such verdicts go
     along with ``strings`` null: runs of (document, first window, windows).
     """
 
+    hot = np.zeros(0, np.uint64) if hot is None else hot
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", PASS_BYTES):
             keys = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(len(KEY))])
@@ -142,12 +205,9 @@ def super_kmers(table: DataFrame, buckets: int, window: int = WINDOW, m: int = M
                 for bucket in np.unique(cover):
                     own = cover == bucket
                     out.append((int(bucket), int(own.sum()), 0, _packed(*keys[:, doc[at[own]]], place[at[own]], size[own]), None))
-            short = np.zeros(len(h) - m + 1, np.uint64)
-            for j in range(m):
-                short = short * np.uint64(0xD6E8FEB86659FD93) + h[j : len(h) - m + 1 + j]
-            least = minima(mix(short), window - m + 1)[starts]
             go = np.flatnonzero(first == np.arange(len(first)))
-            least, here = least[go], starts[go]
+            here = starts[go]
+            least = route(h, here, window, m, hot)
             begin = runs(here, doc[go], least)
             size = np.diff(np.append(begin, len(go)))
             bucket = (mix(least[begin]) % np.uint64(buckets)).astype(np.int64)
@@ -202,9 +262,11 @@ def judge(packed: DataFrame, window: int = WINDOW) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(of_bucket, ", ".join(f"{c} long" for c in [*KEY, "start", "n"]))
 
 
-def deduplicate(table: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(table: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT_WINDOWS, sample: int = SAMPLE) -> DataFrame:
     """All columns of ``table`` and ``n_words``, ``n_removed``, ``kept``.
 
+    ``split`` and ``sample`` say how buckets are dealt (``frequent_keys``); the result does not depend on them.
+
     ``kept`` has the words that are left, joined by one blank; null and empty texts have none. A null id sorts after all
     others. Rows that repeat both id and text count as one document: a window at the same place of a copy is not an earlier
     one, and each copy loses the same words. Rows of one id, or without an id, that differ in their texts are documents
@@ -213,7 +275,8 @@ def deduplicate(table: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     table = table.drop("n_words", "n_removed", "kept", *(c for c in table.columns if c.startswith("_sk")))
     keyed = with_keys(table, id_col, text_col)
     chars = table.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
-    packed = super_kmers(keyed.select(*KEY, F.col(text_col).cast("string").alias("text")), max(512, chars // BUCKET_CHARS), window)
+    texts = keyed.select(*KEY, F.col(text_col).cast("string").alias("text"))
+    packed = super_kmers(texts, max(512, chars // BUCKET_CHARS), window, hot=frequent_keys(texts, window, least=split, sample=sample))
     gone = judge(packed, window).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_skruns"))
     joined = keyed.join(gone, KEY, "left").drop(*KEY)
     rest = [c for c in joined.columns if c != "_skruns"]
