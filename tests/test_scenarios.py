@@ -10,6 +10,7 @@ from vantage.operators import folds
 from vantage.operators import graph as gr
 from vantage.operators import horizon as hz
 from vantage.operators import identity as idn
+from vantage.operators import search
 from vantage.operators import text as tx
 from vantage.operators.components import components_of_few, connected_components
 from vantage.operators.grams import jaccard_join, overlap_join, within_hamming
@@ -193,3 +194,16 @@ def test_stream_equals_batch(spark):
     batch = {r["user_id"]: r["n"] for r in streams.run_state_feed(v).groupBy("user_id").count().withColumnRenamed("count", "n").collect()}
     stream = {r["user_id"]: r["changes"] for r in streams.change_feed_stream(v).collect()}
     assert stream == batch
+
+
+def test_web_search_by_words_phrases_and_exclusion(spark):
+    texts = [(1, "The red house stands"), (2, "house, red and blue"), (3, "red x y z house red barn"), (4, "a red house of spam"), (5, None), (6, ""), (7, "blue x x house"), (8, "red house red house")]
+    frame = spark.createDataFrame([("s", str(i), t) for i, t in texts] + [("t", "1", "red house")], "source string, id string, text string")
+    terms = [("and", 0, ["house"]), ("and", 1, ["red"]), ("and", 1, ["blue"]), ("and", None, ["spam"]), ("quote", 0, ["red", "house"]), ("none", 0, ["missing"])]
+    asked = spark.createDataFrame(terms, "query_id string, clause int, phrase array<string>")
+    got = [tuple(r) for r in search.web_search(frame, asked, 5).select("source", "query_id", "rank", "id", "span", "n").orderBy("source", "query_id", "rank").collect()]
+    assert got == [
+        ("s", "and", 1, "8", 2, 4), ("s", "and", 2, "2", 2, 3), ("s", "and", 3, "3", 2, 3), ("s", "and", 4, "1", 2, 2), ("s", "and", 5, "7", 4, 2),
+        ("s", "quote", 1, "8", 1, 2), ("s", "quote", 2, "1", 1, 1), ("s", "quote", 3, "4", 1, 1),
+        ("t", "and", 1, "1", 2, 2), ("t", "quote", 1, "1", 1, 1),
+    ]

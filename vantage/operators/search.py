@@ -30,6 +30,30 @@ def lexical(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(kept, ["query_id"], [F.desc("matched"), F.desc("n"), F.asc("id")], k)
 
 
+def web_search(texts: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """``(source, query_id, id, span, n, rank)``: the ``k`` best texts of each source for queries with and, or, quotes and minus.
+
+    ``texts`` has (source, id, text), ``id`` unique in its source. ``terms`` is a short stated list of (query_id, clause,
+    phrase): ``phrase`` is an array of tokens that follow one another, a text must hold a phrase of every clause of its query,
+    and a phrase whose clause is null excludes a text. Ranked by cover density: the least number of places from the first to
+    the last of starts that take one phrase of each clause, then by occurrences, then by id. Null and empty texts match nothing.
+    """
+    parts = terms.withColumn("term", F.monotonically_increasing_id()).select("query_id", "clause", "term", F.size("phrase").alias("len"), F.posexplode("phrase").alias("j", "token"))
+    placed = texts.select("source", "id", F.posexplode(tx.tokens(F.col("text"))).alias("place", "token"))
+    met = placed.join(F.broadcast(parts), "token").withColumn("start", F.col("place") - F.col("j"))
+    key = ["source", "query_id", "id"]
+    found = met.groupBy(*key, "clause", "term", "len", "start").agg(F.count("*").alias("n")).where("n = len").select(*key, "clause", "start")
+    banned = found.where("clause IS NULL").select(*key).distinct()
+    wanted = terms.where("clause IS NOT NULL").select("query_id", "clause").distinct().groupBy("query_id").agg(F.count("*").alias("clauses"), F.collect_list("clause").alias("each"))
+    starts = found.where("clause IS NOT NULL").join(banned, key, "left_anti").join(F.broadcast(wanted), "query_id")
+    # the last start of every clause up to each start: a sliding cover, so frequent words make no pairs
+    so_far = Window.partitionBy(*key, "target").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    last = starts.select("*", F.explode("each").alias("target")).withColumn("last", F.max(F.when(F.col("clause") == F.col("target"), F.col("start"))).over(so_far))
+    covers = last.groupBy(*key, "start").agg(F.min("last").alias("first"), F.count_if(F.col("last").isNull()).alias("open"), (F.count("*") / F.first("clauses")).cast("long").alias("n"))
+    best = covers.groupBy(*key).agg(F.min(F.when(F.col("open") == 0, F.col("start") - F.col("first") + 1)).alias("span"), F.sum("n").alias("n")).where("span IS NOT NULL")
+    return top(best, ["source", "query_id"], [F.asc("span"), F.desc("n"), F.asc("id")], k)
+
+
 def gram_search(names: DataFrame, queries: DataFrame, least: float, k: int) -> DataFrame:
     """``(query_id, id, score, rank)``: best label of each entity by trigram similarity to a query of three letters or more."""
     grams = names.select(F.col("entity_id").alias("id"), "label", tx.trigrams_by_word(F.col("label")).alias("s"))

@@ -42,9 +42,30 @@ def fts_index(v):
     return index(v)
 
 
-@query("lexical_search", f"WITH {LEX} SELECT query_id, id, matched, rank FROM lex")
+#: Query, clause (none: excluded), phrase. q1: dans "de la" -idiot; q2: worthless or "of the"; q3: "auf der" und -nicht; q4: name 12.
+WEB = [("q1", 0, "dans"), ("q1", 1, "de la"), ("q1", None, "idiot"), ("q2", 0, "worthless"), ("q2", 0, "of the"), ("q3", 0, "auf der"), ("q3", 1, "und"), ("q3", None, "nicht"), ("q4", 0, "name"), ("q4", 1, "12")]
+#: Passages are numbered by document, not by month, so no horizon cuts them.
+FIVE = "SELECT DISTINCT 'label' AS source, concat(entity_id, ' ', label) AS id, label AS text FROM kg_names WHERE revealed_pos <= $h UNION ALL SELECT 'passage', CAST(doc_id AS VARCHAR), text FROM kg_passages UNION ALL SELECT 'scene', id, summary FROM kg_scenes WHERE coalesce(told_pos, shown_pos, 0) <= $h UNION ALL SELECT 'question', id, question FROM kg_questions WHERE opened_pos <= $h UNION ALL SELECT 'description', id, description FROM kg_evidence WHERE description IS NOT NULL"
+
+
+def five_sources(v):
+    label = hz.asof(v.names, "revealed_pos", H).select(F.lit("label").alias("source"), F.concat_ws(" ", "entity_id", "label").alias("id"), F.col("label").alias("text")).distinct()
+    passage = v.passages.select(F.lit("passage"), F.col("doc_id").cast("string"), "text")
+    scene = hz.asof_scenes(v.scenes, H).select(F.lit("scene"), "id", "summary")
+    question = hz.asof(v.questions, "opened_pos", H).select(F.lit("question"), "id", "question")
+    return label.union(passage).union(scene).union(question).union(v.evidence.where("description IS NOT NULL").select(F.lit("description"), "id", "description"))
+
+
+@query("lexical_search", "WITH src AS (" + FIVE + "), t AS (SELECT source, id, " + tok("text") + " AS w FROM src), term AS (SELECT query_id, clause, string_split(p, ' ') AS p FROM (VALUES " + ", ".join(f"('{q}', {'NULL' if c is None else c}, '{p}')" for q, c, p in WEB) + """) AS x(query_id, clause, p)),
+    occ AS (SELECT source, id, query_id, clause, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) AS start FROM t JOIN term ON list_has_all(w, p)),
+    held AS (SELECT * FROM occ WHERE clause IS NOT NULL AND (source, id, query_id) NOT IN (SELECT (source, id, query_id) FROM occ WHERE clause IS NULL)),
+    k AS (SELECT DISTINCT query_id, clause FROM term WHERE clause IS NOT NULL),
+    c AS (SELECT o.source, o.id, o.query_id, o.start, k.clause, max(b.start) AS m FROM (SELECT DISTINCT source, id, query_id, start FROM held) o JOIN k ON k.query_id = o.query_id LEFT JOIN held b ON b.source = o.source AND b.id = o.id AND b.query_id = o.query_id AND b.clause = k.clause AND b.start <= o.start GROUP BY ALL),
+    s AS (SELECT source, id, query_id, min(span) AS span FROM (SELECT source, id, query_id, start - min(m) + 1 AS span FROM c GROUP BY source, id, query_id, start HAVING count(m) = count(*)) GROUP BY ALL)
+    SELECT source, query_id, id, span, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source, query_id ORDER BY span, n DESC, id) AS rank FROM s JOIN (SELECT source, id, query_id, count(*) AS n FROM held GROUP BY ALL) USING (source, id, query_id)) WHERE rank <= 20""")
 def lexical_search(v):
-    return lexical(v).select("query_id", "id", "matched", "rank")
+    asked = v.spark.createDataFrame([(q, c, p.split()) for q, c, p in WEB], "query_id string, clause int, phrase array<string>")
+    return se.web_search(five_sources(v), asked, 20)
 
 
 @query("headline", f"WITH t AS (SELECT id, {tok('summary')} AS w FROM kg_scenes), f AS (SELECT id, w, list_position(w, 'tion') AS p FROM t WHERE list_contains(w, 'tion')) SELECT id, array_to_string(w[greatest(1, p - 8):p + 8], ' ') AS headline FROM f")
