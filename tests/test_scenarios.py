@@ -10,7 +10,7 @@ from vantage.operators import folds
 from vantage.operators import graph as gr
 from vantage.operators import horizon as hz
 from vantage.operators import identity as idn
-from vantage.operators import search
+from vantage.operators import search, store
 from vantage.operators import text as tx
 from vantage.operators.components import components_of_few, connected_components
 from vantage.operators.grams import jaccard_join, overlap_join, within_hamming
@@ -207,3 +207,21 @@ def test_web_search_by_words_phrases_and_exclusion(spark):
         ("s", "quote", 1, "8", 1, 2), ("s", "quote", 2, "1", 1, 1), ("s", "quote", 3, "4", 1, 1),
         ("t", "and", 1, "1", 2, 2), ("t", "quote", 1, "1", 1, 1),
     ]
+
+
+def test_export_and_purge_of_a_tenant(spark, tmp_path):
+    rows = spark.createDataFrame([("7", 1), ("7", 1), ("8", 2), (None, 3), ("70", 4)], "tenant string, x int")
+    tables = {"a": rows, "b": rows.where("tenant = '8'"), "c": rows.limit(0)}
+    assert {tuple(r) for r in store.export(tables, "7", f"{tmp_path}/out").collect()} == {("a", 2), ("b", 0), ("c", 0)}
+    assert [r[0] for r in spark.read.parquet(f"{tmp_path}/out/a").collect()] == [1, 1]
+    gone = spark.createDataFrame([("7",), ("8",)], "tenant string")
+    assert {tuple(r) for r in store.purge(tables, gone, f"{tmp_path}/left").collect()} == {("a", 2, 3), ("b", 0, 1), ("c", 0, 0)}
+    assert sorted(r["x"] for r in spark.read.parquet(f"{tmp_path}/left/a").collect()) == [3, 4]
+
+
+def test_context_of_what_queries_found(spark):
+    told = spark.createDataFrame([("a1", "c1", "gives", "c2", 5), ("a2", "c2", "owns", "p1", 3), ("a3", "c3", "owns", "p2", 1), ("a4", "c1", "same_as", "c1", 5)], "id string, subject string, predicate string, object string, from_pos int")
+    found = spark.createDataFrame([("q", "c1"), ("q", "c2"), ("q", "c1"), ("r", "p2"), ("s", "p9")], "query_id string, id string")
+    quotes = spark.createDataFrame([("a1", "y"), ("a1", "x"), ("a9", "z")], "assertion_id string, excerpt string")
+    got = search.context(told, found, quotes, 2).select("query_id", "rank", "id", "excerpt").collect()
+    assert {tuple(r) for r in got} == {("q", 1, "a2", None), ("q", 2, "a1", "x"), ("r", 1, "a3", None)}

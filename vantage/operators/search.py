@@ -80,6 +80,19 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored, ["query_id"], [F.desc_nulls_last("score"), F.asc("id")], k)
 
 
+def context(assertions: DataFrame, found: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
+    """``(query_id, rank, id, subject, predicate, object, excerpt)``: the first ``k`` assertions by position that touch what each query found.
+
+    ``found`` has (query_id, id), a bounded list a query. ``evidence`` has (assertion_id, excerpt); the least excerpt stands for
+    an assertion, none is null. An assertion that touches several of the entities found counts once.
+    """
+    ends = assertions.select(F.col("id").alias("assertion"), F.explode(F.array_distinct(F.array("subject", "object"))).alias("id"))
+    touching = ends.join(found.select("query_id", "id").distinct(), "id").select("query_id", F.col("assertion").alias("id")).distinct()
+    first = top(touching.join(assertions, "id"), ["query_id"], [F.asc("from_pos"), F.asc("id")], k)
+    quotes = evidence.select(F.col("assertion_id").alias("id"), "excerpt").join(first.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("excerpt").alias("excerpt"))
+    return first.join(quotes, "id", "left").select("query_id", "rank", "id", "subject", "predicate", "object", "excerpt")
+
+
 def expand_best(lists: dict[str, DataFrame], links: DataFrame, degree: DataFrame, seeds: int, k: int) -> DataFrame:
     """``(query_id, id, rank)``: neighbours of the ``seeds`` best nodes of the fused lists that are no seeds themselves, those of low degree first."""
     nodes = degree.select(F.col("root").alias("id"))

@@ -51,6 +51,33 @@ def counted(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def export(tables: dict[str, DataFrame], tenant: str, folder: str) -> DataFrame:
+    """Write the rows of ``tenant`` of every table below ``folder``; ``(name, n)`` counts what was written, read back.
+
+    Each table has ``tenant`` (string; null belongs to nobody). A table without rows of the tenant is written empty.
+    """
+    written = {}
+    for name, df in tables.items():
+        df.where(F.col("tenant") == tenant).drop("tenant").write.parquet(f"{folder}/{name}")
+        written[name] = df.sparkSession.read.parquet(f"{folder}/{name}")
+    return counted(written)
+
+
+def purge(tables: dict[str, DataFrame], gone: DataFrame, folder: str) -> DataFrame:
+    """Write every table without the rows of the tenants ``gone`` below ``folder``; ``(name, kept, removed)``.
+
+    ``gone`` is a short stated list of ``tenant``. Rows of no tenant (null) stay.
+    """
+    out = None
+    for name, df in tables.items():
+        df.join(F.broadcast(gone), "tenant", "left_anti").write.parquet(f"{folder}/{name}")
+        kept = df.sparkSession.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("kept"))
+        removed = df.join(F.broadcast(gone), "tenant", "left_semi").agg(F.count("*").alias("removed"))
+        one = kept.crossJoin(removed).select(F.lit(name).alias("name"), "kept", "removed")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def card_priority(category: Column, confidence: Column) -> Column:
     base = F.when(category == "entity", 30).when(category == "assertion", 20).otherwise(10)
     return base + F.when(confidence < 0.5, 5).otherwise(0)

@@ -156,12 +156,11 @@ def broaden_query(v):
     return v.questions.select("id", F.array_join(F.array_sort(tx.content_tokens(F.col("question"))), " or ").alias("query"))
 
 
-@query("qa_context", """SELECT a.id, a.subject, a.predicate, a.object, min(e.excerpt) AS excerpt FROM (SELECT * FROM kg_assertions WHERE status = 'accepted' AND from_pos <= $h AND (until_pos IS NULL OR until_pos > $h) AND (subject IN ('c1', 'c8') OR object IN ('c1', 'c8')) ORDER BY from_pos, id LIMIT 40) a
-    LEFT JOIN kg_evidence e ON e.assertion_id = a.id GROUP BY a.id, a.subject, a.predicate, a.object""")
+@query("qa_context", f"""WITH {FZ}, touch AS (SELECT DISTINCT fz.query_id, a.id, a.subject, a.predicate, a.object, a.from_pos FROM kg_assertions a JOIN fz ON fz.id IN (a.subject, a.object) WHERE a.status = 'accepted' AND a.from_pos <= $h AND (a.until_pos IS NULL OR a.until_pos > $h)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY from_pos, id) AS rank FROM touch)
+    SELECT query_id, rank, id, subject, predicate, object, (SELECT min(excerpt) FROM kg_evidence e WHERE e.assertion_id = r.id) AS excerpt FROM r WHERE rank <= 40""")
 def qa_context(v):
-    near = hz.asof_assertions(v.assertions, H).where("subject IN ('c1', 'c8') OR object IN ('c1', 'c8')").orderBy("from_pos", "id").limit(40)
-    quotes = v.evidence.groupBy(F.col("assertion_id").alias("id")).agg(F.min("excerpt").alias("excerpt"))
-    return near.join(quotes, "id", "left").select("id", "subject", "predicate", "object", "excerpt")
+    return se.context(hz.asof_assertions(v.assertions, H), fuzzy(v), v.evidence, 40)
 
 
 CITES = "SELECT e.id, CASE WHEN a.id IS NULL THEN 'unknown' WHEN a.status <> 'accepted' THEN 'not accepted' WHEN a.from_pos > $h THEN 'beyond the horizon' WHEN row_number() OVER (PARTITION BY e.assertion_id ORDER BY e.id) > 1 THEN 'repeated' ELSE 'kept' END AS verdict FROM kg_evidence e LEFT JOIN kg_assertions a ON a.id = e.assertion_id"

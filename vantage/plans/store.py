@@ -12,6 +12,7 @@ from vantage.plans.audits import FILTERED, filtered
 from vantage.plans.catalog import H, query
 from vantage.plans.identity import BEST, COMPONENTS
 from vantage.sources import passages as ps
+from vantage.sources.shared import shared_folder
 
 
 @query("scan_tables", "SELECT 'entities' AS name, count(*) AS n FROM kg_entities UNION ALL SELECT 'assertions', count(*) FROM kg_assertions UNION ALL SELECT 'names', count(*) FROM kg_names UNION ALL SELECT 'scenes', count(*) FROM kg_scenes")
@@ -67,15 +68,25 @@ def embedding_documents(v):
     return told.select("id", F.concat_ws(" ", "subject_label", "predicate", "object_label").alias("doc"))
 
 
-@query("export_bundle", "SELECT 'actions' AS name, count(*) AS n FROM kg_actions WHERE user_id = 7 UNION ALL SELECT 'steps', count(*) FROM kg_steps WHERE run_id LIKE 'run7-%'")
+#: What tells the tenant of a row: user n owns its actions and runs, and all that is told of figure n.
+OWNER = {"actions": "user_id", "steps": "run_id", "entities": "id", "names": "entity_id", "assertions": "subject", "occurrences": "entity_id", "attachments": "entity_id", "registry": "entity_id", "proposals": "subject"}
+OWNED = " UNION ALL ".join(f"SELECT '{t}' AS name, regexp_extract(CAST({c} AS VARCHAR), '^(?:run|c)?([0-9]+)(?:-[0-9]+)?$', 1) AS tenant FROM kg_{t}" for t, c in OWNER.items())
+
+
+def owned(v):
+    tables = {t: (getattr(v, t), F.col(c).cast("string")) for t, c in OWNER.items()}
+    lead = {"user_id": r"^(\d+)$", "run_id": r"^run(\d+)-"}
+    return {t: df.withColumn("tenant", F.regexp_extract(key, lead.get(OWNER[t], r"^c(\d+)$"), 1)) for t, (df, key) in tables.items()}
+
+
+@query("export_bundle", f"SELECT t.name, count(o.tenant) AS n FROM (VALUES {', '.join(f'({chr(39)}{t}{chr(39)})' for t in OWNER)}) AS t(name) LEFT JOIN ({OWNED}) o ON o.name = t.name AND o.tenant = '7' GROUP BY t.name")
 def export_bundle(v):
-    return st.counted({"actions": v.actions.where("user_id = 7"), "steps": v.steps.where("run_id LIKE 'run7-%'")})
+    return st.export(owned(v), "7", shared_folder(v.spark))
 
 
-@query("purge_tenant", "SELECT user_id, count(*) AS n FROM kg_actions WHERE user_id NOT IN (7, 8) GROUP BY user_id")
+@query("purge_tenant", f"SELECT name, count(*) FILTER (tenant NOT IN ('7', '8')) AS kept, count(*) FILTER (tenant IN ('7', '8')) AS removed FROM ({OWNED}) GROUP BY name")
 def purge_tenant(v):
-    gone = v.spark.createDataFrame([(7,), (8,)], "user_id long")
-    return v.actions.join(F.broadcast(gone), "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
+    return st.purge(owned(v), v.spark.createDataFrame([("7",), ("8",)], "tenant string"), shared_folder(v.spark))
 
 
 @query("delete_position", "SELECT id, from_pos FROM kg_assertions WHERE from_pos <> $h")

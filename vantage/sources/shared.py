@@ -22,8 +22,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: iterations keep short plans and survive lost executors."""
-    path = f"{shared_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
