@@ -225,3 +225,13 @@ def test_context_of_what_queries_found(spark):
     quotes = spark.createDataFrame([("a1", "y"), ("a1", "x"), ("a9", "z")], "assertion_id string, excerpt string")
     got = search.context(told, found, quotes, 2).select("query_id", "rank", "id", "excerpt").collect()
     assert {tuple(r) for r in got} == {("q", 1, "a2", None), ("q", 2, "a1", "x"), ("r", 1, "a3", None)}
+
+
+def test_catalogue_cascade(spark):
+    shelf = spark.createDataFrame([("Saudi Arabia", 3), ("Arabia", 4), ("Great Old Harbour", 5), ("Harbour of the Long Night", 6), ("Kingsbridge", 7), ("Kingsbridga", 8), ("Millbrook", 9), ("--", 10), (None, 11), ("Arabia", 2)], "name string, first long")
+    labels = ["SAUDI  arabia", "Arabia Saudi", "old great", "Night", "Arabia Felix", "Kingsbridge!", "Kingsbridg", "Millbrooks", "nothing", "", "--", None]
+    got = {r["label"]: (r["name"], round(r["score"], 4)) for r in search.catalogue(spark.createDataFrame([(x,) for x in labels], "label string"), shelf).collect()}
+    assert got == {
+        "SAUDI  arabia": ("Saudi Arabia", 1.0), "Arabia Saudi": ("Saudi Arabia", 0.95), "old great": ("Great Old Harbour", 0.85), "Night": ("Harbour of the Long Night", 0.75),
+        "Arabia Felix": ("Arabia", 0.7), "Kingsbridge!": ("Kingsbridge", 0.95), "Millbrooks": ("Millbrook", round(9 / 12, 4)), "--": ("--", 1.0),
+    }

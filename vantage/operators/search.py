@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vantage.operators import text as tx
+from vantage.operators.grams import jaccard_join
 
 
 def top(df: DataFrame, per: list[str], order: list[Column], k: int) -> DataFrame:
@@ -93,6 +94,43 @@ def context(assertions: DataFrame, found: DataFrame, evidence: DataFrame, k: int
     return first.join(quotes, "id", "left").select("query_id", "rank", "id", "subject", "predicate", "object", "excerpt")
 
 
+def _held_in(few: DataFrame, many: DataFrame) -> DataFrame:
+    """Columns of both of rows whose token set ``a`` is a proper part of the set ``b``, met on the token of ``a`` that ``many`` has least."""
+    flat = many.select("*", F.explode("b").alias("t"))
+    freq = flat.groupBy("t").agg(F.count("*").alias("f"))
+    own = [c for c in few.columns if c != "a"]
+    rarest = few.select(*own, "a", F.explode("a").alias("t")).join(freq, "t", "left").groupBy(*own, "a").agg(F.min(F.struct(F.coalesce("f", F.lit(0)), "t")).alias("o")).withColumn("t", F.col("o.t")).drop("o")
+    return rarest.join(flat, "t").where((F.size("a") < F.size("b")) & (F.size(F.array_except("a", "b")) == 0))
+
+
+def catalogue(wanted: DataFrame, shelf: DataFrame, least: float = 0.62, margin: float = 0.05) -> DataFrame:
+    """``(label, name, score)``: the entry of the ``shelf`` (name, first) that each ``wanted`` label means, none if none does.
+
+    A cascade: equal after normalising 1, the same words in another order 0.95, an entry with all words of the label and more
+    0.85 (0.75 for a label of one word), an entry with some words of the label and no others 0.7. A label that none of these
+    finds takes the entry with the greatest trigram similarity, if it is ``least`` or more and ``margin`` above the next name.
+    Equal scores go to the smallest ``first``, then name. Labels and entries without a letter or digit match by equality alone.
+    """
+    w = wanted.select("label").where("label IS NOT NULL").distinct()
+    c = shelf.where("name IS NOT NULL").groupBy("name").agg(F.min("first").alias("first"))
+    words = {"label": F.array_distinct(tx.tokens(F.col("label"))), "name": F.array_distinct(tx.tokens(F.col("name")))}
+    same = w.withColumn("k", tx.normalise(F.col("label"))).join(c.withColumn("k", tx.normalise(F.col("name"))), "k").withColumn("score", F.lit(1.0))
+    turned = w.withColumn("k", tx.signature(F.col("label"))).where("k <> ''").join(c.withColumn("k", tx.signature(F.col("name"))), "k").withColumn("score", F.lit(0.95))
+    wider = _held_in(w.withColumn("a", words["label"]), c.withColumn("b", words["name"])).withColumn("score", F.when(F.size("a") > 1, 0.85).otherwise(0.75))
+    narrower = _held_in(c.withColumn("a", words["name"]), w.withColumn("b", words["label"])).withColumn("score", F.lit(0.7))
+    cols = ["label", "name", "first", "score"]
+    found = same.select(cols).union(turned.select(cols)).union(wider.select(cols)).union(narrower.select(cols))
+    sure = top(found, ["label"], [F.desc("score"), F.asc("first"), F.asc("name")], 1)
+    left = w.join(sure, "label", "left_anti").select(F.col("label").alias("l"), tx.trigrams_by_word(F.col("label")).alias("set"))
+    right = c.select(F.col("name").alias("r"), tx.trigrams_by_word(F.col("name")).alias("set"))
+    near = jaccard_join(left, right, [], least - margin)
+    near = near.select(F.col("l").alias("label"), F.col("r").alias("name"), "score").join(c, "name")
+    ranked = top(near, ["label"], [F.desc("score"), F.asc("first"), F.asc("name")], 2)
+    clear = ranked.groupBy("label").agg(F.max_by("name", -F.col("rank")).alias("name"), F.max("score").alias("score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("next"))
+    clear = clear.where((F.col("score") >= least - 1e-9) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin - 1e-9)))
+    return sure.select("label", "name", "score").union(clear.select("label", "name", "score"))
+
+
 def expand_best(lists: dict[str, DataFrame], links: DataFrame, degree: DataFrame, seeds: int, k: int) -> DataFrame:
     """``(query_id, id, rank)``: neighbours of the ``seeds`` best nodes of the fused lists that are no seeds themselves, those of low degree first."""
     nodes = degree.select(F.col("root").alias("id"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from vantage.operators import folds as fo
 from vantage.operators import grams as gm
 from vantage.operators import horizon as hz
+from vantage.operators import search as se
 from vantage.operators import text as tx
 from vantage.plans.catalog import H, query
 from vantage.plans.text import content, norm, tok, word_grams
@@ -226,16 +227,18 @@ def exact_name_groups(v):
     return named(v).groupBy("node_type", "label").agg(F.count_distinct("id").alias("n"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids")).where("n > 1")
 
 
-@query("catalogue_match", f"""WITH w AS (SELECT DISTINCT label, list_sort({tok('label')}) AS s FROM kg_names WHERE entity_id[1] IN ('n', 'r', 's')),
-    c AS (SELECT n_name AS name, n_nationkey AS first, list_sort({tok('n_name')}) AS s FROM nation UNION ALL SELECT concat(split_part(s_name, '#', 2), ' ', split_part(s_name, '#', 1)), s_suppkey, list_sort({tok('s_name')}) FROM supplier),
-    m AS (SELECT w.label, c.name, c.first, CASE WHEN w.label = c.name THEN 1.0E0 ELSE 0.95E0 END AS score FROM w JOIN c ON w.s = c.s)
-    SELECT label, name, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, first, name) AS r FROM m) WHERE r = 1""")
+@query("catalogue_match", f"""WITH w AS (SELECT label, {norm('label')} AS k, {tok('label')} AS s, {word_grams('label')} AS g FROM (SELECT DISTINCT label FROM kg_names)),
+    c AS (SELECT name, first, {norm('name')} AS k, {tok('name')} AS s, {word_grams('name')} AS g FROM (SELECT n_name AS name, n_nationkey AS first FROM nation UNION ALL SELECT concat(split_part(s_name, '#', 2), ' ', split_part(s_name, '#', 1)), s_suppkey FROM supplier)),
+    p AS (SELECT w.label, c.name, c.first, CASE WHEN w.k = c.k THEN 1E0 WHEN len(w.s) > 0 AND list_sort(w.s) = list_sort(c.s) THEN 0.95E0
+            WHEN len(w.s) > 0 AND len(list_distinct(w.s)) < len(list_distinct(c.s)) AND list_has_all(c.s, w.s) THEN CASE WHEN len(list_distinct(w.s)) > 1 THEN 0.85E0 ELSE 0.75E0 END
+            WHEN len(c.s) > 0 AND len(list_distinct(c.s)) < len(list_distinct(w.s)) AND list_has_all(w.s, c.s) THEN 0.7E0 END AS fixed, len(list_intersect(w.g, c.g)) AS i, len(w.g) + len(c.g) AS u FROM w, c),
+    sure AS (SELECT label, name, fixed AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY fixed DESC, first, name) AS r FROM p WHERE fixed IS NOT NULL) WHERE r = 1),
+    near AS (SELECT *, lead(score) OVER (PARTITION BY label ORDER BY score DESC, first, name) AS next, row_number() OVER (PARTITION BY label ORDER BY score DESC, first, name) AS r FROM (SELECT label, name, first, i / (u - i) AS score FROM p WHERE u > 0) WHERE label NOT IN (SELECT label FROM sure))
+    SELECT label, name, score FROM sure UNION ALL SELECT label, name, score FROM near WHERE r = 1 AND score >= 0.62 - 1e-9 AND (next IS NULL OR score - next >= 0.05 - 1e-9)""")
 def catalogue_match(v):
-    wanted = v.names.where("entity_id LIKE 'n%' OR entity_id LIKE 'r%' OR entity_id LIKE 's%'").select("label").distinct().withColumn("k", tx.signature(F.col("label")))
     turned = F.concat(F.split_part("s_name", F.lit("#"), F.lit(2)), F.lit(" "), F.split_part("s_name", F.lit("#"), F.lit(1)))
-    shelf = v.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("first")).union(v.supplier.select(turned, "s_suppkey")).withColumn("k", tx.signature(F.col("name")))
-    found = wanted.join(shelf, "k").withColumn("score", F.when(F.col("label") == F.col("name"), 1.0).otherwise(0.95))
-    return hz.first_by(found, ["label"], [F.desc("score"), F.asc("first"), F.asc("name")]).select("label", "name", "score")
+    shelf = v.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("first")).union(v.supplier.select(turned, F.col("s_suppkey").cast("long")))
+    return se.catalogue(v.names, shelf)
 
 
 @query("too_late_guard", "SELECT n.entity_id, n.revealed_pos, min(a.revealed_pos) AS first_appearance FROM kg_names n JOIN kg_attachments a ON a.entity_id = n.entity_id WHERE n.kind = 'alias' GROUP BY n.entity_id, n.revealed_pos HAVING min(a.revealed_pos) - n.revealed_pos > 20")
