@@ -235,3 +235,10 @@ def test_catalogue_cascade(spark):
         "SAUDI  arabia": ("Saudi Arabia", 1.0), "Arabia Saudi": ("Saudi Arabia", 0.95), "old great": ("Great Old Harbour", 0.85), "Night": ("Harbour of the Long Night", 0.75),
         "Arabia Felix": ("Arabia", 0.7), "Kingsbridge!": ("Kingsbridge", 0.95), "Millbrooks": ("Millbrook", round(9 / 12, 4)), "--": ("--", 1.0),
     }
+
+
+def test_reopened_cards_lose_their_decision(spark):
+    cards = spark.createDataFrame([("a", "rejected", "r"), ("b", "deferred", "r"), ("c", "accepted", "r"), ("d", "rejected", "s"), ("e", "rejected", None)], "id string, status string, run_id string")
+    decided = spark.createDataFrame([("a", "reject"), ("c", "reject"), ("c", "accept"), ("d", "reject")], "id string, action string")
+    got = {tuple(r) for r in store.reopen(cards, decided, F.col("run_id") == "r").collect()}
+    assert got == {("a", "proposed", None), ("b", "proposed", None), ("c", "accepted", "accept"), ("d", "rejected", "reject"), ("e", "rejected", None)}

@@ -78,6 +78,17 @@ def purge(tables: dict[str, DataFrame], gone: DataFrame, folder: str) -> DataFra
     return out
 
 
+def reopen(proposals: DataFrame, decisions: DataFrame, which: Column) -> DataFrame:
+    """``(id, status, action)``: cards that are rejected or deferred and meet ``which`` are proposed again and lose their decision.
+
+    Other cards keep both; of several decisions on one card the least action stands, a card without one has null.
+    """
+    again = F.coalesce(F.col("status").isin("rejected", "deferred") & which, F.lit(False))
+    cards = proposals.withColumn("again", again)
+    kept = decisions.groupBy("id").agg(F.min("action").alias("action")).join(cards.where("again").select("id"), "id", "left_anti")
+    return cards.join(kept, "id", "left").select("id", F.when(F.col("again"), "proposed").otherwise(F.col("status")).alias("status"), "action")
+
+
 def card_priority(category: Column, confidence: Column) -> Column:
     base = F.when(category == "entity", 30).when(category == "assertion", 20).otherwise(10)
     return base + F.when(confidence < 0.5, 5).otherwise(0)

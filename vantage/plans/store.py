@@ -206,9 +206,9 @@ def bulk_retype(v):
     return v.entities.join(ends, "id", "left").select("id", F.when((F.col("node_type") == "object") & F.col("hit"), "place").otherwise(F.col("node_type")).alias("node_type"))
 
 
-@query("reopen_items", "SELECT id, CASE WHEN status = 'rejected' AND run_id = 'run3' THEN 'proposed' ELSE status END AS status FROM kg_proposals")
+@query("reopen_items", "SELECT p.id, CASE WHEN status IN ('rejected', 'deferred') AND run_id = 'run3' THEN 'proposed' ELSE status END AS status, CASE WHEN status IN ('rejected', 'deferred') AND run_id = 'run3' THEN NULL ELSE (SELECT min(action) FROM kg_decisions d WHERE d.id = p.id) END AS action FROM kg_proposals p")
 def reopen_items(v):
-    return v.proposals.select("id", F.when((F.col("status") == "rejected") & (F.col("run_id") == "run3"), "proposed").otherwise(F.col("status")).alias("status"))
+    return st.reopen(v.proposals, v.decisions, F.col("run_id") == "run3")
 
 
 @query("backfill_scenes", f"WITH best AS ({BEST}) SELECT e.id, coalesce(b.label, '?') AS summary, e.first_pos FROM kg_entities e LEFT JOIN best b ON b.entity_id = e.id WHERE e.node_type = 'group' AND NOT EXISTS (SELECT 1 FROM kg_occurrences o WHERE o.entity_id = e.id AND o.stated)")
