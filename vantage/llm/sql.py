@@ -39,4 +39,17 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op5_warc": OP5, "op8_exact_topk": OP8}
+OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+     f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) AS t(k)) GROUP BY ALL HAVING count(*) >= 30),
+     c AS (SELECT *, string_split(phrase, ' ') AS v FROM f WHERE k > 1),
+     u AS (SELECT c.lang, c.phrase, c.a, j, h.a AS l, t.a AS r, (2000000 * CAST(c.a AS HUGEINT)) // (CAST(h.a AS HUGEINT) + t.a) AS score
+           FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.v[:j], ' ') JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.v[j + 1:], ' ')),
+     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM u) WHERE o = 1),
+     d AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN c ON c.lang = b.lang AND c.k > len(string_split(b.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * CAST(c.a AS HUGEINT) >= 80 * CAST(b.a AS HUGEINT)),
+     s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN d USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, (SELECT CAST(sum(len(w.w)) AS BIGINT) FROM w WHERE w.lang = s.lang) AS n, CAST(score AS BIGINT) AS score FROM s WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op5_warc": OP5, "op8_exact_topk": OP8, "op11_phrase_collocations": OP11}
