@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
-    from vantage.llm import dedup, html, language, media, mixing, packing, substrings, topk, toxicity, warc
+    from vantage.llm import dedup, html, language, licenses, manifest, media, mixing, packing, phrases, substrings, topk, toxicity, warc
 
     return {
         "op1_toxicity": toxicity.op1_toxicity,
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_media_columns": media.op4_media_columns,
         "op5_warc": warc.op5_warc,
         "op6_packing": packing.op6_packing,
+        "op11_phrase_collocations": phrases.op11_phrase_collocations,
+        "op12_merkle_manifest": manifest.op12_merkle_manifest,
+        "op13_license_scans": licenses.op13_license_scans,
     }
 
 

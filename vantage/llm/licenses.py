@@ -34,7 +34,7 @@ PASSAGES = [
     ("mit", "furnished", "permit persons to whom the software is furnished to do so"),
     ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
     ("mit-0", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("isc", "copy", "permission to use copy modify and (?:or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "copy", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
     ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
@@ -52,7 +52,7 @@ PASSAGES = [
     ("lgpl-2.1-or-later", "lesser", "terms of the gnu lesser general public licen[cs]e as published by the free software foundation either version 2 1 of the licen[cs]e or at your option any later version"),
     ("lgpl-3.0-or-later", "lesser", "terms of the gnu lesser general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e or at your option any later version"),
     ("agpl-3.0-or-later", "affero", "terms of the gnu affero general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e or at your option any later version"),
-    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e v?[.]? 2 0"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e v? 2 0"),
     ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("mpl-1.1", "mozilla", "contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
     ("epl-1.0", "eclipse", "made available under the terms of the eclipse public licen[cs]e v1? 1? 0"),
@@ -80,12 +80,12 @@ PASSAGES = [
 
 #: Families: label, keyword, the words of the name, and versions as (end of the label, words).
 FAMILIES = [
-    ("gpl", "gnu", "gnu general public licen[cs]es?", ["1 0", "2 0", "3 0"]),
+    ("gpl", "gnu", "gnu general public licen[cs]es{0,1}", ["1 0", "2 0", "3 0"]),
     ("gpl", "gpl", "gpl", ["1 0", "2 0", "3 0"]),
-    ("lgpl", "lesser", "gnu? lesser general public licen[cs]es?", ["2 0", "2 1", "3 0"]),
-    ("lgpl", "library", "gnu? library general public licen[cs]es?", ["2 0"]),
+    ("lgpl", "lesser", "gnu? lesser general public licen[cs]es{0,1}", ["2 0", "2 1", "3 0"]),
+    ("lgpl", "library", "gnu? library general public licen[cs]es{0,1}", ["2 0"]),
     ("lgpl", "lgpl", "lgpl", ["2 0", "2 1", "3 0"]),
-    ("agpl", "affero", "gnu? affero general public licen[cs]es?", ["1 0", "3 0"]),
+    ("agpl", "affero", "gnu? affero general public licen[cs]es{0,1}", ["1 0", "3 0"]),
     ("agpl", "agpl", "agpl", ["1 0", "3 0"]),
     ("gfdl", "documentation", "gnu? free documentation licen[cs]e", ["1 1", "1 2", "1 3"]),
     ("gfdl", "gfdl", "gfdl", ["1 1", "1 2", "1 3"]),
@@ -177,27 +177,31 @@ class Rule(NamedTuple):
 def pattern(words: str) -> str:
     """The regular expression of a rule's words over `` word.`` forms; it needs no look-around, so engines agree on it."""
     out = []
-    for word in words.replace(" ?", " ").split() if " ?" not in words else re.sub(r"(\S+) \?(\S+)", r"\1\2|\1+\2", words).split():
-        often = "?" if word.endswith("?") and not word.endswith(")?") else ""
-        body = word[:-1] if often else word
-        if body.startswith(".{"):  # a gap of words: `.{1,60}` characters in the notation of the text
+    for word in re.sub(r"(\S+) \?(\S+)", r"\1\2|\1+\2", words).split():
+        if word.startswith(".{"):  # a gap of a few words
             out.append(r"(?: [^ .]+\.){1,12}")
             continue
-        options = [r"\. ".join(o.split("+")) if "+" in o and "[" not in o else o for o in body.split("|")]
-        one = options[0] if len(options) == 1 and "(" not in options[0] else f"(?:{'|'.join(options)})"
-        out.append(rf"(?: {one}\.)?" if often else rf" {one}\.")
+        often = word.endswith("?")
+        options = word.removesuffix("?").split("|")
+        one = "|".join(r"\. ".join(o.split("+")) for o in options)
+        one = rf" (?:{one})\." if len(options) > 1 else rf" {one}\."
+        out.append(f"(?:{one})?" if often else one)
     return "".join(out)
 
 
 def _rules() -> list[Rule]:
-    version = lambda v: f"(?:version|v)? v?{v.split()[0]} {v.split()[1]}?"
+    def version(v: str) -> str:
+        major, minor = v.split()
+        return f"version|v? v?{major} {minor}" + ("?" if minor == "0" else "")
+
     out = [Rule(phrase.split()[0] if phrase != "mit license" else "license", BARE, label, phrase, True) for phrase, label in BASE.items()]
     out += [Rule(keyword, TEXT, label, words) for label, keyword, words in PASSAGES]
     for name in IDENTIFIERS:
         words, label = " ".join(re.findall("[a-z0-9]+", name.lower())), name.lower()
-        out.append(Rule("spdx", TAG, label, f"spdx licen[cs]e identifier {words}"))
-        out.append(Rule("licensed", TAG, label, f"licensed under the? {words} licen[cs]e?"))
-        out.append(Rule("license", TAG, label, f"licen[cs]e {words}"))
+        keyword = words.split()[0]
+        out.append(Rule(keyword, TAG, label, f"spdx licen[cs]e identifier {words}"))
+        out.append(Rule(keyword, TAG, label, f"licensed under the? {words} licen[cs]e?"))
+        out.append(Rule(keyword, TAG, label, f"licen[cs]e {words}"))
     for label, keyword, words, versions in FAMILIES:
         for v in versions:
             for end, tail in [("-only", "only"), ("-or-later", "or any? later version?"), ("", "")]:
@@ -214,3 +218,85 @@ def _rules() -> list[Rule]:
 
 
 RULES = _rules()
+
+# The bytes of words.
+INSIDE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def rule_map(rules: list[Rule]) -> Column:
+    """The rules by keyword, as one constant: as large as the list of rules, whatever the corpus."""
+    by_keyword: dict[str, list[str]] = {}
+    for i, r in enumerate(rules):
+        row = f"named_struct('i', {i}, 'priority', {r.priority}, 'label', '{r.label}', 'base', {str(r.base).lower()}, 'pattern', r'{pattern(r.words)}')"
+        by_keyword.setdefault(r.keyword, []).append(row)
+    return F.expr("map(" + ", ".join(f"'{k}', array({', '.join(rows)})" for k, rows in by_keyword.items()) + ")")
+
+
+def places(form: Column, rule: Column) -> Column:
+    """The places of a rule in a text as ``(start, minus_end, priority, i, label, base)``, in words from 0, in one pass.
+
+    Points and brackets are no part of a word, so brackets around each place tell, word by word, where one begins and ends.
+    """
+    marked = F.split(F.regexp_replace(form, rule["pattern"], F.lit("<$0>")), r"\.")
+    at = F.transform(marked, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    begin = F.filter(at, lambda x: x["w"].startswith("<") | x["w"].startswith("><"))
+    end = F.filter(at, lambda x: x["w"].startswith(">"))
+    return F.zip_with(begin, end, lambda b, e: F.struct(
+        b["i"].cast("long").alias("start"), (-e["i"]).cast("long").alias("minus_end"), rule["priority"].alias("priority"), rule["i"].alias("i"), rule["label"].alias("label"), rule["base"].alias("base"),
+    ))
+
+
+def kept_labels(found: Column) -> Column:
+    """The distinct ``(label, weight)`` of the places that no other one suppresses, from places in their natural order.
+
+    What may suppress a place stands before it: it begins no later and ends no earlier, and of equal places the better
+    priority and the earlier rule come first. So the furthest end so far of each priority decides, in one pass.
+    """
+    weight = lambda p: F.element_at(F.array(*(F.lit(WEIGHTS[q]) for q in sorted(WEIGHTS))), p)
+
+    def step(held: Column, x: Column) -> Column:
+        end = -x["minus_end"]
+        inside = F.exists(F.slice(held["ends"], F.lit(1), x["priority"]), lambda e: e >= end)
+        ends = F.transform(held["ends"], lambda e, p: F.when(p + 1 == x["priority"], F.greatest(e, end)).otherwise(e))
+        own = F.array(F.struct(x["label"].alias("label"), weight(x["priority"]).alias("weight")))
+        return F.struct(ends.alias("ends"), F.when(inside, held["kept"]).otherwise(F.array_union(held["kept"], own)).alias("kept"))
+
+    none = F.struct(F.array_repeat(F.lit(-1).cast("long"), len(WEIGHTS)).alias("ends"), F.array().cast("array<struct<label: string, weight: double>>").alias("kept"))
+    return F.aggregate(found, none, step, lambda held: held["kept"])
+
+
+def scan(table: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+    """``table`` with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels`` and ``score``.
+
+    Base rules count every place and are never suppressed; ``labels`` adds what the other rules leave. The score is the
+    chance that one of the distinct labels is meant, by the weights of their priorities. Null and empty texts have no words
+    and a score of 0. Nothing is shuffled; a text is read once for its words and once for each rule whose keyword it holds.
+    Columns of ``table`` that are called like a result are replaced.
+    """
+    keywords = sorted({r.keyword for r in rules})
+    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(INSIDE), F.lit(0))
+    read = table.withColumn("__words", words)
+    read = read.withColumn("__present", F.array_intersect("__words", F.array(*map(F.lit, keywords)))).withColumn("n_words", F.size("__words").cast("long"))
+    read = read.withColumn("__form", F.when(F.size("__present") > 0, F.concat(F.lit(" "), F.array_join("__words", ". "), F.lit("."))).otherwise(""))
+    tried = F.flatten(F.transform("__present", lambda k: F.element_at(rule_map(rules), k)))
+    hits = F.filter(tried, lambda r: F.rlike(F.col("__form"), r["pattern"]))
+    read = read.withColumn("__found", F.sort_array(F.flatten(F.transform(hits, lambda r: places(F.col("__form"), r)))))
+    base = F.filter("__found", lambda x: x["base"])
+    read = read.withColumn("__base", base).withColumn("__kept", kept_labels(F.col("__found")))
+    named = F.array_sort(F.array_distinct(F.transform("__base", lambda x: x["label"])))
+    every = F.array_sort(F.array_union(F.transform("__base", lambda x: x["label"]), F.transform("__kept", lambda x: x["label"])))
+    miss = F.aggregate("__kept", F.lit(1.0), lambda p, x: p * (F.lit(1.0) - x["weight"]))
+    return read.select(
+        *(c for c in table.columns if c not in RESULT), "n_words", F.size("__base").cast("long").alias("n_base"), F.get("__base", F.lit(0))["start"].alias("first_word"),
+        F.array_max(F.transform("__base", lambda x: x["start"])).alias("last_word"), F.array_join(named, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
+        F.round(F.lit(1.0) - miss, 6).alias("score"),
+    )
+
+
+RESULT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that every document names, over whole texts; nulls and empty texts as in ``scan``, repeated rows each for itself."""
+    return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
