@@ -57,7 +57,7 @@ PASSAGES = [
     ("mpl-1.1", "mozilla", "contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
     ("epl-1.0", "eclipse", "made available under the terms of the eclipse public licen[cs]e v1? 1? 0"),
     ("epl-2.0", "eclipse", "made available under the terms of the eclipse public licen[cs]e v?2? 2? 0"),
-    ("cddl-1.0", "cddl", "contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("cddl-1.0", "distribution", "contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
     ("bsl-1.0", "boost", "distributed under the boost software licen[cs]e version 1 0"),
     ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
@@ -65,7 +65,7 @@ PASSAGES = [
     ("cc0-1.0", "waived", "has waived all copyright and related or neighboring rights"),
     ("cc-by-4.0", "creative", "licensed under a? creative commons attribution 4 0 international licen[cs]e"),
     ("cc-by-sa-4.0", "creative", "licensed under a? creative commons attribution sharealike 4 0 international licen[cs]e"),
-    ("ofl-1.1", "ofl", "this font software is licensed under the sil open font licen[cs]e version 1 1"),
+    ("ofl-1.1", "sil", "this font software is licensed under the sil open font licen[cs]e version 1 1"),
     ("artistic-2.0", "artistic", "licensed under the terms of the artistic licen[cs]e 2 0"),
     ("postgresql", "written", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
     ("ncsa", "illinois", "university of illinois ncsa open source licen[cs]e"),
