@@ -682,3 +682,21 @@ def test_style_tree_reads_every_element_of_a_path(spark):
     same = [(h, text.replace(f"<{t}>", "<p>").replace(f"</{t}>", "</p>")) for (h, text), t in zip(pages, tags, strict=True)]
     beside = [(h, f"<p>{i}</p>{text}") for i, (h, text) in enumerate(same)]
     assert tree(beside)[path] < html.LEAST_IMPORTANCE
+
+
+def test_near_copies_of_an_id_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (9, b), (10, b + " tail"), (11, "other words that nobody else has written here"), (3, b + " end"), (3, "z" + a)]
+    got = {r["doc_id"]: r for r in dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9]["class_id"] == got[10]["class_id"] == got[3]["class_id"] == 3
+    assert got[5]["copy_of"] == 5 and got[9]["copy_of"] == 5 and got[11]["class_id"] == 11
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_copies(spark.createDataFrame(rows[:4], "doc_id long, text string")).collect()}
+    assert got == {5: 5, 9: 5, 10: 5}
+
+
+def test_warc_keeps_negative_and_null_ids(spark, tmp_path):
+    rows = [(-5, "http://a.b/x", "<p>one</p>"), (-1, "http://a.b/x", "<p>one</p>"), (None, "http://a.b/x", "<p>two</p>"), (7, None, None), (7, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.op5_warc(spark, str(tmp_path)).collect()]
+    assert len(got) == 5 and {(-5, "revisit", -1), (-1, "response", None)} <= set(got)
+    assert sorted(str(x[0]) for x in got) == ["-1", "-5", "7", "7", "None"]

@@ -187,6 +187,21 @@ def signatures(table: DataFrame, idf: Idf, k: int = SHINGLE, bands: int = BANDS,
     return table.select("id", "text").mapInArrow(sign, "id long, words binary, bands array<long>")
 
 
+def worded(table: DataFrame) -> DataFrame:
+    """``(id, text, words)``: each text with the hash of its word sequence that ``signatures`` gives it."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part in slices(batches, "text"):
+            w = Words.of(*text_bytes(part.column(1)))
+            h = w.hashes()
+            names = [xxhash.xxh128_digest(h[a : a + n].tobytes()) for a, n in zip(w.first, w.counts, strict=True)]
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(names, pa.binary())], ["id", "text", "words"])
+
+    return table.select("id", "text").mapInArrow(name, "id long, text string, words binary")
+
+
 def profiles(table: DataFrame, idf: Idf, k: int = SHINGLE) -> DataFrame:
     """``(id, total, profile)``: the weight of each document, and of its shingles in each of ``CLASSES`` classes, rounded up.
 
@@ -320,19 +335,27 @@ def near_copies(table: DataFrame, similarity: float = SIMILARITY, k: int = SHING
 
     ``copy_of`` is the least id with the same words, ``class_id`` the least id of the class, ``n_links`` the links of that
     text to different texts that were verified. Null, empty and blank texts are classes of their own. Rows with a null id
-    are left out, and of rows that repeat an id the least text speaks for it.
+    are left out. Rows that repeat an id are judged each by its own text, which may be the copy of another id's; the document
+    takes the least ``copy_of`` of its texts, and the class of that one.
     """
     own = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     idf = document_frequency(own, k)
     signed = materialise(signatures(own, idf, k, bands, rows))
-    texts = materialise(signed.groupBy("words").agg(F.min("id").alias("copy_of"), F.min("bands").alias("bands")))
-    buckets = texts.select(F.posexplode("bands").alias("band", "key"), F.col("copy_of").alias("id"))
+    least = materialise(signed.groupBy("words").agg(F.min("id").alias("copy_of"), F.min("bands").alias("bands")))
+    # a word sequence goes by the least id that has it, and by its own hash if that id has several
+    several = materialise(least.groupBy("copy_of").agg(F.count("*").alias("n")).where("n > 1").select("copy_of", F.lit(True).alias("several")))
+    texts = least.join(several, "copy_of", "left").withColumn("id", F.when(F.col("several"), F.xxhash64("words")).otherwise(F.col("copy_of"))).drop("several")
+    buckets = texts.select(F.posexplode("bands").alias("band", "key"), "id")
     members = materialise(with_heads(buckets))
     # the join is a shuffle at every size, as it is on a large corpus; all comparisons read from what it keeps
-    needed = materialise(own.join(members.select("id").distinct().hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text")))
-    links, roots = settle(needed, texts.select(F.col("copy_of").alias("id"), "bands"), members, idf, similarity, k)
-    degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count("*").alias("n_links"))
-    classes = texts.select("words", "copy_of").join(roots.withColumnRenamed("id", "copy_of"), "copy_of", "left").join(degree, "copy_of", "left")
+    wanted = texts.select("id", "copy_of", "words").join(members.select("id").distinct(), "id", "left_semi")
+    needed = materialise(worded(own).withColumnRenamed("id", "copy_of").join(wanted.hint("merge"), ["copy_of", "words"]).groupBy("id").agg(F.min("text").alias("text")))
+    links, roots = settle(needed, texts.select("id", "bands"), members, idf, similarity, k)
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    if several.head(1):  # the class of a component is its least document, which is not its least node then
+        nodes = roots.select("id", "root").union(roots.select("root", "root")).distinct()
+        roots = nodes.join(nodes.join(texts.select("id", "copy_of"), "id").groupBy("root").agg(F.min("copy_of").alias("first")), "root").select("id", F.col("first").alias("root"))
+    classes = texts.select("words", "id", "copy_of").join(roots, "id", "left").join(degree, "id", "left")
     classes = classes.select("words", "copy_of", F.coalesce("root", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     known = signed.select("id", "words").join(classes, "words").select(F.col("id").alias("doc_id"), "class_id", "copy_of", "n_links")
     silent = own.select("id").join(signed.select("id"), "id", "left_anti").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))

@@ -183,7 +183,7 @@ def merged_index(captures: DataFrame, range_rows: int = 100_000, run_rows: int =
     """
     n = captures.count()
     ranges = max(1, min(64, n // 1000), n // range_rows)
-    key = F.struct("url_key", "ts", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "archive", "offset")
+    key = F.struct("url_key", "ts", F.col("page_id").isNull().alias("unnumbered"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "archive", "offset")
     bounds: list[tuple] = []
     if ranges > 1:
         drawn = captures.sample(min(1.0, 32 * ranges / n), seed=7).select(key.alias("key"))
@@ -206,7 +206,7 @@ def merged_index(captures: DataFrame, range_rows: int = 100_000, run_rows: int =
             held.clear()
 
         for batch in batches:
-            held += (((r[0], r[1], -1 if r[2] is None else r[2], r[3], r[4]), r[5:]) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            held += (((r[0], r[1], r[2] is None, r[2] or 0, r[3], r[4]), r[5:]) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
             if len(held) >= run_rows:
                 yield from cut()
         if held:
@@ -214,7 +214,7 @@ def merged_index(captures: DataFrame, range_rows: int = 100_000, run_rows: int =
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         pieces = sorted((pickle.loads(r) for r in table.column("run").to_pylist()), key=lambda p: p[0][0])
-        rows = [(*k[:2], None if k[2] < 0 else k[2], *k[3:], *v, key[0].as_py(), i) for i, (k, v) in enumerate(LoserTree(pieces))]
+        rows = [(*k[:2], None if k[2] else k[3], *k[4:], *v, key[0].as_py(), i) for i, (k, v) in enumerate(LoserTree(pieces))]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*names, "index_range", "place"])
 
@@ -229,7 +229,8 @@ def merged_index(captures: DataFrame, range_rows: int = 100_000, run_rows: int =
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived, read back, and placed in one global order of captures; one row a page.
 
-    Null html is an empty payload, a null URL the empty key; an empty table gives no rows.
+    Null html is an empty payload, a null URL the empty key; an empty table gives no rows. Of equal keys and times, null ids
+    come last. Repeated rows are archived each for itself.
     """
     table = pages(spark, sf_dir)
     members = materialise(write_archives(winners(table)))
