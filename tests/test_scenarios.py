@@ -5,6 +5,7 @@ from __future__ import annotations
 from conftest import SF
 from pyspark.sql import functions as F
 
+from vantage import registry
 from vantage.functions.fuzzy import least_edits
 from vantage.operators import folds
 from vantage.operators import graph as gr
@@ -242,3 +243,20 @@ def test_reopened_cards_lose_their_decision(spark):
     decided = spark.createDataFrame([("a", "reject"), ("c", "reject"), ("c", "accept"), ("d", "reject")], "id string, action string")
     got = {tuple(r) for r in store.reopen(cards, decided, F.col("run_id") == "r").collect()}
     assert got == {("a", "proposed", None), ("b", "proposed", None), ("c", "accepted", "accept"), ("d", "rejected", "reject"), ("e", "rejected", None)}
+
+
+def test_no_path_from_a_node_to_itself(spark):
+    edges = spark.createDataFrame([("a", "b", "knows", 1)], "source string, target string, predicate string, first_pos int")
+    assert gr.shortest_path(edges, "a", "a").collect() == []
+
+
+def test_no_search_returns_what_lies_beyond_its_horizon(spark):
+    from vantage.plans.catalog import H
+
+    v = Views(spark, SF)
+    vectors = {r[0] for r in v.vectors.where(f"pos > {H}").select("id").collect()}
+    assert vectors and not vectors & {r["id"] for r in registry.queries()["vector_search"](spark, SF).collect()}
+    scenes = {r[0] for r in v.scenes.where(f"coalesce(told_pos, shown_pos, 0) > {H}").select("id").collect()}
+    assert scenes
+    for key in ["rrf_fuse", "lexical_search", "headline"]:
+        assert not scenes & {r["id"] for r in registry.queries()[key](spark, SF).collect()}

@@ -89,13 +89,15 @@ def neighbourhood(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
     """``(step, node, predicate, first_pos)`` of a shortest undirected path of at most ``most`` hops; of several the one least from the end on.
 
-    A step tells by which relation, the first known, it was reached from the step before. No rows if there is no path; the
-    one node if start and end are the same. Frontiers stop at the end node.
+    A step tells by which relation, the first known, it was reached from the step before. No rows if there is no path or if
+    start and end are the same. Frontiers stop at the end node.
     """
+    if start == end:
+        return edges.sparkSession.createDataFrame([], "step int, node string, predicate string, first_pos int")
     links = materialise(both_ways(edges))
     spark = links.sparkSession
     at = spark.createDataFrame([(start,)], "node string")
-    levels, found = [at], start == end
+    levels, found = [at], False
     seen = at
     while not found and len(levels) <= most:
         reached = levels[-1].join(links, "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti")

@@ -26,26 +26,25 @@ def tokens_asked(v):
 
 
 INDEX = f"SELECT token, id, count(*) AS n, min(place) AS place FROM (SELECT id, unnest({tok('summary')}) AS token, generate_subscripts({tok('summary')}, 1) - 1 AS place FROM kg_scenes) GROUP BY token, id"
-LEX = f"i AS ({INDEX}), q AS ({QSQL}), h AS (SELECT query_id, id, count(*) AS matched, sum(n) AS n FROM q JOIN i USING (token) WHERE wanted GROUP BY query_id, id), b AS (SELECT DISTINCT query_id, id FROM q JOIN i USING (token) WHERE NOT wanted), lex AS (SELECT * FROM (SELECT query_id, id, matched, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, n DESC, id) AS rank FROM h ANTI JOIN b USING (query_id, id)) WHERE rank <= 20)"
-
-
-def index(v):
-    return se.inverted_index(v.scenes, "id", "summary")
+#: The index as a search sees it: nothing told beyond the horizon.
+SEEN = INDEX.replace("FROM kg_scenes)", "FROM kg_scenes WHERE coalesce(told_pos, shown_pos, 0) <= $h)")
+LEX = f"i AS ({SEEN}), q AS ({QSQL}), h AS (SELECT query_id, id, count(*) AS matched, sum(n) AS n FROM q JOIN i USING (token) WHERE wanted GROUP BY query_id, id), b AS (SELECT DISTINCT query_id, id FROM q JOIN i USING (token) WHERE NOT wanted), lex AS (SELECT * FROM (SELECT query_id, id, matched, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, n DESC, id) AS rank FROM h ANTI JOIN b USING (query_id, id)) WHERE rank <= 20)"
 
 
 def lexical(v):
-    return se.lexical(index(v), tokens_asked(v), 20)
+    return se.lexical(se.inverted_index(hz.asof_scenes(v.scenes, H), "id", "summary"), tokens_asked(v), 20)
 
 
 @query("fts_index", INDEX)
 def fts_index(v):
-    return index(v)
+    """Every scene, whenever it is told: a search cuts by its horizon."""
+    return se.inverted_index(v.scenes, "id", "summary")
 
 
 #: Query, clause (none: excluded), phrase. q1: dans "de la" -idiot; q2: worthless or "of the"; q3: "auf der" und -nicht; q4: name 12.
 WEB = [("q1", 0, "dans"), ("q1", 1, "de la"), ("q1", None, "idiot"), ("q2", 0, "worthless"), ("q2", 0, "of the"), ("q3", 0, "auf der"), ("q3", 1, "und"), ("q3", None, "nicht"), ("q4", 0, "name"), ("q4", 1, "12")]
 #: Passages are numbered by document, not by month, so no horizon cuts them.
-FIVE = "SELECT DISTINCT 'label' AS source, concat(entity_id, ' ', label) AS id, label AS text FROM kg_names WHERE revealed_pos <= $h UNION ALL SELECT 'passage', CAST(doc_id AS VARCHAR), text FROM kg_passages UNION ALL SELECT 'scene', id, summary FROM kg_scenes WHERE coalesce(told_pos, shown_pos, 0) <= $h UNION ALL SELECT 'question', id, question FROM kg_questions WHERE opened_pos <= $h UNION ALL SELECT 'description', id, description FROM kg_evidence WHERE description IS NOT NULL"
+FIVE = "SELECT DISTINCT 'label' AS source, concat(entity_id, ' ', label) AS id, label AS text FROM kg_names WHERE revealed_pos <= $h UNION ALL SELECT 'passage', CAST(doc_id AS VARCHAR), text FROM kg_passages UNION ALL SELECT 'scene', id, summary FROM kg_scenes WHERE coalesce(told_pos, shown_pos, 0) <= $h UNION ALL SELECT 'question', id, question FROM kg_questions WHERE opened_pos <= $h UNION ALL SELECT 'description', id, description FROM kg_evidence WHERE description IS NOT NULL AND assertion_id IN (SELECT id FROM kg_assertions WHERE status = 'accepted' AND from_pos <= $h AND (until_pos IS NULL OR until_pos > $h))"
 
 
 def five_sources(v):
@@ -53,7 +52,8 @@ def five_sources(v):
     passage = v.passages.select(F.lit("passage"), F.col("doc_id").cast("string"), "text")
     scene = hz.asof_scenes(v.scenes, H).select(F.lit("scene"), "id", "summary")
     question = hz.asof(v.questions, "opened_pos", H).select(F.lit("question"), "id", "question")
-    return label.union(passage).union(scene).union(question).union(v.evidence.where("description IS NOT NULL").select(F.lit("description"), "id", "description"))
+    description = hz.asof_evidence(v.evidence.where("description IS NOT NULL"), v.assertions, H).select(F.lit("description"), "id", "description")
+    return label.union(passage).union(scene).union(question).union(description)
 
 
 @query("lexical_search", "WITH src AS (" + FIVE + "), t AS (SELECT source, id, " + tok("text") + " AS w FROM src), term AS (SELECT query_id, clause, string_split(p, ' ') AS p FROM (VALUES " + ", ".join(f"('{q}', {'NULL' if c is None else c}, '{p}')" for q, c, p in WEB) + """) AS x(query_id, clause, p)),
@@ -68,9 +68,9 @@ def lexical_search(v):
     return se.web_search(five_sources(v), asked, 20)
 
 
-@query("headline", f"WITH t AS (SELECT id, {tok('summary')} AS w FROM kg_scenes), f AS (SELECT id, w, list_position(w, 'tion') AS p FROM t WHERE list_contains(w, 'tion')) SELECT id, array_to_string(w[greatest(1, p - 8):p + 8], ' ') AS headline FROM f")
+@query("headline", f"WITH t AS (SELECT id, {tok('summary')} AS w FROM kg_scenes WHERE coalesce(told_pos, shown_pos, 0) <= $h), f AS (SELECT id, w, list_position(w, 'tion') AS p FROM t WHERE list_contains(w, 'tion')) SELECT id, array_to_string(w[greatest(1, p - 8):p + 8], ' ') AS headline FROM f")
 def headline(v):
-    w = v.scenes.select("id", tx.tokens(F.col("summary")).alias("w")).where(F.array_contains("w", "tion")).withColumn("p", F.array_position("w", "tion").cast("int"))
+    w = hz.asof_scenes(v.scenes, H).select("id", tx.tokens(F.col("summary")).alias("w")).where(F.array_contains("w", "tion")).withColumn("p", F.array_position("w", "tion").cast("int"))
     a = F.greatest(F.lit(1), F.col("p") - 8)
     return w.select("id", F.array_join(F.slice("w", a, F.col("p") + 9 - a), " ").alias("headline"))
 
@@ -93,11 +93,11 @@ def entity_lookup(v):
     return hz.first_by(found, ["entity_id"], [F.length("label").asc(), F.asc("label")]).orderBy(F.length("label"), "entity_id").limit(40).select("entity_id", "label")
 
 
-VEC = "vec AS (SELECT * FROM (SELECT q.id AS query_id, c.id, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.id) AS rank FROM kg_vectors q JOIN kg_vectors c ON c.id <> q.id WHERE q.vec_id < 5) WHERE rank <= 10)"
+VEC = "vec AS (SELECT * FROM (SELECT q.id AS query_id, c.id, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.id) AS rank FROM kg_vectors q JOIN kg_vectors c ON c.id <> q.id AND c.pos <= $h WHERE q.vec_id < 5) WHERE rank <= 10)"
 
 
 def vectors(v):
-    return se.vector_search(v.vectors, v.vectors.where("vec_id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), 10)
+    return se.vector_search(hz.asof(v.vectors, "pos", H), v.vectors.where("vec_id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), 10)
 
 
 @query("vector_search", f"WITH {VEC} SELECT query_id, id, round(score, 6) AS score, rank FROM vec")
@@ -115,7 +115,7 @@ def rrf_fuse(v):
 
 #: The vector of each query stands for its text.
 QUERY_VECTOR = {"q1": 1, "q2": 2, "q3": 3}
-SEMANTIC = "sem AS (SELECT * FROM (SELECT t.query_id, c.id, row_number() OVER (PARTITION BY t.query_id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.id) AS rank FROM (VALUES " + ", ".join(f"('{q}', {i})" for q, i in QUERY_VECTOR.items()) + ") AS t(query_id, vec_id) JOIN kg_vectors q ON q.vec_id = t.vec_id JOIN kg_vectors c ON c.kind = 'entity') WHERE rank <= 20)"
+SEMANTIC = "sem AS (SELECT * FROM (SELECT t.query_id, c.id, row_number() OVER (PARTITION BY t.query_id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.id) AS rank FROM (VALUES " + ", ".join(f"('{q}', {i})" for q, i in QUERY_VECTOR.items()) + ") AS t(query_id, vec_id) JOIN kg_vectors q ON q.vec_id = t.vec_id JOIN kg_vectors c ON c.kind = 'entity' AND c.pos <= $h) WHERE rank <= 20)"
 ALL_MODES = FOLDED + f""", {LEX}, {FZ}, {SEMANTIC},
     three AS (SELECT query_id, id, rank, 'lexical' AS mode FROM lex UNION ALL SELECT query_id, id, rank, 'fuzzy' FROM fz UNION ALL SELECT query_id, id, rank, 'semantic' FROM sem),
     seeds AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sum(1 / (60 + rank)) DESC, id) AS k FROM three WHERE id IN (SELECT root FROM deg) GROUP BY query_id, id) WHERE k <= 5),
@@ -128,7 +128,7 @@ def modes(v):
     """Ranked lists of every mode: lexical, fuzzy and semantic, then the neighbours in the graph of the five best entities of these."""
     asked = F.broadcast(v.spark.createDataFrame(list(QUERY_VECTOR.items()), "query_id string, vec_id long"))  # one row a query
     wanted = v.vectors.join(asked, "vec_id").select("query_id", F.col("embedding").alias("q"))
-    lists = {"lexical": lexical(v), "fuzzy": fuzzy(v), "semantic": se.vector_search(v.vectors.where("kind = 'entity'"), wanted, 20)}
+    lists = {"lexical": lexical(v), "fuzzy": fuzzy(v), "semantic": se.vector_search(hz.asof(v.vectors.where("kind = 'entity'"), "pos", H), wanted, 20)}
     lists = {mode: materialise(df.select("query_id", "id", "rank")) for mode, df in lists.items()}
     edges = materialise(gr.fold_edges(v.assertions, idn.identity_components(v.entities, v.assertions, H), H))
     return lists | {"graph": se.expand_best(lists, gr.both_ways(edges), gr.node_degree(edges), 5, 25)}
