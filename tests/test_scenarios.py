@@ -86,7 +86,7 @@ def test_components_of_nothing(spark):
 def test_shortest_path_tells_the_way(spark):
     edges = spark.createDataFrame([("a", "owns", "b", 5), ("b", "gives", "a", 3), ("c", "seeks", "b", 9), ("x", "owns", "y", 1)], "source string, predicate string, target string, first_pos int")
     path = lambda a, b, most=6: sorted(tuple(r) for r in gr.shortest_path(edges, a, b, most).collect())
-    assert path("a", "x") == [] and path("a", "a") == [(0, "a", None, None)] and path("a", "c", 1) == []
+    assert path("a", "x") == [] and path("a", "a") == [] and path("a", "c", 1) == []
     assert path("a", "c") == [(0, "a", None, None), (1, "b", "gives", 3), (2, "c", "seeks", 9)]
 
 
@@ -253,10 +253,11 @@ def test_no_path_from_a_node_to_itself(spark):
 def test_no_search_returns_what_lies_beyond_its_horizon(spark):
     from vantage.plans.catalog import H
 
-    v = Views(spark, SF)
+    wider = "/root/testdata/sf0.01"  # the smallest tables tell no scene beyond the horizon
+    v = Views(spark, wider)
     vectors = {r[0] for r in v.vectors.where(f"pos > {H}").select("id").collect()}
-    assert vectors and not vectors & {r["id"] for r in registry.queries()["vector_search"](spark, SF).collect()}
+    assert vectors and not vectors & {r["id"] for r in registry.queries()["vector_search"](spark, wider).collect()}
     scenes = {r[0] for r in v.scenes.where(f"coalesce(told_pos, shown_pos, 0) > {H}").select("id").collect()}
     assert scenes
     for key in ["rrf_fuse", "lexical_search", "headline"]:
-        assert not scenes & {r["id"] for r in registry.queries()[key](spark, SF).collect()}
+        assert not scenes & {r["id"] for r in registry.queries()[key](spark, wider).collect()}
