@@ -5,6 +5,10 @@ if both of these are among the proposed: that covers the proposals and the borde
 all their parts are. A frequent phrase outside the proposals is a failure of the border: it joins the proposals, and another
 pass counts the phrases that this lets in. When none is left, every frequent phrase has been counted, whatever the sample held.
 
+The whole pass reads the texts twice. The first reading counts proposals and border by 64-bit hash, which is never less than
+the count of a phrase; the second counts by its words what reached the support by its hash. So no rare phrase is shuffled as
+text, and equal hashes cannot change a count.
+
 Proposals are kept as bits of a fixed number at most. A false bit only lets further phrases be counted, so the result does not
 depend on it; with far more phrases than bits a pass counts all phrases.
 """
@@ -107,14 +111,15 @@ class Filter:
         return (a & b & 1).astype(bool)
 
     def union(self, phrases: DataFrame) -> Filter:
-        """With the phrases ``(lang, phrase)`` put in. Segments of bits come to the driver, as many as the filter has."""
+        """With the phrases ``(lang, phrase)``, or hashes ``(h)``, put in. Segments of bits come to the driver, as many as the filter has."""
         held = Filter(np.zeros(0, np.uint8), self.log)
 
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(0, np.uint32)
             for batch in batches:
                 if batch.num_rows:
-                    found = held.places(phrase_hashes(batch.column(0), batch.column(1)))
+                    h = batch.column(0).to_numpy().view(np.uint64) if batch.num_columns == 1 else phrase_hashes(batch.column(0), batch.column(1))
+                    found = held.places(h)
                     seen = np.union1d(seen, np.concatenate(found).astype(np.uint32))
             part = seen >> np.uint32(SEGMENT_LOG)
             for s in np.unique(part):
@@ -128,7 +133,7 @@ class Filter:
             return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
         out, size = self.bits.copy(), 1 << (SEGMENT_LOG - 3)
-        packed = phrases.select("lang", "phrase").mapInArrow(put, "segment int, places binary").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
+        packed = phrases.select(*(["h"] if "h" in phrases.columns else ["lang", "phrase"])).mapInArrow(put, "segment int, places binary").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
         for segment, raw in packed.collect():
             out[segment * size : (segment + 1) * size] |= np.frombuffer(raw, np.uint8)
         return Filter(out, self.log)
@@ -163,8 +168,11 @@ class Vocabulary:
             yield pa.record_batch([lang, pa.array(np.full(len(at), k, np.int32)), phrase, pa.array(n[a : a + BATCH_ROWS].astype(np.int64))], ["lang", "words", "phrase", "n"])
 
 
-def count_pass(texts: pa.Array, lang: pa.Array, new: Filter, old: Filter | None, lengths: range) -> Iterator[pa.RecordBatch]:
-    """Counts in one pass of the phrases of ``lengths`` that ``new`` lets in and ``old`` does not, and of all words by language."""
+def phrases_of_pass(texts: pa.Array, lang: pa.Array, new: Filter, old: Filter | None, lengths: range) -> Iterator[tuple[Vocabulary, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """In one pass, by length: vocabulary, first places, words, counts and hashes of the phrases that ``new`` lets in and ``old`` does not.
+
+    All words of each language come first, as phrases of no word, if 1 is among the ``lengths``.
+    """
     words, piece = split_words(*text_bytes(texts))
     if not len(words.starts):
         return
@@ -173,9 +181,9 @@ def count_pass(texts: pa.Array, lang: pa.Array, new: Filter, old: Filter | None,
     v = Vocabulary(words, of_doc, langs)
     if 1 in lengths:
         n = np.bincount(of_doc[words.doc], minlength=len(langs))
-        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(np.zeros(len(n), np.int32)), pa.array([""] * len(n), pa.string()), pa.array(n)], ["lang", "words", "phrase", "n"])
+        yield v, np.zeros(0, np.int64), 0, n, np.zeros(0, np.uint64)
         if old is None:
-            yield from v.rows(v.first, 1, v.counts)
+            yield v, v.first, 1, v.counts, v.hash
     total = len(words.starts)
     ids, h = v.ids.astype(np.int64), v.hash[v.ids]
     inside = new.has(v.hash)[v.ids]
@@ -190,11 +198,11 @@ def count_pass(texts: pa.Array, lang: pa.Array, new: Filter, old: Filter | None,
         codes, first, inverse, n = np.unique(ids[at] * len(v.word) + v.ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
         first = at[first]
         known = np.zeros(len(codes), bool) if old is None else before[first] & before[first + 1]
+        own = extend(h[first], v.hash[v.ids[first + k - 1]])
         if k in lengths:
-            yield from v.rows(first[~known], k, n[~known])
+            yield v, first[~known], k, n[~known], own[~known]
         if k == lengths[-1]:
             return
-        own = extend(h[first], v.hash[v.ids[first + k - 1]])
         ids, h, inside = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, bool)
         ids[at], h[at], inside[at] = inverse, own[inverse], new.has(own)[inverse]
         if old is not None:
@@ -202,13 +210,34 @@ def count_pass(texts: pa.Array, lang: pa.Array, new: Filter, old: Filter | None,
             before[at] = was[inverse]
 
 
-def count_phrases(table: DataFrame, new: Filter, old: Filter | None, lengths: range) -> DataFrame:
-    """``(lang, words, phrase, n)`` over ``table`` (lang, text); a row with 0 words has the words of a language if 1 is asked for."""
-    spread = table.sparkSession.sparkContext.broadcast((new, old))
+def count_hashes(table: DataFrame, new: Filter, lengths: range) -> DataFrame:
+    """``(h, n)``: counts over ``table`` (lang, text) of the phrases that ``new`` lets in, by hash; never less than a phrase's own."""
+    spread = table.sparkSession.sparkContext.broadcast(new)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", PASS_BYTES):
+            for _, _, k, n, h in phrases_of_pass(part.column(1), part.column(0), spread.value, None, lengths):
+                for a in range(0, len(h), BATCH_ROWS):
+                    yield pa.record_batch([pa.array(h[a : a + BATCH_ROWS].view(np.int64)), pa.array(n[a : a + BATCH_ROWS].astype(np.int64))], ["h", "n"])
+
+    return table.select("lang", "text").mapInArrow(send, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def count_phrases(table: DataFrame, new: Filter, old: Filter | None, lengths: range, among: Filter | None = None) -> DataFrame:
+    """``(lang, words, phrase, n)`` over ``table`` (lang, text), of the phrases ``among`` if given; a row with 0 words has the words of a language if 1 is asked for."""
+    spread = table.sparkSession.sparkContext.broadcast((new, old, among))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, old, among = spread.value
         for part in slices(batches, "text", PASS_BYTES):
-            yield from count_pass(part.column(1), part.column(0), *spread.value, lengths)
+            for v, first, k, n, h in phrases_of_pass(part.column(1), part.column(0), new, old, lengths):
+                if k == 0:
+                    yield pa.record_batch([pa.array(v.langs, pa.string()), pa.array(np.zeros(len(n), np.int32)), pa.array([""] * len(n), pa.string()), pa.array(n)], ["lang", "words", "phrase", "n"])
+                    continue
+                if among is not None:
+                    kept = among.has(h)
+                    first, n = first[kept], n[kept]
+                yield from v.rows(first, k, n)
 
     rows = table.select("lang", "text").mapInArrow(send, "lang string, words int, phrase string, n long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
@@ -237,7 +266,9 @@ def frequent_phrases(table: DataFrame, support: int = SUPPORT, sample: int = SAM
     drawn = materialise(own.where(F.pmod("draw", F.lit(sample)) == 0).select("lang", "text"))
     for k in range(1, LONGEST):
         proposed = proposed.union(count_phrases(drawn, proposed, None, range(k, k + 1)).where((F.col("words") == k) & (F.col("n") >= sample_support)))
-    found = materialise(count_phrases(own, proposed, None, range(1, LONGEST + 1)).where((F.col("n") >= support) | (F.col("words") == 0)))
+    # most of the border is rare: it is counted by hash, and what may reach the support once more by its words
+    among = Filter(np.zeros_like(proposed.bits), proposed.log).union(count_hashes(own, proposed, range(1, LONGEST + 1)).where(F.col("n") >= support))
+    found = materialise(count_phrases(own, proposed, None, range(1, LONGEST + 1), among).where((F.col("n") >= support) | (F.col("words") == 0)))
     failures, last, passes = materialise(outside(found, proposed)), found, 1
     while failures.head(1):
         wider = proposed.union(failures)
