@@ -5,9 +5,9 @@ if both of these are among the proposed: that covers the proposals and the borde
 all their parts are. A frequent phrase outside the proposals is a failure of the border: it joins the proposals, and another
 pass counts the phrases that this lets in. When none is left, every frequent phrase has been counted, whatever the sample held.
 
-The whole pass reads the texts twice. The first reading counts proposals and border by 64-bit hash, which is never less than
-the count of a phrase; the second counts by its words what reached the support by its hash. So no rare phrase is shuffled as
-text, and equal hashes cannot change a count.
+The whole pass reads the texts twice. The first reading counts proposals and border by the head of their hash, which is never
+less than the count of a phrase; the second counts by its words what reached the support by its head. So no rare phrase is
+shuffled as text, and equal heads cannot change a count.
 
 Proposals are kept as bits of a fixed number at most. A false bit only lets further phrases be counted, so the result does not
 depend on it; with far more phrases than bits a pass counts all phrases.
@@ -38,6 +38,8 @@ SAMPLE, SAMPLE_SUPPORT = 8, 2
 BIT_CHARS, LEAST_LOG, MOST_LOG = 32, 16, 28
 #: Text that one numpy pass counts; phrases that one record batch carries; bits of a segment of the filter.
 PASS_BYTES, BATCH_ROWS, SEGMENT_LOG = 2 << 20, 1 << 16, 16
+#: Counts that one task holds before it sends them, the most that such a count says, and the characters (as bits) of a bucket of them.
+HELD_ROWS, MOST_HELD, BUCKET_LOG = 1 << 21, 255, 21
 ANY = "und"
 
 _KIND = np.zeros(256, np.uint8)
@@ -210,21 +212,57 @@ def phrases_of_pass(texts: pa.Array, lang: pa.Array, new: Filter, old: Filter |
             before[at] = was[inverse]
 
 
-def count_hashes(table: DataFrame, new: Filter, lengths: range) -> DataFrame:
-    """``(h, n)``: counts over ``table`` (lang, text) of the phrases that ``new`` lets in, by hash; never less than a phrase's own."""
-    spread = table.sparkSession.sparkContext.broadcast(new)
+def combined(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct heads, ascending, and their counts up to ``MOST_HELD`` from codes with a head above eight bits of count."""
+    every = np.concatenate(codes)
+    every.sort()
+    heads = every >> np.uint64(8)
+    first = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
+    return heads[first], np.minimum(np.add.reduceat(every & np.uint64(MOST_HELD), first), MOST_HELD)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", PASS_BYTES):
-            for _, _, k, n, h in phrases_of_pass(part.column(1), part.column(0), spread.value, None, lengths):
-                for a in range(0, len(h), BATCH_ROWS):
-                    yield pa.record_batch([pa.array(h[a : a + BATCH_ROWS].view(np.int64)), pa.array(n[a : a + BATCH_ROWS].astype(np.int64))], ["h", "n"])
 
-    return table.select("lang", "text").mapInArrow(send, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def frequent_heads(table: DataFrame, new: Filter, lengths: range, support: int, log: int) -> DataFrame:
+    """``(h)``: heads of ``log + 32`` bits of the hashes of all phrases over ``table`` (lang, text) that ``new`` lets in and that reach ``support``.
+
+    A head counts for all phrases that share it and counts stop at ``MOST_HELD``, as does the support here: no phrase that
+    reaches it is missed, some others may be met. Counts travel as five bytes each, in buckets by the first ``log`` bits.
+    """
+    spread, shift, least = table.sparkSession.sparkContext.broadcast(new), np.uint64(32 - log), min(support, MOST_HELD)
 
+    def pack(codes: list[np.ndarray]) -> pa.RecordBatch:
+        heads, n = combined(codes)
+        bucket = heads >> np.uint64(32)
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(heads))
+        low, n = heads.astype("<u4"), n.astype(np.uint8)
+        parts = list(zip(edge[:-1], edge[1:]))
+        columns = [pa.array(bucket[edge[:-1]].astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in (low, n))]
+        return pa.record_batch(columns, ["bucket", "heads", "counts"])
 
-def count_phrases(table: DataFrame, new: Filter, old: Filter | None, lengths: range, among: Filter | None = None) -> DataFrame:
-    """``(lang, words, phrase, n)`` over ``table`` (lang, text), of the phrases ``among`` if given; a row with 0 words has the words of a language if 1 is asked for."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in slices(batches, "text", PASS_BYTES):
+            for _, _, k, n, h in phrases_of_pass(part.column(1), part.column(0), spread.value, None, lengths):
+                if k and len(h):
+                    held.append((h >> shift << np.uint64(8)) | np.minimum(n, MOST_HELD).astype(np.uint64))
+                    size += len(h)
+            if size >= HELD_ROWS:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        codes = [(np.frombuffer(h, "<u4").astype(np.uint64) << np.uint64(8)) | np.frombuffer(n, np.uint8) for h, n in zip(group.column("heads").to_pylist(), group.column("counts").to_pylist())]
+        heads, n = combined(codes)
+        whole = (heads[n >= least] | (np.uint64(key[0].as_py()) << np.uint64(32))) << shift
+        return pa.table([pa.array(whole.view(np.int64))], ["h"])
+
+    packed = table.select("lang", "text").mapInArrow(send, "bucket long, heads binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(merge, "h long")
+
+
+def count_phrases(table: DataFrame, new: Filter, old: Filter | None, lengths: range, among: tuple[Filter, int] | None = None) -> DataFrame:
+    """``(lang, words, phrase, n)`` over ``table`` (lang, text), of the phrases whose head is ``among`` (filter, bits beyond 32) if given; a row with 0 words has the words of a language if 1 is asked for."""
     spread = table.sparkSession.sparkContext.broadcast((new, old, among))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +273,8 @@ def count_phrases(table: DataFrame, new: Filter, old: Filter | None, lengths: ra
                     yield pa.record_batch([pa.array(v.langs, pa.string()), pa.array(np.zeros(len(n), np.int32)), pa.array([""] * len(n), pa.string()), pa.array(n)], ["lang", "words", "phrase", "n"])
                     continue
                 if among is not None:
-                    kept = among.has(h)
+                    shift = np.uint64(32 - among[1])
+                    kept = among[0].has(h >> shift << shift)
                     first, n = first[kept], n[kept]
                 yield from v.rows(first, k, n)
 
@@ -262,12 +301,14 @@ def frequent_phrases(table: DataFrame, support: int = SUPPORT, sample: int = SAM
     the table; it decides only how many passes are needed (four at most).
     """
     own = table.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(ANY)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("draw"))
-    proposed = Filter.empty(own.agg(F.sum(F.length("text"))).first()[0] or 0)
+    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    proposed = Filter.empty(chars)
     drawn = materialise(own.where(F.pmod("draw", F.lit(sample)) == 0).select("lang", "text"))
     for k in range(1, LONGEST):
         proposed = proposed.union(count_phrases(drawn, proposed, None, range(k, k + 1)).where((F.col("words") == k) & (F.col("n") >= sample_support)))
     # most of the border is rare: it is counted by hash, and what may reach the support once more by its words
-    among = Filter(np.zeros_like(proposed.bits), proposed.log).union(count_hashes(own, proposed, range(1, LONGEST + 1)).where(F.col("n") >= support))
+    log = min(24, max(8, int(chars).bit_length() - BUCKET_LOG))
+    among = Filter(np.zeros_like(proposed.bits), proposed.log).union(frequent_heads(own, proposed, range(1, LONGEST + 1), support, log)), log
     found = materialise(count_phrases(own, proposed, None, range(1, LONGEST + 1), among).where((F.col("n") >= support) | (F.col("words") == 0)))
     failures, last, passes = materialise(outside(found, proposed)), found, 1
     while failures.head(1):
