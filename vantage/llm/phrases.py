@@ -37,9 +37,9 @@ SAMPLE, SAMPLE_SUPPORT = 8, 2
 #: The filter has a bit for each BIT_CHARS characters, 2**MOST_LOG bits (32 MB) at most.
 BIT_CHARS, LEAST_LOG, MOST_LOG = 32, 16, 28
 #: Text that one numpy pass counts; phrases that one record batch carries; bits of a segment of the filter.
-PASS_BYTES, BATCH_ROWS, SEGMENT_LOG = 2 << 20, 1 << 16, 16
+PASS_BYTES, BATCH_ROWS, SEGMENT_LOG = 1 << 20, 1 << 16, 16
 #: Counts that one task holds before it sends them, the most that such a count says, and the characters (as bits) of a bucket of them.
-HELD_ROWS, MOST_HELD, BUCKET_LOG = 1 << 21, 255, 21
+HELD_ROWS, MOST_HELD, BUCKET_LOG = 1 << 20, 255, 21
 ANY = "und"
 
 _KIND = np.zeros(256, np.uint8)
