@@ -11,7 +11,7 @@ from vantage.operators import folds
 from vantage.operators import graph as gr
 from vantage.operators import horizon as hz
 from vantage.operators import identity as idn
-from vantage.operators import search, store
+from vantage.operators import search, store, validate
 from vantage.operators import text as tx
 from vantage.operators.components import components_of_few, connected_components
 from vantage.operators.grams import jaccard_join, overlap_join, within_hamming
@@ -261,3 +261,20 @@ def test_no_search_returns_what_lies_beyond_its_horizon(spark):
     assert scenes
     for key in ["rrf_fuse", "lexical_search", "headline"]:
         assert not scenes & {r["id"] for r in registry.queries()[key](spark, wider).collect()}
+
+
+def test_conflicts_of_three_kinds_and_no_others(spark):
+    rows = [("b1", "zoe", "dies_at", "hill", 3, None), ("b2", "zoe", "member_of", "crew", 2, None), ("b3", "ann", "leads", "Crew", 2, 8), ("b4", "ann", "leads", "", 1, None), ("b5", "crew", "knows", "ann", 5, None), ("b6", "ann", "member_of", "club", 1, None), ("b7", "bo", "dies_at", None, 1, None)]
+    accepted = spark.createDataFrame([(*r, "accepted") for r in rows] + [("b8", "zoe", "dies_at", "sea", 1, None, "proposed")], "id string, subject string, predicate string, object string, from_pos int, until_pos int, status string")
+    claims = [
+        ("dead acts", "zoe", "gives", "sword", 5), ("at once", "zoe", "gives", "sword", 3), ("no action", "zoe", "knows", "ann", 5), ("dead bo", "bo", "eats", "pie", 5), ("other death", "zoe", "dies_at", "sea", 5), ("same death", "zoe", "dies_at", "HILL", 5),
+        ("second lead", "ann", "leads", "guild", 5), ("same lead", "ann", "leads", "crew", 5), ("closed", "ann", "leads", "guild", 8), ("many", "ann", "member_of", "guild", 5),
+        ("refute", "zoe", "refutes", "crew", 5), ("turned", "crew", "contradicts", "zoe", 5), ("too early", "ann", "refutes", "crew", 2), ("both", "ann", "refutes", "crew", 6), ("no end", "zoe", "refutes", None, 5),
+    ]
+    proposed = spark.createDataFrame(claims, "id string, subject string, predicate string, object string, pos int")
+    got = sorted(tuple(r) for r in validate.conflicts(proposed, accepted).collect())
+    assert got == sorted([
+        ("dead acts", "b1", "action after death", 3), ("dead bo", "b7", "action after death", 1), ("other death", "b1", "another answer", 3), ("second lead", "b3", "another answer", 2),
+        ("refute", "b2", "explicit refutation", 2), ("turned", "b2", "explicit refutation", 2), ("both", "b5", "explicit refutation", 5),  # names are compared after normalising, the ends of a refutation as they are
+    ])
+    assert validate.conflicts(proposed.limit(0), accepted).count() == validate.conflicts(proposed, accepted.limit(0)).count() == 0

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantage.operators import horizon as hz
 from vantage.operators import identity as idn
+from vantage.operators import text as tx
+
+# Predicates that refute, that tell a death, that admit one answer, and whose subject must be alive.
+REFUTING, DEATH = ["refutes", "contradicts"], "dies_at"
+SINGLE = ["dies_at", "parent_of", "child_of", "belongs_to_species", "leads"]
+ACTIONS = ["fights", "speaks_to", "meets", "travels_to", "travels_from", "captures", "protects", "creates", "destroys", "promises", "seeks", "kills", "injures", "knocks_out", "gives", "receives", "eats"]
 
 
 def first_reason(*checks: tuple[Column, str]) -> Column:
@@ -35,11 +40,26 @@ def check_types(assertions: DataFrame, entities: DataFrame, ontology: DataFrame)
     return typed.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("reversed_fits", F.coalesce(turned, F.lit(False)))
 
 
-def single_valued_clashes(assertions: DataFrame, predicate: str, at: int) -> DataFrame:
-    """Assertions learned at ``at`` against those known before and still open, of the same subject with another object."""
-    before = hz.asof_assertions(assertions, at - 1).where(F.col("predicate") == predicate).select("subject", F.col("id").alias("old"), F.col("object").alias("was"))
-    new = assertions.where((F.col("from_pos") == at) & (F.col("predicate") == predicate) & (F.col("status") == "accepted"))
-    return new.join(before, "subject").where("object <> was").select("id", "old", "subject", "object", "was")
+def conflicts(proposed: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``(id, old, kind, since)``: proposals against what was accepted before their position and still holds there.
+
+    ``proposed`` has (id, subject, predicate, object, pos); ``accepted`` (id, subject, predicate, object, from_pos, until_pos,
+    status). A refutation meets only the facts that join its two ends, in either order, and nothing else. An action meets each
+    death of its subject. A predicate that admits one answer meets another answer, compared after normalising; empty and null
+    ends say nothing. Each kind is an equi-join on what it must share, over the few facts that can take part.
+    """
+    new = proposed.select("id", "subject", "predicate", "object", "pos")
+    old = accepted.where("status = 'accepted'").select(F.col("id").alias("old"), F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), "from_pos", "until_pos")
+    before = (F.col("from_pos") < F.col("pos")) & (F.col("until_pos").isNull() | (F.col("until_pos") > F.col("pos")))
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    refuting = new.where(F.col("predicate").isin(REFUTING) & F.col("object").isNotNull()).select("id", "pos", *pair("subject", "object"))
+    refuted = refuting.join(old.where("o IS NOT NULL").select("old", "from_pos", "until_pos", *pair("s", "o")), ["a", "b"]).where(before)
+    died = new.where(F.col("predicate").isin(ACTIONS)).join(old.where(F.col("p") == DEATH), F.col("subject") == F.col("s")).where(before)
+    answer = new.where(F.col("predicate").isin(SINGLE)).withColumn("x", tx.normalise(F.col("object"))).where("x <> ''")
+    other = old.where(F.col("p").isin(SINGLE)).withColumn("y", tx.normalise(F.col("o"))).where("y <> ''")
+    clash = answer.join(other, (F.col("subject") == F.col("s")) & (F.col("predicate") == F.col("p"))).where(before & (F.col("x") != F.col("y")))
+    rows = lambda df, kind: df.select("id", "old", F.lit(kind).alias("kind"), F.col("from_pos").alias("since"))
+    return rows(refuted, "explicit refutation").union(rows(died, "action after death")).union(rows(clash, "another answer"))
 
 
 def unordered(a: str = "subject", b: str = "object") -> list[Column]:

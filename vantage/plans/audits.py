@@ -79,12 +79,22 @@ def transcription_filter(v):
     return v.lineitem.where("l_quantity > 0").join(v.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("k"))
 
 
-CLASH = "SELECT n.id, o.id AS old, n.subject, n.object, o.object AS was FROM kg_assertions n JOIN kg_assertions o ON o.subject = n.subject AND o.predicate = n.predicate AND o.object <> n.object WHERE n.predicate = 'owns' AND n.status = 'accepted' AND n.from_pos = $h AND o.status = 'accepted' AND o.from_pos <= $h - 1 AND (o.until_pos IS NULL OR o.until_pos > $h - 1)"
+#: What the tables tell as the predicates of conflicts: a customer's open lines are deaths and leads, cards refute where a customer lives.
+CLAIMED = "SELECT id, pos, CASE WHEN predicate = 'same_as' AND seq % 2 = 0 THEN concat('n', seq % 25) ELSE subject END AS subject, CASE predicate WHEN 'same_as' THEN 'refutes' WHEN 'owns' THEN 'leads' ELSE predicate END AS predicate, CASE WHEN predicate <> 'same_as' THEN object WHEN seq % 2 = 0 THEN subject ELSE concat('n', seq % 25) END AS object FROM {p} WHERE category = 'assertion' AND status = 'proposed'"
+HELD = "SELECT id, subject, CASE WHEN predicate = 'seeks' AND from_pos % 2 = 0 THEN 'dies_at' WHEN predicate = 'seeks' THEN 'leads' ELSE predicate END AS predicate, object, from_pos, until_pos, status FROM {a}"
+CLASH = f"WITH n AS ({CLAIMED.format(p='kg_proposals')}), o AS ({HELD.format(a='kg_assertions')})" + """, k AS (SELECT n.id, o.id AS old, o.from_pos AS since, CASE
+        WHEN n.predicate IN ('refutes', 'contradicts') THEN CASE WHEN (n.subject = o.subject AND n.object = o.object) OR (n.subject = o.object AND n.object = o.subject) THEN 'explicit refutation' END
+        WHEN n.subject <> o.subject THEN NULL
+        WHEN o.predicate = 'dies_at' AND n.predicate IN ('fights', 'speaks_to', 'meets', 'travels_to', 'travels_from', 'captures', 'protects', 'creates', 'destroys', 'promises', 'seeks', 'kills', 'injures', 'knocks_out', 'gives', 'receives', 'eats') THEN 'action after death'
+        WHEN n.predicate = o.predicate AND n.predicate IN ('dies_at', 'parent_of', 'child_of', 'belongs_to_species', 'leads') AND lower(n.object) <> lower(o.object) THEN 'another answer' END AS kind
+    FROM n JOIN o ON (o.subject = n.subject OR o.subject = n.object) AND o.status = 'accepted' AND o.from_pos < n.pos AND (o.until_pos IS NULL OR o.until_pos > n.pos))
+    SELECT id, old, kind, since FROM k WHERE kind IS NOT NULL"""
 
 
 @query("detect_conflicts", CLASH)
 def detect_conflicts(v):
-    return va.single_valued_clashes(v.assertions, "owns", H)
+    claimed, held = v.spark.sql(CLAIMED, p=v.proposals), v.spark.sql(HELD, a=v.assertions)
+    return va.conflicts(claimed, held)
 
 
 @query("conflict_window", "SELECT id, subject FROM kg_assertions WHERE status = 'accepted' AND from_pos <= $h - 1 AND (until_pos IS NULL OR until_pos > $h - 1)")
