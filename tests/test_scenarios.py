@@ -278,3 +278,22 @@ def test_conflicts_of_three_kinds_and_no_others(spark):
         ("refute", "b2", "explicit refutation", 2), ("turned", "b2", "explicit refutation", 2), ("both", "b5", "explicit refutation", 5),  # names are compared after normalising, the ends of a refutation as they are
     ])
     assert validate.conflicts(proposed.limit(0), accepted).count() == validate.conflicts(proposed, accepted.limit(0)).count() == 0
+
+
+def test_overlap_join_counts_every_pair_of_all_blocks_once(spark, monkeypatch):
+    import random
+
+    from vantage.operators import grams
+
+    rng = random.Random(8)
+    monkeypatch.setattr(grams, "BLOCK", 7)
+    rows = [(i % 2, f"{i % 9}é{i}", [f"w{rng.randrange(16)}" for _ in range(rng.randrange(0, 12))], rng.sample("ABC", rng.randrange(0, 4))) for i in range(80)]
+    df = spark.createDataFrame(rows, "pos int, id string, set array<string>, names array<string>")
+    got = sorted(tuple(r) for r in overlap_join(df, ["pos"], 0.5, 2, also="names").collect())
+    want = []
+    for p, a, s, m in rows:
+        for q, b, t, n in rows:
+            shared, least = len(set(s) & set(t)), min(len(set(s)), len(set(t)))
+            if p == q and a < b and shared >= 2 and shared / least >= 0.5:
+                want.append((p, a, b, shared, least, shared / least, len(set(m) - set(n)), len(set(n) - set(m))))
+    assert got == sorted(want) and len(want) > 100

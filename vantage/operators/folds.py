@@ -20,9 +20,8 @@ def same_beats(scenes: DataFrame, least_words: int = 4, least_shared: int = 2, r
     ``scenes`` has (id, pos, words, names). They share enough words, and at most one of them names someone whom the other does
     not: a fuller telling names more, but two different people make two scenes.
     """
-    near = overlap_join(scenes.select("pos", "id", F.col("words").alias("set")), ["pos"], ratio, least_shared, least_words)
-    named = near.join(scenes.select("pos", F.col("id").alias("x"), F.col("names").alias("nx")), ["pos", "x"]).join(scenes.select("pos", F.col("id").alias("y"), F.col("names").alias("ny")), ["pos", "y"])
-    return named.where((F.size(F.array_except("nx", "ny")) == 0) | (F.size(F.array_except("ny", "nx")) == 0)).select("pos", "x", "y")
+    near = overlap_join(scenes.select("pos", "id", F.col("words").alias("set"), "names"), ["pos"], ratio, least_shared, least_words, "names")
+    return near.where("only_x = 0 OR only_y = 0").select("pos", "x", "y")
 
 
 def keep_first(scenes: DataFrame, least_words: int = 4, least_shared: int = 2, ratio: float = 0.7) -> DataFrame:
