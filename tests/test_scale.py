@@ -59,3 +59,13 @@ def test_copies_are_not_compared(spark):
     echo = {r["x"]: (r["y"], r["score"]) for r in matching.find_echo(v).collect()}
     assert echo == {2: (1, round(9 / 11, 6)), 50: (0, 1.0)} | {i: (1 if i % 2 else 2, 1.0) for i in range(3, 41)}
     assert {r["x"]: r["folded_into"] for r in matching.fold_echoes(v).collect()} == {50: 0} | {i: 1 for i in range(2, 41)}
+
+
+def test_passages_of_a_few_texts_are_held_at_once(spark):
+    """A task that takes one frame from the splitter has cut no more than its share of the texts."""
+    from vantage.sources import passages
+
+    docs = spark.createDataFrame([(i, f"text {i}. " * 90 if i % 3 else None) for i in range(700)], "doc_id long, text string").coalesce(1)
+    got = passages.split_passages(docs, "doc_id", "text")
+    assert {(r["id"], r["ord"]): r["passage"] for r in got.collect()} == {(i, n): p for i in range(700) if i % 3 for n, p in enumerate(passages.cut(f"text {i}. " * 90))}
+    assert 0 < passages.AT_ONCE < 700

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST, LEAST = 600, 40
+#: Texts whose passages are held at once.
+AT_ONCE = 256
 
 
 def cut(text: str, most: int = MOST, least: int = LEAST) -> list[str]:
@@ -34,8 +36,10 @@ def split_passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, ord, passage)`` of every text; null and blank texts have none."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(i, n, p) for i, t in zip(pdf["id"], pdf["text"], strict=True) if isinstance(t, str) for n, p in enumerate(cut(t))], columns=["id", "ord", "passage"])
+        for batch in batches:
+            for lo in range(0, len(batch), AT_ONCE):  # passages of a few texts at a time, whatever the size of a batch
+                pdf = batch.iloc[lo : lo + AT_ONCE]
+                yield pd.DataFrame([(i, n, p) for i, t in zip(pdf["id"], pdf["text"], strict=True) if isinstance(t, str) for n, p in enumerate(cut(t))], columns=["id", "ord", "passage"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(split, f"id {kind}, ord int, passage string")
