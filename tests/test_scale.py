@@ -69,3 +69,9 @@ def test_passages_of_a_few_texts_are_held_at_once(spark):
     got = passages.split_passages(docs, "doc_id", "text")
     assert {(r["id"], r["ord"]): r["passage"] for r in got.collect()} == {(i, n): p for i in range(700) if i % 3 for n, p in enumerate(passages.cut(f"text {i}. " * 90))}
     assert 0 < passages.AT_ONCE < 700
+
+
+def test_a_fact_takes_its_names_before_it_is_seen_from_both_ends(spark):
+    """The plan is read from the result down: between the explode and the result no row is joined or shuffled."""
+    p = plan(registry.queries()["entity_sheet"](spark, SF))
+    assert "Generate explode" in p and "Join" not in p[: p.index("Generate explode")] and "Exchange" not in p[: p.index("Generate explode")]
