@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from conftest import SF
 
 from vantage import registry
-from vantage.operators import grams
+from vantage.operators import grams, validate
 from vantage.plans import matching
 
 
@@ -75,3 +75,28 @@ def test_a_fact_takes_its_names_before_it_is_seen_from_both_ends(spark):
     """The plan is read from the result down: between the explode and the result no row is joined or shuffled."""
     p = plan(registry.queries()["entity_sheet"](spark, SF))
     assert "Generate explode" in p and "Join" not in p[: p.index("Generate explode")] and "Exchange" not in p[: p.index("Generate explode")]
+
+
+def test_facts_that_no_proposal_meets_do_not_travel(spark, monkeypatch):
+    p = plan(registry.queries()["detect_conflicts"](spark, SF))
+    assert p.count("LeftSemi") >= 3 and p.count("l_linenumber") > 0
+    rng = random.Random(5)
+    preds = ["refutes", "seeks", "leads", "dies_at", "other"]
+    draw = lambda i: (f"x{i}", rng.choice("abcdef"), rng.choice(preds), rng.choice(["a", "b", "B", "", None]))
+    new = [(*draw(i), rng.randrange(9)) for i in range(60)] + [("n", None, "refutes", "a", 9), ("n", None, "leads", "a", 9)]
+    old = [(*draw(i), rng.randrange(9), rng.choice([None, 5, 9]), rng.choice(["accepted", "proposed"])) for i in range(90)] + [("f", None, "leads", "a", 0, None, "accepted"), ("g", "a", "other", "a", 0, None, "accepted")]
+    want = []
+    for i, s, p, o, pos in new:
+        for j, t, q, u, since, until, status in old:
+            if status != "accepted" or since >= pos or (until is not None and until <= pos) or s is None or t is None:
+                continue
+            if p == "refutes":
+                want += [(i, j, "explicit refutation", since)] * (o is not None and u is not None and sorted((s, o)) == sorted((t, u)))
+            elif s == t and p == "seeks" and q == "dies_at":
+                want.append((i, j, "action after death", since))
+            elif s == t and p == q and p in ("leads", "dies_at") and o and u and o.lower() != u.lower():
+                want.append((i, j, "another answer", since))
+    frames = spark.createDataFrame(new, "id string, subject string, predicate string, object string, pos int"), spark.createDataFrame(old, "id string, subject string, predicate string, object string, from_pos int, until_pos int, status string")
+    for few in (validate.FEW_ENDS, 0):
+        monkeypatch.setattr(validate, "FEW_ENDS", few)
+        assert sorted(tuple(r) for r in validate.conflicts(*frames).collect()) == sorted(want)

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from vantage.operators import identity as idn
 from vantage.operators import text as tx
+from vantage.sources.shared import materialise
 
 # Predicates that refute, that tell a death, that admit one answer, and whose subject must be alive.
 REFUTING, DEATH = ["refutes", "contradicts"], "dies_at"
 SINGLE = ["dies_at", "parent_of", "child_of", "belongs_to_species", "leads"]
 ACTIONS = ["fights", "speaks_to", "meets", "travels_to", "travels_from", "captures", "protects", "creates", "destroys", "promises", "seeks", "kills", "injures", "knocks_out", "gives", "receives", "eats"]
 
+#: Ends of proposals up to which every task holds them, so that facts that none meets are never shuffled.
+FEW_ENDS = 200_000
+
 
 def first_reason(*checks: tuple[Column, str]) -> Column:
     """The reason of the first check that holds, null if none does."""
@@ -40,26 +44,38 @@ def check_types(assertions: DataFrame, entities: DataFrame, ontology: DataFrame)
     return typed.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("reversed_fits", F.coalesce(turned, F.lit(False)))
 
 
+def _ended_at(facts: DataFrame, ends: DataFrame, *columns: str) -> DataFrame:
+    """Facts whose ``columns`` are among ``ends`` (end), taken out before facts travel; all facts if the ends are not few."""
+    ends = materialise(ends.distinct())
+    if ends.limit(FEW_ENDS + 1).count() > FEW_ENDS:
+        return facts
+    for c in columns:
+        facts = facts.join(F.broadcast(ends.withColumnRenamed("end", c)), c, "left_semi")  # its size was checked
+    return facts
+
+
 def conflicts(proposed: DataFrame, accepted: DataFrame) -> DataFrame:
     """``(id, old, kind, since)``: proposals against what was accepted before their position and still holds there.
 
     ``proposed`` has (id, subject, predicate, object, pos); ``accepted`` (id, subject, predicate, object, from_pos, until_pos,
     status). A refutation meets only the facts that join its two ends, in either order, and nothing else. An action meets each
     death of its subject. A predicate that admits one answer meets another answer, compared after normalising; empty and null
-    ends say nothing. Each kind is an equi-join on what it must share, over the few facts that can take part.
+    ends say nothing. Two equi-joins on what must be shared, over the facts that a proposal can meet: refutations by their
+    ends, the others by subject and the predicate that each looks for.
     """
-    new = proposed.select("id", "subject", "predicate", "object", "pos")
+    new = materialise(proposed.where(F.col("predicate").isin(REFUTING + ACTIONS + SINGLE) & F.col("subject").isNotNull()).select("id", "subject", "predicate", "object", "pos"))
     old = accepted.where("status = 'accepted'").select(F.col("id").alias("old"), F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), "from_pos", "until_pos")
     before = (F.col("from_pos") < F.col("pos")) & (F.col("until_pos").isNull() | (F.col("until_pos") > F.col("pos")))
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    refuting = new.where(F.col("predicate").isin(REFUTING) & F.col("object").isNotNull()).select("id", "pos", *pair("subject", "object"))
-    refuted = refuting.join(old.where("o IS NOT NULL").select("old", "from_pos", "until_pos", *pair("s", "o")), ["a", "b"]).where(before)
-    died = new.where(F.col("predicate").isin(ACTIONS)).join(old.where(F.col("p") == DEATH), F.col("subject") == F.col("s")).where(before)
-    answer = new.where(F.col("predicate").isin(SINGLE)).withColumn("x", tx.normalise(F.col("object"))).where("x <> ''")
-    other = old.where(F.col("p").isin(SINGLE)).withColumn("y", tx.normalise(F.col("o"))).where("y <> ''")
-    clash = answer.join(other, (F.col("subject") == F.col("s")) & (F.col("predicate") == F.col("p"))).where(before & (F.col("x") != F.col("y")))
-    rows = lambda df, kind: df.select("id", "old", F.lit(kind).alias("kind"), F.col("from_pos").alias("since"))
-    return rows(refuted, "explicit refutation").union(rows(died, "action after death")).union(rows(clash, "another answer"))
+    refuting = new.where(F.col("predicate").isin(REFUTING) & F.col("object").isNotNull())
+    joined = _ended_at(old.where("s IS NOT NULL AND o IS NOT NULL"), refuting.select(F.explode(F.array("subject", "object")).alias("end")), "o", "s")
+    refuted = refuting.select("id", "pos", *unordered()).join(joined.select("old", "from_pos", "until_pos", *unordered("s", "o")), ["a", "b"]).where(before)
+    acts = F.col("predicate").isin(ACTIONS)
+    told = new.where(F.col("predicate").isin(ACTIONS + SINGLE)).select("id", "pos", F.col("subject").alias("s"), F.when(acts, DEATH).otherwise(F.col("predicate")).alias("p"), acts.alias("acts"), tx.normalise(F.col("object")).alias("x"))
+    known = _ended_at(old.where(F.col("p").isin(SINGLE)), told.select(F.col("s").alias("end")), "s").withColumn("y", tx.normalise(F.col("o")))
+    other = (F.col("x") != "") & (F.col("y") != "") & (F.col("x") != F.col("y"))
+    met = told.join(known, ["s", "p"]).where(before & (F.col("acts") | other))
+    rows = lambda df, kind: df.select("id", "old", kind.alias("kind"), F.col("from_pos").alias("since"))
+    return rows(refuted, F.lit("explicit refutation")).union(rows(met, F.when(F.col("acts"), "action after death").otherwise("another answer")))
 
 
 def unordered(a: str = "subject", b: str = "object") -> list[Column]:
