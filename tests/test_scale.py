@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from types import SimpleNamespace
 
@@ -100,3 +101,28 @@ def test_facts_that_no_proposal_meets_do_not_travel(spark, monkeypatch):
     for few in (validate.FEW_ENDS, 0):
         monkeypatch.setattr(validate, "FEW_ENDS", few)
         assert sorted(tuple(r) for r in validate.conflicts(*frames).collect()) == sorted(want)
+
+
+def test_a_state_of_the_ingest_serves_many_documents(spark, tmp_path, monkeypatch):
+    """One file a batch: replayed documents are not written again, one that returns to an older text is."""
+    import os
+
+    from vantage.streaming import feeds
+
+    days = [[(i, f"t{i}") for i in range(-3, 300)], [(i, f"t{i}") for i in range(-3, 300)] + [(299, "new"), (None, "x")], [(5, "other"), (5, None), (2**40, "far")], [(5, "t5"), (299, "new")]]
+    for n, rows in enumerate(days):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("*.parquet"):
+            if not (tmp_path / f"{f.name}.seen").exists():
+                (tmp_path / f"{f.name}.seen").touch()
+                os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+    monkeypatch.setattr(feeds, "shared_root", lambda spark: f"file://{tmp_path}/out")
+    monkeypatch.setattr(feeds, "source", lambda spark, path, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    got = {r["doc_id"]: r["fingerprint"] for r in feeds.ingest(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    last = max(sha("new"), sha("t299"))
+    assert got == {i: sha(f"t{i}") for i in range(-3, 299)} | {299: sha("new"), 2**40: sha("far")}
+    (base,) = (tmp_path / "out").iterdir()
+    log = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/log")
+    assert {r["batch"]: r["count"] for r in log.groupBy("batch").count().collect()} == {0: 303, 2: 2, 3: 1} | ({1: 1, 3: 1} if last == sha("new") else {3: 2})
+    assert spark.read.format("statestore").load(f"{base}/state").count() == 4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,9 @@ from pyspark.sql.types import StructType
 
 from vantage.sources.shared import shared_root
 
+#: A state of the ingest holds the fingerprints of 2 ** 8 neighbouring document ids at most.
+BUCKET_BITS = 8
+
 
 def source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A file stream over a table: a folder of Parquet files, or the one file of that name in its folder."""
@@ -40,19 +44,25 @@ def ingest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
     State is the fingerprint of each document, so a replayed or unchanged document is not written again, a changed one
     replaces what was stored under its id, and no batch reads the store. Of two texts of an id in one batch the one of
-    the greater fingerprint stays. Rows without an id are left out.
+    the greater fingerprint stays. Rows without an id are left out. A state holds the documents of ``2 ** BUCKET_BITS``
+    neighbouring ids, so its bounds are fixed and a call of the function serves many documents.
     """
     base = f"{shared_root(spark)}/{uuid.uuid4().hex}"
     rows = source(spark, path, schema).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"))
 
     def changed(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        now = max(pdf["fingerprint"].max() for pdf in batches)
-        if now != last:
-            state.update((now,))
-            yield pd.DataFrame({"doc_id": [key[0]], "fingerprint": [now]})
-
-    fresh = rows.groupBy("doc_id").applyInPandasWithState(changed, "doc_id long, fingerprint string", "fingerprint string", "update", "NoTimeout")
+        last = json.loads(state.get[0]) if state.exists else {}
+        now: dict[str, str] = {}
+        for pdf in batches:
+            for i, fingerprint in zip(pdf["doc_id"].astype(str), pdf["fingerprint"], strict=True):
+                now[i] = max(now.get(i, ""), fingerprint)
+        fresh = {i: fingerprint for i, fingerprint in now.items() if last.get(i) != fingerprint}
+        if fresh:
+            state.update((json.dumps(last | fresh),))
+            yield pd.DataFrame({"doc_id": [int(i) for i in fresh], "fingerprint": list(fresh.values())})
+
+    buckets = rows.withColumn("bucket", F.shiftright("doc_id", BUCKET_BITS)).groupBy("bucket")
+    fresh = buckets.applyInPandasWithState(changed, "doc_id long, fingerprint string", "fingerprints string", "update", "NoTimeout")
     log_schema = "doc_id long, fingerprint string, batch long"
 
     def add(batch: DataFrame, number: int) -> None:
