@@ -126,3 +126,8 @@ def test_a_state_of_the_ingest_serves_many_documents(spark, tmp_path, monkeypatc
     log = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/log")
     assert {r["batch"]: r["count"] for r in log.groupBy("batch").count().collect()} == {0: 303, 2: 2, 3: 1} | ({1: 1, 3: 1} if last == sha("new") else {3: 2})
     assert spark.read.format("statestore").load(f"{base}/state").count() == 4
+
+
+def test_texts_are_cut_into_tokens_once_for_a_web_search(spark):
+    p = plan(registry.queries()["lexical_search"](spark, SF))
+    assert p.count("Generate posexplode(filter") == 1
