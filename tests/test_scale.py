@@ -9,7 +9,7 @@ from types import SimpleNamespace
 from conftest import SF
 
 from vantage import registry
-from vantage.operators import grams, validate
+from vantage.operators import grams, search, validate
 from vantage.plans import matching
 
 
@@ -131,3 +131,21 @@ def test_a_state_of_the_ingest_serves_many_documents(spark, tmp_path, monkeypatc
 def test_texts_are_cut_into_tokens_once_for_a_web_search(spark):
     p = plan(registry.queries()["lexical_search"](spark, SF))
     assert p.count("Generate posexplode(filter") == 1
+
+
+def test_short_lists_meet_labels_and_edges_where_they_lie(spark):
+    rng = random.Random(3)
+    names = spark.createDataFrame([(f"e{i}", "".join(rng.choice("ab ") for _ in range(7))) for i in range(60)] + [("n", None)], "entity_id string, label string")
+    queries = spark.createDataFrame([("q1", "aab ba"), ("q2", "bbb"), ("q3", "ab")], "query_id string, query string")
+    found = search.gram_search(names, queries, 0.3, 5)
+    assert plan(found).count("Generate") == 0
+    grams = lambda t: {w[i : i + 3] for x in (t or "").split() for w in [f"  {x} "] for i in range(len(w) - 2)}
+    want = []
+    for q, text in (("q1", "aab ba"), ("q2", "bbb")):
+        scored = sorted((-len(grams(text) & grams(r["label"])) / len(grams(text) | grams(r["label"])), r["entity_id"]) for r in names.collect())
+        want += [(q, i, round(-s, 9), k + 1) for k, (s, i) in enumerate([x for x in scored if -x[0] >= 0.3][:5])]
+    assert sorted((r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in found.collect()) == sorted(want)
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("c", "e"), ("x", "y")], "source string, target string")
+    lists = {"one": spark.createDataFrame([("q", "a", 1), ("q", "zz", 2), ("q", "b", 3)], "query_id string, id string, rank int")}
+    assert [tuple(r) for r in search.expand_best(lists, edges, 1, 9).orderBy("rank").collect()] == [("q", "b", 1), ("q", "c", 2)]
+    assert [tuple(r) for r in search.expand_best(lists, edges, 2, 9).collect()] == [("q", "c", 1)]
