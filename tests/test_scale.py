@@ -149,3 +149,22 @@ def test_short_lists_meet_labels_and_edges_where_they_lie(spark):
     lists = {"one": spark.createDataFrame([("q", "a", 1), ("q", "zz", 2), ("q", "b", 3)], "query_id string, id string, rank int")}
     assert [tuple(r) for r in search.expand_best(lists, edges, 1, 9).orderBy("rank").collect()] == [("q", "b", 1), ("q", "c", 2)]
     assert [tuple(r) for r in search.expand_best(lists, edges, 2, 9).collect()] == [("q", "c", 1)]
+
+
+def test_only_pairs_that_share_many_rare_elements_take_their_sets_along(spark, monkeypatch):
+    """Large sets share a few rare elements by chance: such pairs are dropped before any set travels; blocks lose no pair."""
+    rng = random.Random(8)
+    sets = {i: set(rng.sample(range(20_000), 1200)) for i in range(24)}
+    for i in range(24, 40):  # near copies, some in chains
+        drop = rng.sample(sorted(sets[i - 24]), rng.randrange(40, 400))
+        sets[i] = (sets[i - 24] - set(drop)) | {50_000 + 1000 * i + k for k in range(rng.randrange(200))}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "i long, set array<int>")
+    score = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    seen, real = [], grams._judged
+    monkeypatch.setattr(grams, "_judged", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    for t, block in ((0.6, 1024), (0.8, 3)):
+        monkeypatch.setattr(grams, "BLOCK", block)
+        got = {(r["l"], r["r"]): (r["shared"], r["score"]) for r in grams.jaccard_join(df.withColumnRenamed("i", "l"), df.withColumnRenamed("i", "r"), [], t, "r < l").collect()}
+        want = {(a, b): (len(sets[a] & sets[b]), score(a, b)) for a in sets for b in sets if b < a and score(a, b) >= t}
+        assert not set(got.items()) ^ set(want.items())
+        assert want and seen[-1] < 2 * len(want) + 5
