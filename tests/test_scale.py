@@ -10,7 +10,7 @@ from conftest import SF
 
 from vantage import registry
 from vantage.operators import grams, search, validate
-from vantage.plans import matching
+from vantage.plans import audits, matching
 
 
 def plan(df) -> str:
@@ -22,6 +22,20 @@ def test_scenes_are_numbered_before_questions_meet_them(spark):
     assert p.index("ShuffledHashJoin") < p.index("Window") and "Sort" not in p[: p.index("ShuffledHashJoin")]
 
 
+def test_a_window_is_written_as_runs_of_scenes(spark):
+    """All questions of a scene follow one another, so reference and scene are runs; few bytes are dealt to many tasks."""
+    v = SimpleNamespace(
+        scenes=spark.createDataFrame([(f"e{i:03}", 3 + i % 2, None, i) for i in range(200)], "id string, shown_pos int, told_pos int, recorded long"),
+        questions=spark.createDataFrame([(f"q{i}", 4) for i in range(20)], "id string, opened_pos int"),
+    )
+    got = audits.context_window(v)
+    assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    rows = [tuple(r) for r in got.select("scene", "ref", "id").collect()]
+    order = sorted((3 + i % 2, i, f"e{i:03}") for i in range(200))
+    assert sorted(rows) == sorted((e, f"b{k + 1}", f"q{i}") for k, (_, _, e) in enumerate(order) for i in range(20))
+    assert 1 + sum(a[0] != b[0] for a, b in zip(rows, rows[1:], strict=False)) == 200
+
+
 def test_links_of_the_cast_are_not_sorted_out_after_they_are_made(spark):
     p = plan(registry.queries()["link_cast"](spark, SF))
     assert "Aggregate" not in p[: p.index("ShuffledHashJoin")]
