@@ -10,7 +10,7 @@ from conftest import SF
 
 from vantage import registry
 from vantage.operators import grams, search, validate
-from vantage.plans import audits, matching
+from vantage.plans import audits, matching, store
 
 
 def plan(df) -> str:
@@ -41,6 +41,15 @@ def test_links_of_the_cast_are_not_sorted_out_after_they_are_made(spark):
     assert "Aggregate" not in p[: p.index("ShuffledHashJoin")]
 
 
+def test_every_scene_has_its_cast(spark):
+    v = SimpleNamespace(
+        scenes=spark.createDataFrame([("e1-0", 0, 3, None), ("e1-1", 1, 3, None), ("e1-2", 2, None, 5), ("e2-0", 0, 9, None)], "id string, ord int, shown_pos int, told_pos int"),
+        entities=spark.createDataFrame([("c1", "character"), ("n1", "place"), ("c2", "character")], "id string, node_type string"),
+        occurrences=spark.createDataFrame([("c1", 3, "appearance", True), ("n1", 5, "appearance", True), ("c2", 3, "mention", True), ("c2", 5, "appearance", False)], "entity_id string, pos int, kind string, stated boolean"),
+    )
+    assert sorted(map(tuple, store.link_cast(v).collect())) == [("c1", "e1-0", "participates_in"), ("c1", "e1-1", "participates_in"), ("n1", "e1-2", "located_at")]
+
+
 def test_two_bearers_of_a_name_decide_a_twin(spark):
     n = 50
     v = SimpleNamespace(
