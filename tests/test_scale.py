@@ -10,7 +10,7 @@ from conftest import SF
 
 from vantage import registry
 from vantage.operators import grams, search, text, validate
-from vantage.plans import audits, matching, store
+from vantage.plans import audits, matching, store, temporal
 
 
 def plan(df) -> str:
@@ -117,6 +117,22 @@ def test_a_fact_takes_its_names_before_it_is_seen_from_both_ends(spark):
     assert "Generate explode" in p and "Join" not in p[: p.index("Generate explode")] and "Exchange" not in p[: p.index("Generate explode")]
 
 
+def test_a_sheet_tells_all_names_facts_and_evidence(spark):
+    v = SimpleNamespace(
+        entities=spark.createDataFrame([(i, "character", 1, "accepted") for i in "abcd"] + [("late", "character", 50, "accepted")], "id string, node_type string, first_pos int, status string"),
+        assertions=spark.createDataFrame([("i", "a", "same_as", "b", 5, None, 1.0, "accepted"), ("f", "b", "owns", "c", 6, None, 0.5, "accepted"), ("g", "c", "seeks", "late", 6, None, 0.5, "accepted")], "id string, subject string, predicate string, object string, from_pos int, until_pos int, confidence double, status string"),
+        names=spark.createDataFrame([("a", "An", "alias", 50, 2), ("b", "Bo", "true_name", 100, 3), ("b", "Zo", "true_name", 200, 99), ("d", "Di", "alias", 50, 1)], "entity_id string, label string, kind string, precedence int, revealed_pos int"),
+        evidence=spark.createDataFrame([("v2", "f", "y y", "text"), ("v1", "f", "", "visual"), ("v3", "f", None, "text"), ("v10", "f", "x", "text")], "id string, assertion_id string, excerpt string, kind string"),
+    )
+    every = "v1 visual \nv10 text x\nv2 text y y\nv3 text"
+    got = {tuple(r[c] for c in ("root", "label", "direction", "predicate", "other", "other_label", "id", "quote", "quotes", "evidence")) for r in temporal.entity_sheet(v).collect()}
+    assert got == {
+        ("a", "Bo", "out", "same_as", "b", None, "i", None, 0, None),
+        ("a", "Bo", "out", "owns", "c", "?", "f", "x", 2, every), ("c", "?", "in", "owns", "a", "Bo", "f", "x", 2, every),
+        ("a", "Bo", "name", "alias", "a", "An", None, None, 0, None), ("a", "Bo", "name", "true_name", "b", "Bo", None, None, 0, None), ("d", "Di", "name", "alias", "d", "Di", None, None, 0, None),
+    }
+
+
 def test_facts_that_no_proposal_meets_do_not_travel(spark, monkeypatch):
     p = plan(registry.queries()["detect_conflicts"](spark, SF))
     assert p.count("LeftSemi") >= 3 and p.count("l_linenumber") > 0
